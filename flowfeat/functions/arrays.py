@@ -35,6 +35,15 @@ def dot(a, b) -> Column:
     )
 
 
+def dot_fixed(a, b, size: int) -> Column:
+    """Dot product of two arrays of known length, written out so that it is compiled."""
+    terms = [F.get(_c(a), F.lit(i)).cast("double") * F.get(_c(b), F.lit(i)).cast("double") for i in range(size)]
+    total = terms[0]
+    for term in terms[1:]:
+        total = total + term
+    return total
+
+
 def norm(a) -> Column:
     return F.sqrt(_double_sum(F.transform(_c(a), lambda x: x.cast("double") * x.cast("double"))))
 

@@ -26,15 +26,34 @@ def hash_uniform(*key, n, seed: int = 42, hash: str = "md5") -> Column:
     return hash_long(*key, seed=seed, hash=hash) % (n if isinstance(n, Column) else F.lit(int(n)))
 
 
-def other_than(value: Column, *key, n: int, start: int = 0, seed: int = 42, hash: str = "md5") -> Column:
-    """Uniform draw from {start … start+n-1} without `value`, with no rejection loop.
+_PRIME = (1 << 31) - 1
+_HALF = (1 << 30) - 1
+_WIDE = 1 << 24  # above so many ids, 31 random bits are too few for an even draw
 
-    Draw from n-1 numbers and step over `value`: every other id is equally likely.
+
+def _spread(base: Column, k: Column) -> Column:
+    """(a·k + b) mod 2^31-1 with a and b from the two halves of a row's 60-bit hash.
+
+    Over random a, b any two draws of a row are uniform and independent of each other. Only
+    whole-number arithmetic on one hash per row, so it stays cheap inside arrays.
+    """
+    return (F.shiftright(base, 30) * k.cast("bigint") + base.bitwiseAND(F.lit(_HALF))) % F.lit(_PRIME)
+
+
+def other_than(value: Column, base: Column, k, n: int, start: int = 0) -> Column:
+    """The k-th draw of a row from {start … start+n-1} without `value`; no rejection loop.
+
+    `base` is the row's `hash_long`. A uniform step of 1 … n-1 ahead of `value`, around the
+    circle of ids, reaches every other id with equal chance.
     """
     if n < 2:
         raise ValueError("a negative needs at least two ids to choose from")
-    draw = hash_uniform(*key, n=n - 1, seed=seed, hash=hash) + F.lit(int(start))
-    return draw + F.when(draw >= value, F.lit(1)).otherwise(F.lit(0))
+    k = k if isinstance(k, Column) else F.lit(int(k))
+    bits = _spread(base, k)
+    if n > _WIDE:
+        bits = bits * F.lit(_PRIME) + _spread(base.bitwiseXOR(F.lit(0x5DEECE66D3A5C69)), k)
+    step = bits % F.lit(int(n) - 1) + F.lit(1)
+    return (value.cast("bigint") - F.lit(int(start)) + step) % F.lit(int(n)) + F.lit(int(start))
 
 
 def hash_fraction(*key, seed: int = 42) -> Column:

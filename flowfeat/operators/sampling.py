@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowfeat.columns import as_list, need
-from flowfeat.functions.hashing import hash_fraction, hash_uniform, other_than
+from flowfeat.functions.hashing import hash_fraction, hash_long, hash_uniform, other_than
 
 
 def negatives_per_row(
@@ -37,15 +37,13 @@ def negatives_per_row(
     out = out_col or item
     positive = F.col(item).cast("long")
     drawn = [
-        F.struct(
-            other_than(positive, *key, F.lit(j), n=n_items, start=start, seed=seed, hash=hash).alias("item"),
-            F.lit(0).alias("label"),
-        )
+        F.struct(other_than(positive, F.col("_base"), j, n_items, start).alias("item"), F.lit(0).alias("label"))
         for j in range(neg_num)
     ]
     own = F.struct(positive.alias("item"), F.lit(1).alias("label"))
     rest = [c for c in df.columns if c != item]
-    rows = df.select(*rest, F.explode(F.array(*drawn, own)).alias("_n")).select(
+    based = df.withColumn("_base", hash_long(*key, seed=seed, hash=hash))
+    rows = based.select(*rest, F.explode(F.array(*drawn, own)).alias("_n")).select(
         *rest, F.col("_n.item").alias(out), F.col("_n.label").alias(label_col)
     )
     if exclude_seen:

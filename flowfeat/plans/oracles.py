@@ -36,9 +36,16 @@ def draw(n: str, *key: str, seed: int = SEED) -> str:
     return f"(CAST('0x' || substr(md5(concat_ws('|', {parts}, '{seed}')), 1, 15) AS BIGINT) % ({n}))"
 
 
-def other(value: str, n: str, *key: str, start: int = 0, seed: int = SEED) -> str:
-    d = f"({draw(f'({n}) - 1', *key, seed=seed)} + {start})"
-    return f"({d} + CASE WHEN {d} >= {value} THEN 1 ELSE 0 END)"
+def long_hash(*key: str, seed: int = SEED) -> str:
+    """The 60-bit number of the hashed key."""
+    parts = ", ".join(f"CAST({k} AS VARCHAR)" for k in key)
+    return f"CAST('0x' || substr(md5(concat_ws('|', {parts}, '{seed}')), 1, 15) AS BIGINT)"
+
+
+def other(value: str, n: str, base: str, k: str, start: int = 0) -> str:
+    """The k-th draw of a row out of n ids, never `value`."""
+    bits = f"((({base} >> 30) * CAST({k} AS BIGINT) + ({base} & 1073741823)) % 2147483647)"
+    return f"(({value} - {start} + {bits} % ({n} - 1) + 1) % {n} + {start})"
 
 
 def padded(lst: str, n: int) -> str:
@@ -182,9 +189,11 @@ targets AS (SELECT *, (SELECT n FROM catalogue) AS n, (SELECT cats FROM catalogu
 labelled AS (
   SELECT *, iid AS item_id, 1 AS label FROM targets
   UNION ALL
-  SELECT *, {other('iid', 'n', 'uid', 'pos', '0', start=1)} AS item_id, 0 AS label FROM targets),
+  SELECT * EXCLUDE base, {other('iid', 'n', 'base', '0', start=1)} AS item_id, 0 AS label
+  FROM (SELECT *, {long_hash('uid', 'pos')} AS base FROM targets)),
 drawn AS (
-  SELECT *, list_transform(h, lambda x, k: {other('x', 'n', *SEQ_KEY, 'k - 1', '0', start=1)}) AS neg FROM labelled)
+  SELECT *, list_transform(h, lambda x, k: {other('x', 'n', 'base', 'k - 1', start=1)}) AS neg
+  FROM (SELECT *, {long_hash(*SEQ_KEY, "'history'")} AS base FROM labelled))
 SELECT uid AS user_id, pos, item_id, cid AS cat_index, t AS "unixReviewTime", label,
        {text_list('h')} AS items, {text_list('hc')} AS cats,
        array_to_string(neg, ';') AS neg_items,
@@ -198,8 +207,8 @@ WITH {HIST},
 size AS (SELECT count(*) AS items, list(CAST(split_part(p_brand, '#', 2) AS BIGINT) ORDER BY p_partkey) AS cats FROM part),
 drawn AS (
   SELECT u, pos, cats,
-         list_transform(h, lambda x, k: [{other('x', 'items', 'u', 'pos', 'k - 1', '0')}, {other('x', 'items', 'u', 'pos', 'k - 1', '1')}]) AS neg
-  FROM hist, size)
+         list_transform(h, lambda x, k: [{other('x', 'items', 'base', '(k - 1) * 2')}, {other('x', 'items', 'base', '(k - 1) * 2 + 1')}]) AS neg
+  FROM (SELECT *, {long_hash('u', 'pos', "'history'")} AS base FROM hist), size)
 SELECT u AS "user", pos,
        array_to_string(list_transform(neg, lambda p: array_to_string(p, ',')), ';') AS neg_items,
        array_to_string(list_transform(neg, lambda p: array_to_string(list_transform(p, lambda x: cats[x + 1]), ',')), ';') AS neg_cats
@@ -207,10 +216,11 @@ FROM drawn"""
 
 DRAWN_ROWS = f"""{HIST},
 size AS (SELECT count(*) AS items FROM part),
+based AS (SELECT *, {long_hash('u', 'pos')} AS base FROM hist, size),
 rows AS (
   SELECT u, pos, i AS item, 1 AS label FROM hist
-  UNION ALL SELECT u, pos, {other('i', 'items', 'u', 'pos', '0')}, 0 FROM hist, size
-  UNION ALL SELECT u, pos, {other('i', 'items', 'u', 'pos', '1')}, 0 FROM hist, size)"""
+  UNION ALL SELECT u, pos, {other('i', 'items', 'base', '0')}, 0 FROM based
+  UNION ALL SELECT u, pos, {other('i', 'items', 'base', '1')}, 0 FROM based)"""
 
 ORACLES: dict[str, str] = {
     "category_index": """

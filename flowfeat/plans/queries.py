@@ -761,12 +761,10 @@ def als_implicit(spark, folder):
 def als_topn(spark, folder):
     train, _ = _ratings_split(spark, folder)
     model = models.als(train, user="user", item="item", max_iter=3)
-    factors_u = model.userFactors.select(F.col("id").alias("userIdIndex"), F.col("features").alias("u"))
-    factors_i = model.itemFactors.select(F.col("id").alias("itemIdIndex"), F.col("features").alias("v"))
+    users = model.userFactors.withColumnRenamed("id", "userIdIndex")
+    items = model.itemFactors.withColumnRenamed("id", "itemIdIndex")
     seen = train.select(F.col("user").alias("userIdIndex"), F.col("item").alias("itemIdIndex"))
-    return recommend.top_n_unseen(
-        factors_u, factors_i, seen, lambda i: arrays.dot(F.col("u"), i.v), TOP, user_cols=["u"], item_cols=["v"]
-    )
+    return recommend.top_n_factors(users, items, seen, TOP)
 
 
 @query
