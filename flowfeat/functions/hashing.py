@@ -53,6 +53,8 @@ def other_than(value: Column, base: Column, k, n: int, start: int = 0) -> Column
     if n > _WIDE:
         bits = bits * F.lit(_PRIME) + _spread(base.bitwiseXOR(F.lit(0x5DEECE66D3A5C69)), k)
     step = bits % F.lit(int(n) - 1) + F.lit(1)
+    if start == 0:
+        return (value.cast("bigint") + step) % F.lit(int(n))
     return (value.cast("bigint") - F.lit(int(start)) + step) % F.lit(int(n)) + F.lit(int(start))
 
 
