@@ -60,8 +60,13 @@ def items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def card_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header, all columns strings, malformed rows left out."""
-    return spark.read.option("header", True).option("mode", "DROPMALFORMED").csv(path)
+    """CSV with a header, all columns strings, malformed rows left out.
+
+    A row is judged by all its fields, whichever columns a query needs; with column pruning
+    the parser would let a short row pass.
+    """
+    reader = spark.read.option("header", True).option("mode", "DROPMALFORMED")
+    return reader.option("columnPruning", False).csv(path)
 
 
 def series_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -79,7 +84,8 @@ def sensor_means(spark: SparkSession, folder: str, manifest: str = "timestamp.tx
     values = [F.get(parts, F.lit(i)).cast("double").alias(f"value_{i + 1}") for i in range(columns)]
     lines = spark.read.text(folder).select(F.col("_metadata.file_name").alias("_f"), "value")
     lines = lines.where((F.col("_f") != manifest) & (F.trim("value") != ""))
-    names = lines.select(F.col("_f").alias("ts"), *values)
+    decoded = F.url_decode(F.replace("_f", F.lit("+"), F.lit("%2B")))  # file names come percent-encoded
+    names = lines.select(decoded.alias("ts"), *values)
     means = names.groupBy("ts").agg(*[F.avg(f"value_{i + 1}").alias(f"value_{i + 1}") for i in range(columns)])
     means = means.join(listed, "ts", "left_semi")
     return means.withColumnRenamed("value_1", "value") if columns == 1 else means
