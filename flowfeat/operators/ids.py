@@ -9,6 +9,7 @@ from flowfeat.columns import as_list, need
 from flowfeat.functions import arrays
 from flowfeat.functions.hashing import hash_uniform  # noqa: F401  (part of the id surface)
 from flowfeat.operators.positions import SMALL_ROWS, global_positions
+from flowfeat.session import cut_lineage
 
 
 def dense_index(
@@ -21,7 +22,8 @@ def dense_index(
 ) -> DataFrame:
     """Dictionary (col, <col>_index) of the distinct non-null values, numbered in value order."""
     need(df, col)
-    values = df.select(col).where(F.col(col).isNotNull()).distinct()
+    # stored once: sizing, sampling and numbering would each compute the distinct values anew
+    values = cut_lineage(df.select(col).where(F.col(col).isNotNull()).distinct())
     return global_positions(values, [col], out or f"{col}_index", start, small_rows, buckets)
 
 
@@ -53,7 +55,7 @@ def frequency_dictionary(
     """(col, count, id): distinct values numbered by falling frequency, ties in value order."""
     need(df, col)
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    return global_positions(counts, [F.desc("count"), F.asc(col)], "id", start, small_rows, buckets)
+    return global_positions(cut_lineage(counts), [F.desc("count"), F.asc(col)], "id", start, small_rows, buckets)
 
 
 def frequency_index(

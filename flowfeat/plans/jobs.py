@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowfeat.functions import dates
 from flowfeat.operators import ids, sampling, sequence, series, text
-from flowfeat.operators.positions import GROUP_ROWS, SMALL_ROWS
+from flowfeat.operators.positions import SMALL_ROWS
 from flowfeat.session import cut_lineage
 from flowfeat.sources import readers, writers
 
@@ -26,7 +26,7 @@ class SequenceParams:
     history_len: int | None = None  # cap of the unpadded histories; None keeps them whole
     seed: int = 42
     hash: str = "md5"
-    group_rows: int = GROUP_ROWS
+    group_rows: int | None = None
     small_rows: int = SMALL_ROWS
     lookup_items: int = sequence.LOOKUP_ITEMS
 
