@@ -23,7 +23,7 @@ def dense_index(
     """Dictionary (col, <col>_index) of the distinct non-null values, numbered in value order."""
     need(df, col)
     # stored once: sizing, sampling and numbering would each compute the distinct values anew
-    values = cut_lineage(df.select(col).where(F.col(col).isNotNull()).distinct())
+    values = cut_lineage(df.select(col).where(F.col(col).isNotNull()).distinct(), eager=False)
     return global_positions(values, [col], out or f"{col}_index", start, small_rows, buckets)
 
 
@@ -55,7 +55,7 @@ def frequency_dictionary(
     """(col, count, id): distinct values numbered by falling frequency, ties in value order."""
     need(df, col)
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    return global_positions(cut_lineage(counts), [F.desc("count"), F.asc(col)], "id", start, small_rows, buckets)
+    return global_positions(cut_lineage(counts, eager=False), [F.desc("count"), F.asc(col)], "id", start, small_rows, buckets)
 
 
 def frequency_index(
@@ -71,10 +71,11 @@ def frequency_index(
     distinct values is not limited by the driver. Rows with a null value are kept with a
     null id.
     """
+    coded = df
     for col in as_list(cols):
         numbers = frequency_dictionary(df, col, (shift or {}).get(col, 0), small_rows, buckets)
-        df = df.join(numbers.select(col, F.col("id").alias(f"{col}_index")), col, "left")
-    return df
+        coded = coded.join(numbers.select(col, F.col("id").alias(f"{col}_index")), col, "left")
+    return coded
 
 
 def item_categories(df: DataFrame, item: str, category: str) -> DataFrame:

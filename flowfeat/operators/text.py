@@ -16,10 +16,9 @@ SENTENCE_START, SENTENCE_END = "<s>", "</s>"
 
 
 def words(text, min_length: int = 3) -> Column:
-    """Lower-cased runs of ASCII letters with at least `min_length` letters."""
+    """Runs of at least `min_length` ASCII letters of the lower-cased text."""
     col = F.col(text) if isinstance(text, str) else text
-    found = F.regexp_extract_all(col, F.lit(f"([a-zA-Z]{{{min_length},}})"), F.lit(1))
-    return F.transform(found, F.lower)
+    return F.regexp_extract_all(F.lower(col), F.lit(f"[a-z]{{{min_length},}}"), F.lit(0))
 
 
 def tokenize(df: DataFrame, col: str, out: str = "tokens", min_length: int = 3) -> DataFrame:
@@ -30,7 +29,10 @@ def tokenize(df: DataFrame, col: str, out: str = "tokens", min_length: int = 3)
 def word_counts(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     """(token, count) over all token arrays."""
     need(df, tokens)
-    return df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+    # the outer form: a plain explode makes the optimizer test the size of the array in a
+    # filter of its own, and so tokenizes every text again
+    spread = df.select(F.explode_outer(tokens).alias("token")).where(F.col("token").isNotNull())
+    return spread.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
 
 
 def vocabulary(
@@ -137,7 +139,7 @@ def sentence_tokens(df: DataFrame, key: str | list[str], text: str) -> DataFrame
     key = as_list(key)
     need(df, *key, text)
     cut = F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\u0001"), "\u0001")
-    sentences = df.select(*key, F.posexplode(cut).alias("sentence", "_s"))
+    sentences = df.select(*key, F.posexplode_outer(cut).alias("sentence", "_s"))  # outer: see word_counts
     tokens = F.filter(F.split("_s", r"\s+"), lambda t: t != "")
     return sentences.withColumn("_t", tokens).where(F.size("_t") > 0).select(
         *key,

@@ -67,7 +67,7 @@ SELECT u AS "user", t AS "time", pos, i AS item, {text_list('h')} AS items, {tex
 TOKENS = """
 words AS (
   SELECT doc_id, unnest(w) AS token, unnest(range(1, len(w) + 1)) AS place
-  FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '[a-zA-Z]{3,}'), lambda x: lower(x)) AS w FROM documents)),
+  FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{3,}') AS w FROM documents)),
 counts AS (SELECT token, count(*) AS count FROM words GROUP BY token),
 vocab AS (
   SELECT token, count, id - 10 AS id

@@ -24,9 +24,11 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Checkpoint `df` to the shared folder, so lost executors cannot change or re-run it.
 
+    With `eager=False` it is stored by the first action on it; for callers that count next.
+
     The folder is the one the cluster names in `spark.checkpoint.dir`; only where none is
     configured (local runs, tests) a fresh temporary one is set.
     """
@@ -36,4 +38,4 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         if named is None and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="flowfeat-"))
-    return df.checkpoint(eager=True)
+    return df.checkpoint(eager=eager)
