@@ -53,6 +53,11 @@ def vocabulary(
     return ranked.where(F.col("id") > skip_top).select("token", "count", (F.col("id") - skip_top).cast("long").alias("id"))
 
 
+def dictionary(df: DataFrame, tokens: str = "tokens", vocab_size: int = 10_000) -> DataFrame:
+    """(token, count, id) of the `vocab_size` most frequent tokens."""
+    return vocabulary(df, tokens, vocab_size, skip_top=0)
+
+
 def token_ids(
     df: DataFrame,
     key: str | list[str],

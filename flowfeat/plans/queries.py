@@ -659,7 +659,7 @@ def _line_words(spark, folder) -> DataFrame:
 def corpus_ids(spark, folder):
     lines = src.table(spark, folder, "conversations").select("conv_id", "turn", F.col("text").alias("value"))
     known = _line_words(spark, folder).select(text.line_words("value").alias("tokens"))
-    vocab_rows = text.vocabulary(known, "tokens", 500, 0)
+    vocab_rows = text.dictionary(known, "tokens", 500)
     return text.corpus_ids(lines, ["conv_id", "turn"], vocab_rows).select("conv_id", "turn", joined("ids").alias("ids"))
 
 
@@ -676,7 +676,7 @@ def one_hot(spark, folder):
     from pyspark.ml.functions import vector_to_array
 
     words = _line_words(spark, folder).select("item_id", text.line_words("value").alias("tokens"))
-    coded = text.token_ids(words, "item_id", text.vocabulary(words, "tokens", 100, 0))
+    coded = text.token_ids(words, "item_id", text.dictionary(words, "tokens", 100))
     rows = text.one_hot(coded, "item_id", 101, "ids")
     values = vector_to_array("vector")
     return rows.select(
@@ -808,7 +808,7 @@ def doc_classifier(spark, folder):
     coded = text.token_ids(tokens, "doc_id", _vocab(tokens))
     vectors = text.mean_vectors(coded, "doc_id", _id_vectors(spark, folder), 64)
     labels = src.table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
-    rows = vectors.join(labels, "doc_id").persist()
+    rows = vectors.join(labels, "doc_id")
     model = models.doc_classifier(rows, max_iter=10)
     from pyspark.ml.functions import array_to_vector
 

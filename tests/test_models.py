@@ -9,12 +9,12 @@ from flowfeat.operators import features, metrics, models, series
 
 
 def test_index_and_threshold_pipeline(spark, tmp_path):
-    rows = [("hello", 0.7), ("MLeap", 0.2), ("from", 0.8), ("Spark", 0.33), ("hello", 0.4), ("Spark", 0.22)]
+    rows = [("hello", 0.7), ("Mango", 0.2), ("from", 0.8), ("Spark", 0.33), ("hello", 0.4), ("Spark", 0.22)]
     df = spark.createDataFrame(rows, "test_string string, test_double double")
     model = models.index_binarize().fit(df)
-    assert model.stages[0].labels == ["Spark", "hello", "MLeap", "from"]
+    assert model.stages[0].labels == ["Spark", "hello", "Mango", "from"]
     models.save_pipeline(model, str(tmp_path / "p"))
-    new = spark.createDataFrame([("hello", 0.6), ("MLeap", 0.2)], "test_string string, test_double double")
+    new = spark.createDataFrame([("hello", 0.6), ("Mango", 0.2)], "test_string string, test_double double")
     got = models.load_pipeline(str(tmp_path / "p")).transform(new).select("test_string_index", "test_double_bin")
     assert tuples(got) == [(1.0, 1.0), (2.0, 0.0)]
 
