@@ -107,7 +107,11 @@ def doc_classifier(df: DataFrame, features: str = "features", label: str = "labe
     """Fitted classifier on one vector (array of double) per document."""
     need(df, features, label)
     vectors = df.select(F.col(label).cast("double").alias("label"), array_to_vector(features).alias("features"))
-    return LogisticRegression(maxIter=max_iter, regParam=reg).fit(vectors)
+    vectors = vectors.persist()  # the fit passes over its input several times
+    try:
+        return LogisticRegression(maxIter=max_iter, regParam=reg).fit(vectors)
+    finally:
+        vectors.unpersist()
 
 
 def linear(df: DataFrame, inputs: list[str], label: str = "label"):
