@@ -195,15 +195,10 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
     def joined(self, doc: int, lo: int | None = None, hi: int | None = None) -> bytes:
-        """Words lo … hi-1 (counted over the block) of a text, with one space between."""
+        """Words lo … hi-1 (counted over the block; all by default) of a text, with one space between."""
         lo = self.first[doc] if lo is None else lo
         hi = self.first[doc + 1] if hi is None else hi
-        if hi <= lo:
-            return b""
-        whole = self.data[self.start[lo] : self.end[hi - 1]].tobytes()
-        return b" ".join(whole.split(None)) if self.spaced else b" ".join(self.word(i) for i in range(lo, hi))
-
-    spaced = True
+        return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.start[lo:hi].tolist(), self.end[lo:hi].tolist()))
 
 
 BYTE_CODES = mixed(np.arange(1, 257, dtype=_U) * _U(0xA0761D6478BD642F))
@@ -225,7 +220,7 @@ def grams(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     place = np.arange(n)
     at = np.flatnonzero(doc[:n] == doc[k - 1 :])
     sums = span_sums(hashes, place, place + k)[at] if k > 16 else _short_sums(hashes, k, n)[at]
-    return mixed(sums + _U(k) * _U(0x8EBC6AF09C88C6E3)), at
+    return mixed(sums + _U(k * 0x8EBC6AF09C88C6E3 % (1 << 64))), at
 
 
 def _short_sums(hashes: np.ndarray, k: int, n: int) -> np.ndarray:

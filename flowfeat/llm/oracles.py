@@ -16,3 +16,60 @@ ranked AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(b) AS text_sha256
 FROM ranked
 """
+
+ORACLES["op1_decontaminate"] = r"""
+WITH doc AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+),
+item AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+),
+place AS (
+    SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM item WHERE len(w) > 0
+),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[p : p + n - 1], ' ') AS g FROM place),
+lengths AS (SELECT DISTINCT n FROM win),
+spot AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM doc, lengths WHERE len(w) >= n),
+gram AS (SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS g FROM spot),
+hit AS (SELECT doc_id, p, gram.n, item_id FROM gram JOIN win ON gram.n = win.n AND gram.g = win.g),
+cover AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY doc_id),
+names AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS s
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id
+)
+SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN cover ON doc.doc_id = cover.doc_id LEFT JOIN names ON doc.doc_id = names.doc_id
+"""
+
+ORACLES["op4_minhash"] = r"""
+WITH RECURSIVE doc AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+shingle AS (
+    SELECT DISTINCT doc_id, array_to_string(w[p : p + 4], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM doc WHERE len(w) > 0)
+),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+common AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL
+),
+link AS (
+    SELECT a, b FROM common JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)
+),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (
+    SELECT doc_id, doc_id AS root FROM doc
+    UNION
+    SELECT edge.b, reach.root FROM reach JOIN edge ON edge.a = reach.doc_id
+),
+root AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
+SELECT root.doc_id, coalesce(n, 0) AS n_shingles, component_id, root.doc_id = component_id AS kept
+FROM root LEFT JOIN size ON root.doc_id = size.doc_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowfeat.llm import exact_dedup
+from flowfeat.llm import bpe, decontamination, exact_dedup, language, minhash
 from flowfeat.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,20 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents against all benchmark items."""
+    found = decontamination.contaminated(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.sort_array(F.col("items").cast("array<string>")), ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents: about half of them, by a hash of the id, are the snapshot and the others the incoming batch."""
@@ -26,3 +40,30 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     held = exact_dedup.snapshot(docs.where(old))
     found = exact_dedup.classes(exact_dedup.groups(exact_dedup.rows(docs.where(~old))), [held])
     return exact_dedup.resolve(docs, found).withColumnRenamed("digest", "text_sha256")
+
+
+@query
+def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, linked at a similarity of 0.85."""
+    return minhash.near_duplicates(documents(spark, folder), minhash.Plan(percent=85))
+
+
+def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, encoded and decoded."""
+    return bpe.digests(documents(spark, folder), vocabulary())
+
+
+@query
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Profiles of the labelled documents outside the held-out fold; predictions for all documents."""
+    docs = documents(spark, folder)
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+    profiles = language.learn(docs.where(~held_out))
+    return language.predict(docs, profiles).withColumn("held_out", held_out)
