@@ -73,3 +73,54 @@ root AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
 SELECT root.doc_id, coalesce(n, 0) AS n_shingles, component_id, root.doc_id = component_id AS kept
 FROM root LEFT JOIN size ON root.doc_id = size.doc_id
 """
+
+ORACLES["op8_substring_dedup"] = r"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+    SELECT doc_id, p, array_to_string(w[p : p + 49], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM doc WHERE len(w) >= 50)
+),
+earliest AS (SELECT g, min(doc_id) AS d FROM win GROUP BY g),
+gone AS (
+    SELECT DISTINCT doc_id, q FROM (
+        SELECT doc_id, unnest(range(p, p + 50)) AS q FROM win JOIN earliest ON win.g = earliest.g WHERE earliest.d < win.doc_id
+    )
+),
+word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS q FROM doc),
+kept AS (
+    SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.q) AS s, count(*) AS n
+    FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.q = gone.q
+    WHERE gone.q IS NULL GROUP BY word.doc_id
+)
+SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) AS BIGINT) - coalesce(n, 0) AS n_removed,
+       sha256(coalesce(s, '')) AS kept_sha256
+FROM doc LEFT JOIN kept ON doc.doc_id = kept.doc_id
+"""
+
+ORACLES["op7_line_dedup"] = r"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS t, string_split(text, chr(10)) AS l FROM documents),
+line AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM doc),
+rolled AS (SELECT *, md5(lag(md5(x)) OVER (PARTITION BY doc_id ORDER BY i) || md5(x)) AS r FROM line),
+numbered AS (
+    SELECT *, sum(CASE WHEN i = 1 OR right(r, 1) IN ('0', '1', '2', '3', '4', '5', '6', '7') THEN 1 ELSE 0 END)
+              OVER (PARTITION BY doc_id ORDER BY i) AS chunk
+    FROM rolled
+),
+chunk AS (
+    SELECT doc_id, chunk, count(*) AS n, min(i) AS b, string_agg(x, chr(10) ORDER BY i) AS c FROM numbered GROUP BY doc_id, chunk
+),
+gone AS (
+    SELECT doc_id, chunk FROM (
+        SELECT doc_id, chunk, row_number() OVER (PARTITION BY c ORDER BY doc_id, b) AS k
+        FROM chunk WHERE n >= 2 AND trim(c, ' ') <> ''
+    ) WHERE k > 1
+),
+kept AS (
+    SELECT numbered.doc_id, string_agg(x, chr(10) ORDER BY i) AS s, count(*) AS n
+    FROM numbered LEFT JOIN gone ON numbered.doc_id = gone.doc_id AND numbered.chunk = gone.chunk
+    WHERE gone.chunk IS NULL GROUP BY numbered.doc_id
+)
+SELECT doc.doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(len(l), 0) AS BIGINT) - coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM doc LEFT JOIN kept ON doc.doc_id = kept.doc_id
+"""

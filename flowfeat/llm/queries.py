@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowfeat.llm import bpe, decontamination, exact_dedup, language, minhash
+from flowfeat.llm import bpe, decontamination, exact_dedup, language, line_dedup, minhash, substring_dedup, url_filter
 from flowfeat.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,20 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+URL_RULES = [
+    url_filter.Rule("block", "net", "/"),
+    url_filter.Rule("allow", "example.net", "/en/"),
+    url_filter.Rule("block", "example.com", "/de/"),
+    url_filter.Rule("allow", "org", "/fr/"),
+]
+
+
+@query
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """All page URLs; those that a rule decides teach the models that judge the others."""
+    return url_filter.judge(spark.read.parquet(f"{folder}/pages.parquet"), URL_RULES).drop("url")
+
+
 @query
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents: about half of them, by a hash of the id, are the snapshot and the others the incoming batch."""
@@ -67,3 +81,17 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
     profiles = language.learn(docs.where(~held_out))
     return language.predict(docs, profiles).withColumn("held_out", held_out)
+
+
+@query
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, without line chunks that an earlier document has."""
+    out = line_dedup.drop_repeated(documents(spark, folder).select("doc_id", "text"))
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return out.select("doc_id", "dedup.n_lines", "dedup.n_removed", F.sha2(text, 256).alias("kept_sha256"))
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents: words in windows of 50 that an earlier document has are removed."""
+    return substring_dedup.remove_repeats(documents(spark, folder)).drop("spans")
