@@ -163,3 +163,24 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
         }
 
     return map_arrow(docs.select("doc_id", "text"), judge, "doc_id bigint, lang_pred string, score double")
+
+
+def identified(docs: DataFrame, profiles: dict[str, np.ndarray], least: float = NO_EVIDENCE) -> DataFrame:
+    """The rows of `docs` (text, …), with all their columns, in whose text some language shows: a score of `least` or more.
+
+    Rows are filtered where they are read; nothing is shuffled.
+    """
+    spark = tuned(docs.sparkSession)
+    names = list(profiles)
+    dim = len(profiles[names[0]]) if names else DIM
+    held = spark.sparkContext.broadcast(np.stack(list(profiles.values()), 1) if names else np.zeros((dim, 0)))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch):
+                vectors = bundles(block.column("text").to_pylist(), dim)
+                size = np.linalg.norm(vectors, axis=1)
+                best = (vectors @ held.value).max(1, initial=-np.inf) / np.where(size > 0, size, 1)
+                yield block.filter(pa.array((size > 0) & (best >= least)))
+
+    return docs.mapInArrow(keep, docs.schema)

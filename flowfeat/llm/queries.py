@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowfeat.llm import bpe, decontamination, exact_dedup, language, line_dedup, minhash, substring_dedup, url_filter
-from flowfeat.llm.common import documents
+from flowfeat.llm import bpe, decontamination, exact_dedup, language, line_dedup, minhash, substring_dedup, token_files, tool_calls, url_filter
+from flowfeat.llm.common import documents, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -95,3 +95,55 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents: words in windows of 50 that an earlier document has are removed."""
     return substring_dedup.remove_repeats(documents(spark, folder)).drop("spans")
+
+
+TOOLS = {
+    "configure": {"type": "object", "required": ["instructions"], "properties": {"instructions": {"type": "string", "minLength": 1}}},
+    "reply": {
+        "type": "object",
+        "required": ["prompt", "words"],
+        "properties": {"prompt": {"type": "string"}, "words": {"type": "integer", "minimum": 1}, "opening": {"type": "boolean"}},
+        "additionalProperties": False,
+    },
+}
+
+
+@query
+def op9_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations as tool calls: each user turn asks for a reply, whose result is the next turn if that is the
+    assistant's; system turns configure. Replies need the conversation's configuration and its first reply."""
+    turns = spark.read.parquet(f"{folder}/conversations.parquet")
+    call_id = F.concat_ws("-", F.lit("call"), F.col("turn"))
+    words = F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != ""))
+    reply = F.to_json(F.struct(F.col("text").alias("prompt"), words.alias("words"), (F.col("turn") == 0).alias("opening")))
+    first = turns.groupBy("conv_id").agg(
+        F.min(F.when(F.col("role") == "system", F.col("turn"))).alias("system"), F.min(F.when(F.col("role") == "user", F.col("turn"))).alias("user")
+    )
+    needs = F.filter(
+        F.array(F.col("system"), F.col("user")), lambda t: t.isNotNull() & (t != F.col("turn")) & (F.col("role") == "user")
+    )
+    asked = turns.where(F.col("role").isin("user", "system")).join(first.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")))
+    calls = asked.select(
+        "conv_id",
+        "turn",
+        call_id.alias("call_id"),
+        F.when(F.col("role") == "user", "reply").otherwise("configure").alias("name"),
+        F.when(F.col("role") == "user", reply).otherwise(F.to_json(F.struct(F.col("text").alias("instructions")))).alias("arguments"),
+        F.transform(needs, lambda t: F.concat_ws("-", F.lit("call"), t)).alias("needs"),
+    )
+    results = turns.where("role = 'assistant'").select(
+        "conv_id", "turn", F.concat_ws("-", F.lit("call"), F.col("turn") - 1).alias("call_id"), F.col("text").alias("content")
+    )
+    return tool_calls.linked(calls, results, TOOLS).select(
+        "conv_id", "call_id", "turn", "name", "level", "status", "n_calls", "n_results", F.sha2("message", 256).alias("message_sha256")
+    )
+
+
+@query
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, encoded and written as flat token files, and the documents found again in these files."""
+    separator = 50256
+    out = shared_folder(spark)
+    token_files.write_token_files(bpe.encode(documents(spark, folder), vocabulary()), out, separator)
+    found = token_files.token_counts(spark, out, separator)
+    return found.withColumn("file", F.regexp_extract("file", r"part-(\d+)", 1).cast("int"))
