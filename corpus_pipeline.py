@@ -17,7 +17,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line chunks that an earlier document has go; every document stays, and `n_chars` follows its text."""
-    out = line_dedup.drop_repeated(docs).drop("dedup")
+    out = line_dedup.drop_repeated(docs, report=None)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
     return out

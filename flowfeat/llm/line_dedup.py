@@ -88,10 +88,16 @@ def repeated(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_
     return same.select("doc", "mark", "begin", "end").distinct()
 
 
-def drop_repeated(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
+def drop_repeated(
+    docs: DataFrame,
+    window: int = WINDOW,
+    divisor: int = DIVISOR,
+    min_lines: int = MIN_LINES,
+    report: str | None = "dedup",
+) -> DataFrame:
     """All rows and columns of `docs` (doc_id, text, …), the text without its repeated chunks.
 
-    `n_lines` and `n_removed` are added in a struct column `dedup`, which takes the place of a column of that name.
+    `n_lines` and `n_removed` are added in a struct column `report`, which takes the place of a column of that name.
     """
     tuned(docs.sparkSession)
     gone = repeated(docs.select("doc_id", "text"), window, divisor, min_lines)
@@ -109,7 +115,7 @@ def drop_repeated(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR,
     kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.flatten(parts), "\n"))
     removed = F.aggregate(runs, F.lit(0), lambda acc, r: acc + r["end"] - r["begin"])
     n = F.when(text.isNull(), 0).otherwise(F.size("lines"))
-    return paired.select(
-        *[kept.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != "dedup"],
-        F.struct(n.cast("bigint").alias("n_lines"), removed.cast("bigint").alias("n_removed")).alias("dedup"),
-    )
+    columns = [kept.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != report]
+    if report:
+        columns.append(F.struct(n.cast("bigint").alias("n_lines"), removed.cast("bigint").alias("n_removed")).alias(report))
+    return paired.select(*columns)

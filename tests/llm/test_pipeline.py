@@ -32,7 +32,7 @@ def test_stages(spark, folder):
     one = stages["language"](spark, docs, path).cache()
     assert one.schema == docs.schema
     lettered = sorted([(d, t) for d, t, *_ in rows if any(c.isalpha() for c in t or "")], key=str)
-    assert set(texts(one)) <= set(lettered) and len(texts(one)) > 0.9 * len(lettered)
+    assert set(texts(one)) <= set(lettered) and len(texts(one)) > 0.8 * len(lettered)  # but for a few of one or two syllables
     two = stages["lines"](spark, one, path).cache()
     assert two.columns == docs.columns
     kept = [(r["doc_id"], r["text"]) for r in one.collect()]
