@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import OneHotEncoder
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -95,17 +97,23 @@ def pad_ids(
 
 
 def token_vectors(
-    df: DataFrame, key: str | list[str], vectors: DataFrame, dim: int, ids: str = "ids", out: str = "vectors"
+    df: DataFrame, key: str | list[str], vectors: DataFrame, dim: int, ids: str = "ids", out: str = "vectors",
+    pad: int | None = None,
 ) -> DataFrame:
     """(key, vectors): one vector per id in order, the zero vector where `vectors` has none.
 
-    `vectors` is (id, vector).
+    `vectors` is (id, vector). Places of the id `pad` get the zero vector whatever `vectors` holds; their join key is
+    spread and matches nothing, so padding is never a hot key.
     """
     key = as_list(key)
     need(df, *key, ids)
     zero = F.array_repeat(F.lit(0.0), dim)
     spread = df.select(*key, F.posexplode_outer(ids).alias("_at", "id"))
-    found = spread.join(vectors.select("id", F.col("vector").cast("array<double>").alias("_v")), "id", "left")
+    known = vectors.select("id", F.lit(False).alias("_pad"), F.col("vector").cast("array<double>").alias("_v"))
+    padding = F.lit(False) if pad is None else F.col("id") == F.lit(pad)
+    spread = spread.withColumn("_pad", F.coalesce(padding, F.lit(False)))
+    spread = spread.withColumn("id", F.when(F.col("_pad"), F.xxhash64(*key, "_at")).otherwise(F.col("id")))
+    found = spread.join(known, ["id", "_pad"], "left")
     pair = F.when(F.col("_at").isNotNull(), F.struct("_at", F.coalesce("_v", zero).alias("v")))
     return (
         found.groupBy(*key)
@@ -119,21 +127,15 @@ def mean_vectors(
 ) -> DataFrame:
     """(key, features): mean of the vectors of a row's ids, ids without a vector count as zero.
 
-    Ids are counted per row first, so a row and an id meet once however often the id occurs.
+    One aggregate: what is sent for a row is its running mean, one vector per task.
     """
     key = as_list(key)
     need(df, *key, ids)
-    counted = df.select(*key, F.explode_outer(ids).alias("id")).groupBy(*key, "id").agg(F.count("id").alias("_n"))
-    found = counted.join(vectors.select("id", F.col("vector").cast("array<double>").alias("_v")), "id", "left")
-    sums = [
-        F.sum(F.coalesce(F.get("_v", F.lit(i)), F.lit(0.0)) * F.col("_n")).alias(f"_s{i}") for i in range(dim)
-    ]
-    total = F.greatest(F.sum("_n"), F.lit(1)).alias("_total")
-    return (
-        found.groupBy(*key)
-        .agg(*sums, total)
-        .select(*key, F.array(*[F.col(f"_s{i}") / F.col("_total") for i in range(dim)]).alias(out))
-    )
+    zero = F.array_repeat(F.lit(0.0), dim)
+    spread = df.select(*key, F.explode_outer(ids).alias("id"))
+    found = spread.join(vectors.select("id", F.col("vector").cast("array<double>").alias("_v")), "id", "left")
+    mean = Summarizer.mean(array_to_vector(F.coalesce("_v", zero)))
+    return found.groupBy(*key).agg(vector_to_array(mean).alias(out))
 
 
 def sentence_tokens(df: DataFrame, key: str | list[str], text: str) -> DataFrame:
@@ -183,10 +185,12 @@ def next_token_pairs(
 ) -> DataFrame:
     """Add `input` (all ids but the last) and `target` (all but the first), padded on the right.
 
-    `length` is the fixed length both are padded to; None leaves them as they are.
+    `length` is the fixed length both are padded to, an error if a row is longer; None leaves them as they are.
     """
     need(df, ids)
     n = F.greatest(F.size(ids) - 1, F.lit(0))
+    if length is not None:  # nothing is ever cut
+        n = F.when(n > length, F.raise_error(F.lit(f"a row has more than {length} pairs")).cast("int")).otherwise(n)
     source, target = F.slice(ids, F.lit(1), n), F.slice(ids, F.lit(2), n)
     if length is not None:
         kind = df.schema[ids].dataType.elementType

@@ -28,7 +28,6 @@ class SequenceParams:
     hash: str = "md5"
     group_rows: int | None = None
     small_rows: int = SMALL_ROWS
-    lookup_items: int = sequence.LOOKUP_ITEMS
 
 
 def sequence_features(
@@ -62,7 +61,7 @@ def sequence_features(
     )
     rows = sequence.negative_history(
         rows, f"{item}_history", categories, n_items, params.non_clk, params.seed,
-        [user_id, "pos", item_id, "label"], start=1, hash=params.hash, lookup_items=params.lookup_items,
+        [user_id, "pos", item_id, "label"], start=1, hash=params.hash,
     )
     histories = ["cat_history", f"{item}_history"]
     return sequence.mask(sequence.prepad(rows, histories, params.his_len_max), histories)
@@ -117,4 +116,4 @@ def text_features(
     vocab = text.vocabulary(tokens, "tokens", max_words, skip_top, small_rows)
     coded = text.pad_ids(text.token_ids(tokens, key, vocab), "ids", length)
     by_id = vectors.join(vocab.select("token", "id"), "token").select("id", "vector")
-    return coded.join(text.token_vectors(coded, key, by_id, dim), key)
+    return coded.join(text.token_vectors(coded, key, by_id, dim, pad=0), key)

@@ -503,12 +503,33 @@ p AS (SELECT doc_id, {padded('ids', 50)} AS ids FROM coded),
 x AS (SELECT doc_id, unnest(ids) AS id FROM p)
 SELECT doc_id, 50 AS places, 3200 AS n,
        round(coalesce(sum(list_sum(list_transform(embedding, lambda e: CAST(e AS DOUBLE)))), 0), 4) AS total
-FROM x LEFT JOIN embeddings ON id = vec_id GROUP BY doc_id""",
+FROM x LEFT JOIN embeddings ON id = vec_id + 1 GROUP BY doc_id""",
+    "word_vectors": f"""
+WITH {TOKENS}
+SELECT id, token, CAST(len(embedding) AS INTEGER) AS n,
+       round(list_sum(list_transform(embedding, lambda e: CAST(CAST(e AS VARCHAR) AS DOUBLE))), 4) AS total
+FROM vocab JOIN embeddings ON id = vec_id + 1""",
+    "text_features": f"""
+WITH {CODED},
+p AS (SELECT doc_id, {padded('ids', 50)} AS ids FROM coded),
+x AS (SELECT doc_id, unnest(ids) AS id FROM p),
+t AS (SELECT doc_id, round(coalesce(sum(list_sum(list_transform(embedding, lambda e: CAST(e AS DOUBLE)))), 0), 4) AS total
+      FROM x LEFT JOIN embeddings ON id = vec_id + 1 GROUP BY doc_id)
+SELECT p.doc_id, CASE WHEN {draw('1000000', 'p.doc_id')} / CAST(1000000 AS DOUBLE) < 0.8 THEN 0 ELSE 1 END AS split,
+       {text_list('ids')} AS ids, 50 AS places, total
+FROM p JOIN t ON p.doc_id = t.doc_id""",
+    "linear_fit": """
+SELECT CAST(2 AS DOUBLE) AS w0, CAST(2 AS DOUBLE) AS w1, CAST(0.4 AS DOUBLE) AS intercept""",
+    "index_binarize": """
+WITH ranked AS (SELECT p_type, row_number() OVER (ORDER BY count(*) DESC, p_type) - 1 AS k FROM part GROUP BY p_type)
+SELECT part.p_type AS test_string, p_size / CAST(50 AS DOUBLE) AS test_double, CAST(k AS DOUBLE) AS test_string_index,
+       CASE WHEN p_size / CAST(50 AS DOUBLE) > 0.5 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS test_double_bin
+FROM part JOIN ranked ON part.p_type = ranked.p_type""",
     "doc_mean_vectors": f"""
 WITH {CODED},
 x AS (SELECT doc_id, unnest(ids) AS id FROM coded),
 m AS (SELECT doc_id, sum(CAST(embedding[1] AS DOUBLE)) / count(*) AS a, sum(CAST(embedding[32] AS DOUBLE)) / count(*) AS b,
-             sum(CAST(embedding[64] AS DOUBLE)) / count(*) AS c FROM x LEFT JOIN embeddings ON id = vec_id GROUP BY doc_id)
+             sum(CAST(embedding[64] AS DOUBLE)) / count(*) AS c FROM x LEFT JOIN embeddings ON id = vec_id + 1 GROUP BY doc_id)
 SELECT d.doc_id, round(coalesce(a, 0), 6) AS x0, round(coalesce(b, 0), 6) AS x31, round(coalesce(c, 0), 6) AS x63
 FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id""",
     "sentence_tokens": f"""
@@ -524,16 +545,23 @@ w AS (SELECT conv_id, turn, unnest({line_words('text')}) AS token,
 SELECT conv_id, turn, {in_order('CASE WHEN id <= 500 THEN id + 1 ELSE 1 END', 'w.place')} AS ids
 FROM w LEFT JOIN known ON w.token = known.token GROUP BY conv_id, turn""",
     "next_tokens": f"""
-WITH {CODED}, p AS (SELECT doc_id, ids, len(ids) AS n FROM coded)
-SELECT doc_id,
-       {text_list('list_slice(list_concat(list_slice(ids, 1, n - 1), list_transform(range(200), lambda z: CAST(2 AS BIGINT))), 1, 200)')} AS input,
-       {text_list('list_slice(list_concat(list_slice(ids, 2, n), list_transform(range(200), lambda z: CAST(1 AS BIGINT))), 1, 200)')} AS target
-FROM p""",
+WITH {SENTENCES},
+t AS (SELECT conv_id, turn, sentence, list_append(list_prepend('<s>', w), '</s>') AS k FROM cut WHERE len(w) > 0),
+x AS (SELECT conv_id, turn, sentence, unnest(k) AS token, unnest(range(len(k))) AS place FROM t),
+known AS (SELECT token, least(row_number() OVER (ORDER BY count(*) DESC, token), 1001) AS id FROM x GROUP BY token),
+c AS (SELECT conv_id, turn, sentence, list(id ORDER BY place) AS ids, count(*) AS n
+      FROM x JOIN known ON x.token = known.token GROUP BY conv_id, turn, sentence),
+m AS (SELECT max(n) - 1 AS length FROM c),
+e AS (SELECT max(id) FILTER (WHERE token = '</s>') AS e, max(id) FILTER (WHERE token = '<s>') AS s FROM known)
+SELECT conv_id, turn, sentence,
+       {text_list('list_concat(list_slice(ids, 1, n - 1), list_transform(range(length - n + 1), lambda z: e.e))')} AS input,
+       {text_list('list_concat(list_slice(ids, 2, n), list_transform(range(length - n + 1), lambda z: e.s))')} AS target
+FROM c, m, e""",
     "one_hot": f"""
 WITH w AS (SELECT item_id, unnest({line_words('text')}) AS token, unnest(range(len({line_words('text')}))) AS place FROM benchmark),
 known AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) AS id FROM w GROUP BY token)
-SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY w.place) - 1 AS pos, 101 AS width, id AS place
-FROM w JOIN known ON w.token = known.token WHERE id <= 100""",
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY w.place) - 1 AS pos, 102 AS width, least(id, 101) AS place
+FROM w JOIN known ON w.token = known.token""",
     "parse_ratings": f"""
 WITH {INTER} SELECT CAST(u AS INTEGER) AS "userId", CAST(i AS INTEGER) AS "itemId", CAST(rating AS INTEGER) AS label FROM inter""",
     "parse_ratings_strict": f"""

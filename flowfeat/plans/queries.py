@@ -22,6 +22,7 @@ WINDOW, STEP = 24, 1  # hourly windows
 TOP = 5
 VOCAB_WORDS, VOCAB_SKIP = 5000, 10
 DOC_LENGTH = 200
+SENTENCE_WORDS = 1000
 GENRES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL"]  # one type is left out on purpose: code 0
 
 
@@ -156,10 +157,12 @@ def neg_rows_unseen(spark, folder):
     )
 
 
-def _neg_history(spark, folder, **options) -> DataFrame:
+def _neg_history(spark, folder, shuffled=False) -> DataFrame:
     categories, n = _catalogue(spark, folder)
+    if shuffled:
+        categories = categories.hint("merge")
     rows = _history(spark, folder).select("user", "pos", "item_history")
-    rows = sequence.negative_history(rows, "item_history", categories, n, 2, NEG_SEED, ["user", "pos"], **options)
+    rows = sequence.negative_history(rows, "item_history", categories, n, 2, NEG_SEED, ["user", "pos"])
     return rows.select(
         "user", "pos", joined_lists("noclk_item_list").alias("neg_items"), joined_lists("noclk_cat_list").alias("neg_cats")
     )
@@ -172,8 +175,8 @@ def neg_history(spark, folder):
 
 @query
 def neg_history_joined(spark, folder):
-    """Same rows as `neg_history`, with the categories found by a join."""
-    return _neg_history(spark, folder, lookup_items=0)
+    """Same rows as `neg_history`, with a catalogue that is shuffled as a large one would be."""
+    return _neg_history(spark, folder, shuffled=True)
 
 
 @query
@@ -618,8 +621,8 @@ def longest_doc(spark, folder):
 
 
 def _id_vectors(spark, folder) -> DataFrame:
-    """Embeddings taken as the vectors of word ids."""
-    return src.vectors(spark, folder).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    """Embeddings taken as the vectors of word ids, which start at one."""
+    return src.vectors(spark, folder).select((F.col("vec_id") + 1).alias("id"), F.col("embedding").alias("vector"))
 
 
 @query
@@ -627,13 +630,44 @@ def doc_vectors(spark, folder):
     """One vector per place of the padded document; sums stand for the whole."""
     tokens = _tokens(spark, folder)
     coded = text.pad_ids(text.token_ids(tokens, "doc_id", _vocab(tokens)), "ids", 50)
-    rows = text.token_vectors(coded, "doc_id", _id_vectors(spark, folder), 64)
+    rows = text.token_vectors(coded, "doc_id", _id_vectors(spark, folder), 64, pad=0)
     total = F.aggregate(F.flatten("vectors"), F.lit(0.0), lambda a, x: a + x)
     return rows.select(
         "doc_id", F.size("vectors").alias("places"), F.size(F.flatten("vectors")).alias("n"), F.round(total, 4).alias("total")
     )
 
 
+def _word_rows(spark, folder, vocab_rows) -> DataFrame:
+    """(token, vector): embeddings taken as the vectors of the vocabulary's words."""
+    return _id_vectors(spark, folder).join(vocab_rows.select("token", "id"), "id").select("token", "vector")
+
+
+@query
+def word_vectors(spark, folder):
+    """Vectors read from lines `word f1 … fn`."""
+    vocab_rows = _vocab(_tokens(spark, folder))
+    lines = _word_rows(spark, folder, vocab_rows).select(
+        F.concat_ws(" ", "token", F.col("vector").cast("array<string>")).alias("value")
+    )
+    rows = text.word_vectors(lines, vocab_rows)
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+    return rows.select("id", "token", F.size("vector").alias("n"), F.round(total, 4).alias("total"))
+
+
+@query
+def text_features(spark, folder):
+    """Padded ids and vectors of every document, and its side of a split by hashed id."""
+    vocab_rows = _vocab(_tokens(spark, folder))
+    docs = src.docs(spark, folder)
+    rows = jobs.text_features(
+        docs, "doc_id", "text", _word_rows(spark, folder, vocab_rows), 64, VOCAB_WORDS, VOCAB_SKIP, length=50
+    )
+    total = F.aggregate(F.flatten("vectors"), F.lit(0.0), lambda a, x: a + x)
+    return sampling.hash_split(rows, "doc_id", [0.8, 0.2]).select(
+        "doc_id", "split", joined("ids").alias("ids"), F.size("vectors").alias("places"), F.round(total, 4).alias("total")
+    )
+
+
 @query
 def doc_mean_vectors(spark, folder):
     tokens = _tokens(spark, folder)
@@ -665,10 +699,21 @@ def corpus_ids(spark, folder):
 
 @query
 def next_tokens(spark, folder):
-    tokens = _tokens(spark, folder)
-    coded = text.token_ids(tokens, "doc_id", _vocab(tokens))
-    rows = text.next_token_pairs(coded, "ids", DOC_LENGTH, 2, 1)
-    return rows.select("doc_id", joined("input").alias("input"), joined("target").alias("target"))
+    """Every sentence of the conversations, unknown words under an id of their own, padded with the markers' ids."""
+    key = ["conv_id", "turn", "sentence"]
+    rows = text.sentence_tokens(src.table(spark, folder, "conversations"), key[:2], "text")
+    words = text.dictionary(rows, "tokens", SENTENCE_WORDS)
+    unknown = SENTENCE_WORDS + 1
+    marks = words.where(F.col("token").isin(text.SENTENCE_START, text.SENTENCE_END))
+    pads = {r["token"]: r["id"] for r in marks.collect()}  # two rows at most
+    length = max((text.longest(rows).first()["longest"] or 1) - 1, 1)
+    coded = text.token_ids(rows, key, words, unknown=unknown)
+    end, start = (pads.get(m, unknown) for m in (text.SENTENCE_END, text.SENTENCE_START))
+    pairs = text.next_token_pairs(coded, "ids", length, end, start)
+    return pairs.select(
+        "conv_id", "turn", F.col("sentence").cast("long").alias("sentence"),
+        joined("input").alias("input"), joined("target").alias("target"),
+    )
 
 
 @query
@@ -676,8 +721,8 @@ def one_hot(spark, folder):
     from pyspark.ml.functions import vector_to_array
 
     words = _line_words(spark, folder).select("item_id", text.line_words("value").alias("tokens"))
-    coded = text.token_ids(words, "item_id", text.dictionary(words, "tokens", 100))
-    rows = text.one_hot(coded, "item_id", 101, "ids")
+    coded = text.token_ids(words, "item_id", text.dictionary(words, "tokens", 100), unknown=101)
+    rows = text.one_hot(coded, "item_id", 102, "ids")
     values = vector_to_array("vector")
     return rows.select(
         "item_id", F.col("pos").cast("long").alias("pos"), F.size(values).alias("width"),
@@ -791,9 +836,10 @@ def pair_classifier(spark, folder):
     pairs = src.vector_pairs(spark, folder)
     other = src.vectors(spark, folder).select((F.col("vec_id") - 1).alias("vec_id"), F.col("label").alias("next"))
     rows = pairs.join(other, "vec_id").withColumn("label", (F.col("label") == F.col("next")).cast("double"))
-    ready = features.embedding_rows(rows, "userVec", "itemVec", size=128)
-    model = models.dense_classifier(ready, layers=(128, 40, 20, 10, 2), max_iter=10)
-    return metrics.confusion(model.transform(ready))
+    rows = sampling.hash_split(rows, "vec_id", [0.8, 0.2])
+    train, test = (features.embedding_rows(rows.where(F.col("split") == k), "userVec", "itemVec", size=128) for k in (0, 1))
+    model = models.dense_classifier(train, layers=(128, 40, 20, 10, 2), max_iter=10)
+    return metrics.confusion(model.transform(test))
 
 
 @query
@@ -808,11 +854,12 @@ def doc_classifier(spark, folder):
     coded = text.token_ids(tokens, "doc_id", _vocab(tokens))
     vectors = text.mean_vectors(coded, "doc_id", _id_vectors(spark, folder), 64)
     labels = src.table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
-    rows = vectors.join(labels, "doc_id")
-    model = models.doc_classifier(rows, max_iter=10)
+    rows = sampling.hash_split(vectors.join(labels, "doc_id"), "doc_id", [0.8, 0.2])
+    rows = rows.persist()  # fitted and scored from the same vectors; the caller's clearCache frees them
+    model = models.doc_classifier(rows.where("split = 0"), max_iter=10)
     from pyspark.ml.functions import array_to_vector
 
-    scored = model.transform(rows.withColumn("features", array_to_vector("features")))
+    scored = model.transform(rows.where("split = 1").withColumn("features", array_to_vector("features")))
     return metrics.mae(scored)
 
 

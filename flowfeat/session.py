@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,12 +32,16 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     With `eager=False` it is stored by the first action on it; for callers that count next.
 
     The folder is the one the cluster names in `spark.checkpoint.dir`; only where none is
-    configured (local runs, tests) a fresh temporary one is set.
+    configured and driver and executors are one process (local runs, tests) a fresh temporary one is set,
+    and deleted when that process ends.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
-        if named is None and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="flowfeat-"))
+        if named is None:
+            if context.master != "local" and not context.master.startswith("local["):  # more than one process
+                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+            named = tempfile.mkdtemp(prefix="flowfeat-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
     return df.checkpoint(eager=eager)

@@ -66,7 +66,7 @@ def test_negative_history(spark, start):
     items = spark.range(start, start + 9).select(F.col("id").alias("item"), (F.col("id") % 4 + 100).alias("cat"))
     rows = spark.createDataFrame([(1, [3, 1]), (2, [3, 1]), (3, [])], "row long, h array<long>")
     near = sequence.negative_history(rows, "h", items, 9, 2, key="row", start=start)
-    far = sequence.negative_history(rows, "h", items, 9, 2, key="row", start=start, lookup_items=0)
+    far = sequence.negative_history(rows, "h", items.hint("merge"), 9, 2, key="row", start=start)
     assert tuples(near) == tuples(far)
     lists = {r["row"]: r for r in near.collect()}
     assert lists[1]["noclk_item_list"] != lists[2]["noclk_item_list"]
@@ -80,6 +80,24 @@ def test_negative_history(spark, start):
         sequence.negative_history(rows, "h", items, 1)
 
 
+def test_negative_history_of_awkward_rows(spark):
+    """Repeated and missing keys, null and empty histories, gapped ids, categories of another type."""
+    items = spark.createDataFrame([(i, f"c{i % 4}") for i in range(9) if i != 5], "item long, cat string")
+    rows = [(1, [3, 1]), (1, [4]), (1, [4]), (None, [2, 2]), (None, [7]), (2, None), (3, [])]
+    rows = spark.createDataFrame(rows, "row long, h array<long>")
+    for keys in ((), "row"):
+        for catalogue in (items, items.hint("merge")):
+            got = sequence.negative_history(rows, "h", catalogue, 9, 2, key=keys).collect()
+            assert len(got) == 7
+            for r in got:
+                if r["h"] is None:
+                    assert r["noclk_item_list"] is None and r["noclk_cat_list"] is None
+                    continue
+                assert [len(x) for x in r["noclk_cat_list"]] == [2] * len(r["h"])
+                want = [[None if d == 5 else f"c{d % 4}" for d in x] for x in r["noclk_item_list"]]
+                assert r["noclk_cat_list"] == want
+
+
 @pytest.fixture(scope="module")
 def reviews(spark):
     rows = [(f"a{e % 7}", float(e % 5), f"u{e % 4}", 100 + (e * 11) % 40) for e in range(60)] + [("zz", 1.0, "u9", 5)]
@@ -115,7 +133,7 @@ def test_pipeline(spark, reviews):
     capped = sequence_features(facts, meta, SequenceParams(his_len_min=3, max_targets=4, history_len=2), tie=["overall"])
     assert capped.agg(F.min("pos"), F.max(F.size("asin_history"))).first()[1] == 2
     assert capped.count() == 4 * 4 * 2
-    hot = sequence_features(facts, meta, SequenceParams(group_rows=10, small_rows=0, lookup_items=0), tie=["overall"])
+    hot = sequence_features(facts, meta, SequenceParams(group_rows=10, small_rows=0), tie=["overall"])
     assert tuples(hot.select("*")) == tuples(sequence_features(facts, meta, tie=["overall"]).select(*hot.columns))
 
 
