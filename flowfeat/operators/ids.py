@@ -68,12 +68,19 @@ def frequency_index(
     """Add `<col>_index` (most frequent value first) for each column.
 
     The dictionaries stay distributed tables; nothing is collected, so the number of
-    distinct values is not limited by the driver. Rows with a null value are kept with a
-    null id.
+    distinct values is not limited by the driver. All of them are counted in one pass over
+    `df`. Rows with a null value are kept with a null id.
     """
+    cols = as_list(cols)
+    need(df, *cols)
+    pairs = [F.struct(F.lit(k).alias("_c"), F.col(col).cast("string").alias("_v")) for k, col in enumerate(cols)]
+    counts = df.select(F.explode(F.array(*pairs)).alias("_p")).where("_p._v IS NOT NULL").groupBy("_p._c", "_p._v")
+    counts = cut_lineage(counts.agg(F.count(F.lit(1)).alias("count")))
     coded = df
-    for col in as_list(cols):
-        numbers = frequency_dictionary(df, col, (shift or {}).get(col, 0), small_rows, buckets)
+    for k, col in enumerate(cols):
+        mine = counts.where(F.col("_c") == k).select(F.col("_v").cast(df.schema[col].dataType).alias(col), "count")
+        order = [F.desc("count"), F.asc(col)]
+        numbers = global_positions(mine, order, "id", (shift or {}).get(col, 0), small_rows, buckets)
         coded = coded.join(numbers.select(col, F.col("id").alias(f"{col}_index")), col, "left")
     return coded
 

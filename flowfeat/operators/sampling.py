@@ -110,10 +110,11 @@ def mix_negatives(
     label: str = "label",
 ) -> DataFrame:
     """The input pairs and as many draws of unseen ones; raises if a pair occurs twice."""
-    mixed = negatives_by_pair(
+    # draws are distinct and unseen by construction, so only the input can hold a pair twice
+    require_unique(df.select(F.col(user).cast("long").alias(user), F.col(item).cast("long").alias(item)), [user, item])
+    return negatives_by_pair(
         df, user, item, seed=seed, include_positives=True, label=label, n_users=n_users, n_items=n_items
     )
-    return require_unique(mixed, [user, item])
 
 
 def random_split(df: DataFrame, weights: list[float], seed: int = 42) -> list[DataFrame]:

@@ -425,7 +425,10 @@ WITH {INTER}
 SELECT min(u) AS min_user, max(u) AS max_user, max(i) AS max_item, count(DISTINCT u) AS users, count(DISTINCT i) AS items FROM inter""",
     "describe_totals": """
 SELECT 'count' AS summary, CAST(count(o_totalprice) AS DOUBLE) AS value FROM orders
-UNION ALL SELECT 'min', min(o_totalprice) FROM orders UNION ALL SELECT 'max', max(o_totalprice) FROM orders""",
+UNION ALL SELECT 'mean', round(avg(CAST(o_totalprice AS DOUBLE)), 4) FROM orders
+UNION ALL SELECT 'stddev', round(stddev_samp(CAST(o_totalprice AS DOUBLE)), 4) FROM orders
+UNION ALL SELECT 'min', round(min(CAST(o_totalprice AS DOUBLE)), 4) FROM orders
+UNION ALL SELECT 'max', round(max(CAST(o_totalprice AS DOUBLE)), 4) FROM orders""",
     "date_int": f"""
 WITH {CARDS} SELECT date, count(*) AS n FROM cards GROUP BY date""",
     "calendar": """

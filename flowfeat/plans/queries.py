@@ -472,8 +472,8 @@ def id_bounds(spark, folder):
 
 @query
 def describe_totals(spark, folder):
-    rows = src.table(spark, folder, "orders").select("o_totalprice").summary("count", "min", "max")
-    return rows.select("summary", F.col("o_totalprice").cast("double").alias("value"))
+    rows = src.table(spark, folder, "orders").select(F.col("o_totalprice").cast("double").alias("value")).describe()
+    return rows.select("summary", F.round(F.col("value").cast("double"), 4).alias("value"))
 
 
 @query
