@@ -44,11 +44,13 @@ def tuned(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below the one that the cluster names in `spark.checkpoint.dir`.
 
-    Where none is named (local runs and tests), a folder `flowfeat-scratch` beside the warehouse is used.
+    Where none is named (local runs and tests), a folder `flowfeat-scratch` in the warehouse is used.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     root = root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/flowfeat-scratch"
-    return f"{root.rstrip('/')}/flowfeat-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/flowfeat-{uuid.uuid4().hex}"
+    spark.__dict__.setdefault("flowfeat_folders", []).append(folder)
+    return folder
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -59,13 +61,22 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_stored(*tables: DataFrame) -> None:
     """Delete tables made by `stored` whose last reader is done."""
     for df in tables:
-        spark = df.sparkSession
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _delete(df.sparkSession, folder)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all that the operators stored in this session, once their results have been written."""
+    for folder in spark.__dict__.pop("flowfeat_folders", []):
+        _delete(spark, folder)
 
 
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
