@@ -95,6 +95,12 @@ def negatives_by_pair(
     return positives.unionByName(negatives)
 
 
+def reached(df: DataFrame, negatives: DataFrame, amplifier: int = 1) -> DataFrame:
+    """One row (wanted, reached): how many negatives were asked for `df`, and how many came back."""
+    asked = df.agg((F.count(F.lit(1)) * amplifier).alias("wanted"))
+    return asked.withColumn("reached", F.lit(negatives.count()))
+
+
 def require_unique(df: DataFrame, cols: str | list[str]) -> DataFrame:
     """`df` itself; raises if two rows agree on `cols`."""
     cols = as_list(cols)

@@ -278,6 +278,9 @@ WHERE label = 1 OR NOT EXISTS (SELECT 1 FROM pos_items p WHERE p.u = rows.u AND
     "neg_pairs": f"""
 WITH {PAIR_SEEN}, {pair_draws('n', 42)}
 SELECT u AS "userIdIndex", i AS "itemIdIndex", CAST(0 AS DOUBLE) AS label FROM negatives""",
+    "neg_pairs_reached": f"""
+WITH {PAIR_SEEN}, {pair_draws('n', 42)}
+SELECT (SELECT n FROM size) AS wanted, count(*) AS reached FROM negatives""",
     "neg_pairs_amplified": f"""
 WITH {PAIR_SEEN}, {pair_draws('3 * n', 7)}
 SELECT u AS "userIdIndex", i AS "itemIdIndex", CAST(0 AS DOUBLE) AS label FROM negatives""",

@@ -210,6 +210,12 @@ def neg_pairs(spark, folder):
     return sampling.negatives_by_pair(_shifted(spark, folder), "userIdIndex", "itemIdIndex")
 
 
+@query
+def neg_pairs_reached(spark, folder):
+    pairs = _shifted(spark, folder)
+    return sampling.reached(pairs, sampling.negatives_by_pair(pairs, "userIdIndex", "itemIdIndex"))
+
+
 @query
 def neg_pairs_amplified(spark, folder):
     return sampling.negatives_by_pair(_shifted(spark, folder), "userIdIndex", "itemIdIndex", amplifier=3, seed=7)
