@@ -2,10 +2,11 @@
 
 One permutation scatters the shingles of a text over a ring of 2**32 places; a second one, shifted by k places around
 the ring, gives coordinate k of the signature as its minimum. Rows of coordinates are hashed into bands. In every
-bucket of texts that share a band, each text is compared with one hub; where that leaves a bucket in more than one
-component, the texts outside the hub's component are compared with all others of the bucket, block by block. Pairs are
-screened by their signatures and confirmed by exact Jaccard similarity of the full shingle sets. Copies (equal word
-sequences) are one node throughout.
+bucket of texts that share a band, each text is compared with one hub, by signature and then by exact Jaccard similarity
+of the full shingle sets. Where that leaves a bucket in more than one component, the texts outside the hub's component
+are compared with all others that met the same hub, block by block, again on full sets; a block gives only links that
+join components, so what comes out grows with the texts and not with their pairs. Copies (equal word sequences) are one
+node throughout.
 
 Defined cases: a text with fewer than `words` words is one shingle; null, empty or blank texts have no shingles and are
 linked with nothing; a null doc_id is an ordinary row, and the smallest id of a group is taken over its other rows;
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowfeat.llm.common import NOT_SPACE, Words, by_value, grams, lists, map_arrow, mixed, span_sums, stored, tuned
+from flowfeat.llm.common import NOT_SPACE, Words, by_value, drop_stored, grams, lists, map_arrow, mixed, span_sums, stored, tuned
 from flowfeat.llm.components import components
 
 by_value(__name__)
@@ -102,16 +103,17 @@ def signatures(value: np.ndarray, begin: np.ndarray, coordinates: int) -> np.nda
     return out
 
 
+def _node(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
 def sketches(docs: DataFrame, plan: Plan) -> DataFrame:
     """`doc_id`, `node` (digest of the word sequence), `n` (distinct shingles), `sketch` (a byte per coordinate), `bands`."""
 
     def sketch(block: pa.RecordBatch) -> dict:
         words, hashes, value, owner = shingles(block, plan.words)
         total = block.num_rows
-        node = [
-            hashlib.blake2b(hashes[lo:hi].tobytes(), digest_size=16).digest()
-            for lo, hi in zip(words.first[:-1], words.first[1:])
-        ]
+        node = [_node(hashes[lo:hi]) for lo, hi in zip(words.first[:-1], words.first[1:])]
         size = np.bincount(owner, minlength=total)
         begin = np.r_[0, np.cumsum(size)]
         n = np.zeros(total, np.int64)
@@ -165,92 +167,119 @@ def _bytes(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
-    """Those pairs of nodes whose full shingle sets reach the similarity. `pairs` is read twice; store it."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "low"), "node")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(ends, F.col("id").eqNullSafe(F.col("low"))).select("node", "text")
+def node_texts(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
+    """`node`, `text` of each node in `wanted` (node, low). Stored."""
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, F.col("id").eqNullSafe(F.col("low"))).select("node", "text")
 
-    def same(block: pa.RecordBatch) -> dict:
+    def own(block: pa.RecordBatch) -> dict:
         """A text belongs to the node only if it has its digest: several rows may share an id."""
         words = Words(block.column("text"), NOT_SPACE, lower=True)
         hashes = words.hashes()
-        own = [
-            hashlib.blake2b(hashes[lo:hi].tobytes(), digest_size=16).digest()
-            for lo, hi in zip(words.first[:-1], words.first[1:])
-        ]
-        right = np.array([o == n for o, n in zip(own, block.column("node").to_pylist())], bool)
-        out = block.filter(pa.array(right))
+        spans = zip(words.first[:-1], words.first[1:], block.column("node").to_pylist())
+        out = block.filter(pa.array([_node(hashes[lo:hi]) == n for lo, hi, n in spans], pa.bool_()))
         return {"node": out.column("node"), "text": out.column("text")}
 
-    held = stored(map_arrow(texts, same, "node binary, text string").dropDuplicates(["node"]))
+    return stored(map_arrow(texts, own, "node binary, text string").dropDuplicates(["node"]))
+
+
+def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    _, _, value, owner = shingles(pa.RecordBatch.from_arrays([texts], ["text"]), k)
+    return [np.unique(v) for v in np.split(value, np.searchsorted(owner, np.arange(1, len(texts))))]
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
+    """Those pairs of nodes whose full shingle sets reach the similarity."""
 
     def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):  # pairs are few after screening; one pair's sets at a time
-                sets = [
-                    np.unique(shingles(pa.RecordBatch.from_arrays([batch.column(c).slice(i, 1)], ["text"]), plan.words)[2])
-                    for c in ("ta", "tb")
-                ]
-                both = len(np.intersect1d(*sets, assume_unique=True))
-                good[i] = 100 * both >= plan.percent * (len(sets[0]) + len(sets[1]) - both)
-            yield batch.filter(pa.array(good)).select(["a", "b"])
-
-    left = held.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    right = held.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                good = []
+                for x, y in zip(*(shingle_sets(part.column(c), plan.words) for c in ("ta", "tb"))):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    good.append(100 * both >= plan.percent * (len(x) + len(y) - both))
+                yield part.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(jaccard, "a binary, b binary")
 
 
-def rest_pairs(members: DataFrame, roots: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
-    """Screened pairs of nodes in one bucket and in different components, given `members` (key, node, hub).
+class Blocks:
+    """The shingle sets of a cell as numbers, so that one set meets many others in one step."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets], np.int64)
+        self.begin = np.r_[0, np.cumsum(self.size)[:-1]]
+        self.ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        self.mark = np.zeros(len(self.ids) + 1, np.int32)
+
+    def common(self, i: int, others: np.ndarray) -> np.ndarray:
+        """The number of shingles that set i shares with each of `others`."""
+        mine = self.ids[self.begin[i] : self.begin[i] + self.size[i]]
+        self.mark[mine] = 1
+        size = self.size[others]
+        stops = np.cumsum(size)
+        flat = np.arange(stops[-1]) + np.repeat(self.begin[others] - (stops - size), size)
+        out = np.add.reduceat(self.mark[self.ids[flat]], stops - size)
+        self.mark[mine] = 0
+        return out
 
-    Nodes in the hub's component are not compared with each other. The others meet all nodes of the bucket in blocks
-    of BLOCK x BLOCK, so that a bucket of any size is dealt over many tasks.
+
+def joining_links(members: DataFrame, roots: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
+    """Links between components, given `members` (key, node, hub): enough of them to join what is linked in a bucket.
+
+    All nodes of the open buckets of one hub are taken together. Those in the hub's component are not compared with
+    each other; the others meet all nodes of the hub in cells of BLOCK x BLOCK, so a hub of any size is dealt over many
+    tasks. A cell leaves out pairs that it has joined already.
     """
-    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = roots.select("node", "root")
     hubs = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-    rooted = rooted.join(hubs, "hub", "left").withColumn("rest", F.col("root") != F.coalesce("hub_root", "hub"))
-    rooted = stored(rooted.select("key", "node", "root", "rest"))
-    open_ = (
-        rooted.groupBy("key")
-        .agg(F.count_if("rest").alias("u"), F.count_if(~F.col("rest")).alias("v"))
-        .where("u > 1 OR u = 1 AND v > 1")  # a bucket of two was settled by the comparison with the hub
-        .select(
-            "key",
-            F.ceil(F.col("u") / BLOCK).cast("int").alias("nu"),
-            F.ceil(F.col("v") / BLOCK).cast("int").alias("nv"),
-        )
+    rooted = members.join(own, "node", "left").join(hubs, "hub", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "node"))
+    rooted = stored(rooted.withColumn("rest", F.col("root") != F.coalesce("hub_root", "hub")).select("key", "hub", "node", "root", "rest"))
+    # a bucket of two was settled by the comparison with the hub
+    open_ = rooted.groupBy("key").agg(F.count_if("rest").alias("u"), F.count("*").alias("m")).where("u > 0 AND m > 2").select("key")
+    together = stored(rooted.join(open_, "key").select("hub", "node", "root", "rest").distinct())
+    blocks = together.groupBy("hub").agg(
+        F.ceil(F.count_if("rest") / BLOCK).cast("int").alias("nu"), F.ceil(F.count_if(~F.col("rest")) / BLOCK).cast("int").alias("nv")
     )
-    dealt = rooted.join(open_, "key").join(nodes.select("node", "sketch", "n"), "node")
+    dealt = together.join(blocks, "hub")
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("nu")).otherwise(F.col("nv"))).cast("int"))
-    with_base = F.transform(
-        F.sequence(F.lit(0), F.col("nv") - 1), lambda j: F.struct(F.lit(0).alias("kind"), F.col("mine").alias("i"), j.alias("j"))
-    )
-    with_rest = F.transform(
-        F.sequence(F.lit(0), F.col("nu") - 1),
-        lambda j: F.struct(F.lit(1).alias("kind"), F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")),
-    )
-    base = F.transform(
-        F.sequence(F.lit(0), F.col("nu") - 1), lambda i: F.struct(F.lit(0).alias("kind"), i.alias("i"), F.col("mine").alias("j"))
-    )
-    cells = dealt.withColumn("cell", F.explode(F.when(F.col("rest"), F.concat(with_base, with_rest)).otherwise(base)))
-    cells = cells.select("key", "node", "root", "rest", "sketch", "n", "mine", "cell.*")
+
+    def cell(kind: int, i, j):
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+
+    mine = F.col("mine")
+    to_base = F.transform(F.sequence(F.lit(0), F.col("nv") - 1), lambda j: cell(0, mine, j))  # the hub itself is there: nv > 0
+    to_rest = F.transform(F.sequence(F.lit(0), F.col("nu") - 1), lambda j: cell(1, F.least(mine, j), F.greatest(mine, j)))
+    to_left = F.transform(F.sequence(F.lit(0), F.col("nu") - 1), lambda i: cell(0, i, mine))
+    cells = dealt.withColumn("cell", F.explode(F.when(F.col("rest"), F.concat(to_base, to_rest)).otherwise(to_left)))
+    cells = cells.select("hub", "node", "root", "rest", "mine", "cell.*").join(texts, "node")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        sign = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), -1)
-        root, node = frame["root"].to_numpy(), frame["node"].to_numpy()
-        n, mine, rest = frame["n"].to_numpy(), frame["mine"].to_numpy(), frame["rest"].to_numpy()
+        sets = Blocks(shingle_sets(pa.array(frame["text"], pa.string()), plan.words))
+        node, rest, place = frame["node"].to_numpy(), frame["rest"].to_numpy(), frame["mine"].to_numpy()
+        root = np.unique(frame["root"].to_numpy(), return_inverse=True)[1]
         kind, left, right = frame[["kind", "i", "j"]].iloc[0]
-        lefts = np.flatnonzero(rest & (mine == left))
-        rights = np.flatnonzero(~rest) if kind == 0 else np.flatnonzero(rest & (mine == right))
+        lefts = np.flatnonzero(rest & (place == left))
+        rights = np.flatnonzero(~rest) if kind == 0 else np.flatnonzero(rest & (place == right))
         found = []
         for i in lefts:
-            near = rights[100 * np.minimum(n[rights], n[i]) >= plan.percent * np.maximum(n[rights], n[i])]
-            agree = (sign[near] == sign[i]).sum(1) >= plan.screen
-            found += [(min(node[i], node[j]), max(node[i], node[j])) for j in near[agree] if root[j] != root[i]]
+            near = rights[root[rights] != root[i]]
+            low, high = np.minimum(sets.size[near], sets.size[i]), np.maximum(sets.size[near], sets.size[i])
+            near = near[100 * low >= plan.percent * high]
+            if not len(near):
+                continue
+            both = sets.common(i, near)
+            for j in near[100 * both >= plan.percent * (sets.size[near] + sets.size[i] - both)]:
+                if root[j] != root[i]:
+                    found.append((node[i], node[j]))
+                    root[root == root[j]] = root[i]
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return cells.groupBy("key", "kind", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
+    return cells.groupBy("hub", "kind", "i", "j").applyInPandas(compare, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -268,11 +297,11 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     members = stored(banded.join(buckets.select("key", "hub"), "key"))
     stars = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     likely = stored(agreeing(stars, nodes, plan))
-    links = stored(confirmed(likely, docs, nodes, plan))
-    roots = components(links)
-    more = stored(rest_pairs(members, roots, nodes, plan))
-    if not more.isEmpty():
-        roots = components(links.unionByName(confirmed(more, docs, nodes, plan)))
+    texts = node_texts(docs, members.select("node").distinct().join(nodes.select("node", "low"), "node"), plan)
+    links = stored(confirmed(likely, texts, plan))
+    more = stored(joining_links(members, components(links), texts, plan))
+    roots = components(links.unionByName(more))
+    drop_stored(members, likely, texts, links, more)  # the roots are stored
     ids = roots.join(nodes.select("node", "low"), "node").groupBy("root").agg(F.min("low").alias("component_id"))
     final = nodes.select("node", "low").join(roots, "node", "left").join(ids, "root", "left")
     final = final.select("node", F.coalesce("component_id", "low").alias("component_id"))
