@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Runtime settings; a value that the caller set is never changed. Small Arrow batches bound the Python workers.
 SETTINGS = {

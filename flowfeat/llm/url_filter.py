@@ -5,13 +5,13 @@ ORDER characters that was seen, smoothed by all shorter ones (each order is mixe
 number of different continuations of its context). A URL's score is the difference of both log-likelihoods divided by
 its length; the threshold is the one that separates held-back labelled URLs best. Only DataFrame functions are used.
 
-Characters fall into SYMBOLS classes, so a model has at most SYMBOLS ** (ORDER + 1) cells whatever is read, and the
-score of a URL needs no shuffle.
+Characters fall into SYMBOLS classes, so a model has SYMBOLS ** (ORDER + 1) cells whatever is read and is broadcast;
+characters are added up where their URL is read, and one row per URL is shuffled.
 
 Defined cases: a null URL and one without `://` have empty host and path, no rule, and the score of what text they have
-(0 for null or empty ones); ties with the threshold are accepted; without labelled URLs of both kinds everything scores
-0 and is accepted; repeated rows count each in training and get equal rows; an empty table gives no rows; other columns
-are ignored.
+(null counts as empty); ties with the threshold are accepted; where one kind of labelled URL is missing, its model is
+uniform and the threshold 0; repeated rows count each in training and get equal rows; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
