@@ -169,6 +169,15 @@ def corpus_ids(lines: DataFrame, key: str | list[str], vocab: DataFrame, text: s
     return token_ids(with_words, key, vocab, "_words", unknown=0, shift=1)
 
 
+def id_stream(lines: DataFrame, key: str | list[str], vocab: DataFrame, text: str = "value") -> DataFrame:
+    """(key, place, id): the ids of `corpus_ids` as rows, one stream over all lines in the order of (key, place)."""
+    key = as_list(key)
+    need(lines, *key, text)
+    spread = lines.select(*key, F.posexplode(line_words(text)).alias("place", "token"))
+    found = spread.join(vocab.select("token", "id"), "token", "left")
+    return found.select(*key, "place", (F.coalesce("id", F.lit(0)) + 1).cast("long").alias("id"))
+
+
 def prompt_words(text) -> Column:
     """Words of a prompt line, split at runs of other characters."""
     return F.split(F.col(text) if isinstance(text, str) else text, r"\W+")

@@ -550,6 +550,16 @@ w AS (SELECT conv_id, turn, unnest({line_words('text')}) AS token,
              unnest(range(len({line_words('text')}))) AS place FROM conversations)
 SELECT conv_id, turn, {in_order('CASE WHEN id <= 500 THEN id + 1 ELSE 1 END', 'w.place')} AS ids
 FROM w LEFT JOIN known ON w.token = known.token GROUP BY conv_id, turn""",
+    "stream_windows": f"""
+WITH known AS (
+  SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) AS id
+  FROM (SELECT unnest({line_words('text')}) AS token FROM benchmark) GROUP BY token),
+w AS (SELECT conv_id, turn, unnest({line_words('text')}) AS token,
+             unnest(range(len({line_words('text')}))) AS place FROM conversations),
+e AS (SELECT conv_id, turn, place, CASE WHEN id <= 500 THEN id + 1 ELSE 1 END AS id FROM w LEFT JOIN known ON w.token = known.token),
+r AS (SELECT row_number() OVER o - 1 AS idx, count(*) OVER () AS n, list(id) OVER (o ROWS BETWEEN CURRENT ROW AND 20 FOLLOWING) AS v
+      FROM e WINDOW o AS (ORDER BY conv_id, turn, place))
+SELECT idx, {text_list('v')} AS "window" FROM r WHERE idx % 20 = 0 AND idx + 20 < n""",
     "next_tokens": f"""
 WITH {SENTENCES},
 t AS (SELECT conv_id, turn, sentence, list_append(list_prepend('<s>', w), '</s>') AS k FROM cut WHERE len(w) > 0),
@@ -570,6 +580,8 @@ SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY w.place) - 1 AS
 FROM w JOIN known ON w.token = known.token""",
     "parse_ratings": f"""
 WITH {INTER} SELECT CAST(u AS INTEGER) AS "userId", CAST(i AS INTEGER) AS "itemId", CAST(rating AS INTEGER) AS label FROM inter""",
+    "parse_ratings_double": f"""
+WITH {INTER} SELECT CAST(u AS DOUBLE) AS "userIdIndex", CAST(i AS DOUBLE) AS "itemIdIndex", CAST(rating AS DOUBLE) AS label FROM inter""",
     "parse_ratings_strict": f"""
 WITH {INTER}
 SELECT CAST(u AS INTEGER) AS "userId", CAST(i AS INTEGER) AS "movieId", CAST(rating AS FLOAT) AS rating, t AS timestamp FROM inter""",

@@ -703,6 +703,16 @@ def corpus_ids(spark, folder):
     return text.corpus_ids(lines, ["conv_id", "turn"], vocab_rows).select("conv_id", "turn", joined("ids").alias("ids"))
 
 
+@query
+def stream_windows(spark, folder):
+    """The word ids of all conversation lines as one stream, cut into windows of twenty steps."""
+    lines = src.table(spark, folder, "conversations").select("conv_id", "turn", F.col("text").alias("value"))
+    known = _line_words(spark, folder).select(text.line_words("value").alias("tokens"))
+    stream = text.id_stream(lines, ["conv_id", "turn"], text.dictionary(known, "tokens", 500))
+    rows = series.strided(stream, ["conv_id", "turn", "place"], "id", 20)
+    return rows.select("idx", joined("window").alias("window"))
+
+
 @query
 def next_tokens(spark, folder):
     """Every sentence of the conversations, unknown words under an id of their own, padded with the markers' ids."""
@@ -745,6 +755,12 @@ def parse_ratings(spark, folder):
     return readers.split_records(lines, "userId int, itemId int, label int")
 
 
+@query
+def parse_ratings_double(spark, folder):
+    lines = src.rating_lines(spark, folder)
+    return readers.split_records(lines, "userIdIndex double, itemIdIndex double, label double")
+
+
 @query
 def parse_ratings_strict(spark, folder):
     lines = src.rating_lines(spark, folder)

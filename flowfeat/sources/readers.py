@@ -73,17 +73,20 @@ def series_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SERIES).option("header", True).csv(path)
 
 
-def sensor_means(spark: SparkSession, folder: str, manifest: str = "timestamp.txt", columns: int = 1) -> DataFrame:
+def sensor_means(spark: SparkSession, folder: str, manifest: str = "timestamp.txt", columns: int | None = 1) -> DataFrame:
     """(ts, value) or (ts, value_1 …): column means of every tab-separated file in the manifest.
 
     The files are read by Spark as one table and averaged per file name, which is also the
-    time stamp; the manifest decides which of them count.
+    time stamp; the manifest decides which of them count. `columns=None` takes all there are,
+    as many as the widest line has.
     """
     listed = spark.read.text(f"{folder}/{manifest}").select(F.trim("value").alias("ts")).where("ts <> ''").distinct()
     parts = F.split("value", "\t")
-    values = [F.get(parts, F.lit(i)).cast("double").alias(f"value_{i + 1}") for i in range(columns)]
     lines = spark.read.text(folder).select(F.col("_metadata.file_name").alias("_f"), "value")
     lines = lines.where((F.col("_f") != manifest) & (F.trim("value") != ""))
+    if columns is None:
+        columns = lines.agg(F.max(F.size(parts))).first()[0] or 1
+    values = [F.get(parts, F.lit(i)).cast("double").alias(f"value_{i + 1}") for i in range(columns)]
     decoded = F.url_decode(F.replace("_f", F.lit("+"), F.lit("%2B")))  # file names come percent-encoded
     names = lines.select(decoded.alias("ts"), *values)
     means = names.groupBy("ts").agg(*[F.avg(f"value_{i + 1}").alias(f"value_{i + 1}") for i in range(columns)])

@@ -74,6 +74,7 @@ def test_sensor_files(spark, tmp_path):
     assert tuples(readers.sensor_means(spark, str(tmp_path))) == [("2004 03 04+09", 2.0), ("2004.03.04.09.27.46", 2.0)]
     both = readers.sensor_means(spark, str(tmp_path), columns=2)
     assert tuples(both) == [("2004 03 04+09", 2.0, 1.0), ("2004.03.04.09.27.46", 2.0, 6.0)]
+    assert tuples(readers.sensor_means(spark, str(tmp_path), columns=None)) == tuples(both)
     writers.to_lines(both, str(tmp_path / "means"), ["value_1", "value_2"], single_file=True)
     assert sorted(r[0] for r in readers.lines(spark, str(tmp_path / "means")).collect()) == ["2.0,1.0", "2.0,6.0"]
 
