@@ -24,8 +24,9 @@ by_value(__name__)
 
 DIM = 1024
 UNKNOWN = "und"
-# The cosine of unrelated vectors has a standard deviation of 1 / sqrt(DIM); below three of them no language is shown.
-NO_EVIDENCE = 3 / DIM**0.5
+# The cosine of unrelated vectors has a standard deviation of 1 / sqrt(DIM); below one and a half no language is shown.
+# Three would lose real texts of a few words, whose best cosine can be as low as 0.08.
+NO_EVIDENCE = 1.5 / DIM**0.5
 
 
 def letter_vectors(codes: np.ndarray, dim: int) -> np.ndarray:
