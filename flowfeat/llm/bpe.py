@@ -16,18 +16,18 @@ from __future__ import annotations
 
 import base64
 import json
+from array import array
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from flowfeat.llm.common import by_value, lists, map_arrow, tuned
 
 by_value(__name__)
 
-# Different pieces that a worker remembers; beyond, it starts anew. Bounds memory, never changes a result.
+# Different pieces that a worker remembers in each of two generations. Bounds memory, never changes a result.
 REMEMBERED = 150_000
 LETTER, NUMBER, BLANK, OTHER = 0, 1, 2, 3
 
@@ -113,7 +113,8 @@ class Coder:
         self.model = Tokenizer.from_str(parts["model"]).model
         self.classes = np.frombuffer(parts["classes"], np.uint8)
         self.signs = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
-        self.pieces: dict[str, list[int]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @staticmethod
     def of(parts: dict) -> Coder:
@@ -122,8 +123,10 @@ class Coder:
             parts["coder"] = Coder(parts)
         return parts["coder"]
 
-    def ids(self, piece: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.signs))]
+    def ids(self, piece: str) -> bytes:
+        """The ids of a piece as 32-bit words."""
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.signs))
+        return array("i", [t.id for t in tokens]).tobytes()
 
     def cut(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """All pieces of some texts, and the number for each text."""
@@ -139,15 +142,15 @@ class Coder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the number for each text."""
         pieces, counts = self.cut(texts)
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        known = self.pieces
+        if len(self.young) > REMEMBERED:  # what is still met moves on to the next generation
+            self.old, self.young = self.young, {}
+        known = self.young
         for piece in set(pieces).difference(known):
-            known[piece] = self.ids(piece)
+            known[piece] = self.old.get(piece) or self.ids(piece)
         parts = [known[p] for p in pieces]
-        flat = np.fromiter(chain.from_iterable(parts), np.int32)
+        flat = np.frombuffer(b"".join(parts), np.int32)
         sizes = np.zeros(len(parts) + 1, np.int64)
-        np.cumsum([len(p) for p in parts], out=sizes[1:])
+        np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4, out=sizes[1:])
         return flat, np.diff(sizes[np.r_[0, np.cumsum(counts)]])
 
 
