@@ -159,10 +159,10 @@ def neg_rows_unseen(spark, folder):
 
 def _neg_history(spark, folder, shuffled=False) -> DataFrame:
     categories, n = _catalogue(spark, folder)
-    if shuffled:
-        categories = categories.hint("merge")
     rows = _history(spark, folder).select("user", "pos", "item_history")
-    rows = sequence.negative_history(rows, "item_history", categories, n, 2, NEG_SEED, ["user", "pos"])
+    rows = sequence.negative_history(
+        rows, "item_history", categories, n, 2, NEG_SEED, ["user", "pos"], lookup_items=0 if shuffled else sequence.LOOKUP_ITEMS
+    )
     return rows.select(
         "user", "pos", joined_lists("noclk_item_list").alias("neg_items"), joined_lists("noclk_cat_list").alias("neg_cats")
     )
@@ -175,7 +175,7 @@ def neg_history(spark, folder):
 
 @query
 def neg_history_joined(spark, folder):
-    """Same rows as `neg_history`, with a catalogue that is shuffled as a large one would be."""
+    """Same rows as `neg_history`, with the categories found by a join."""
     return _neg_history(spark, folder, shuffled=True)
 
 
