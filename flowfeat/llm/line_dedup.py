@@ -5,6 +5,10 @@ of DIVISOR classes, so boundaries move with the text when lines are put in or ta
 lines are grouped over all documents by their hash; each occurrence is compared, byte by byte, with the earliest one
 (by doc_id, then place), and goes if it is equal. Only DataFrame functions are used.
 
+Chunks leave part of a repeated passage: those of one line, and the ends that share a chunk with other text. With
+`whole`, every two neighbouring lines are compared in place of the chunks. A repeated passage of several lines consists
+of such pairs, so all of its lines go, wherever they lie.
+
 Defined cases: a null text stays null and has no lines, an empty one has one empty line; a null doc_id is an ordinary
 value that comes last; equal rows (same doc_id and text) are one occurrence and change alike; chunks of one line, and
 chunks of blanks only, stay; a text of which everything goes becomes empty; an empty table gives no rows; all other
@@ -53,17 +57,31 @@ def chunked(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> Da
     )
 
 
+def paired(docs: DataFrame) -> DataFrame:
+    """As `chunked`, with every two neighbouring lines as a cut."""
+    cuts = F.transform(F.sequence(F.lit(1), F.size("lines") - 1), lambda i: F.struct((i - 1).alias("begin"), (i + 1).alias("end")))
+    cuts = F.when(F.size("lines") > 1, cuts).otherwise(F.array().cast("array<struct<begin:int,end:int>>"))
+    lined = docs.where("text IS NOT NULL").select(
+        F.col("doc_id").alias("doc"), F.md5("text").alias("mark"), F.split("text", "\n", -1).alias("lines")
+    )
+    return lined.select("doc", "mark", "lines", cuts.alias("cuts"))
+
+
 def _text(cut: Column) -> Column:
     return F.array_join(F.slice("lines", cut["begin"] + 1, cut["end"] - cut["begin"]), "\n")
 
 
-def repeated(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """`doc`, `mark`, `begin`, `end` of every chunk that an earlier occurrence has, after byte comparison."""
+def repeated(
+    docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES, whole: bool = False
+) -> DataFrame:
+    """`doc`, `mark`, `begin`, `end` of every chunk (pair if `whole`) that an earlier occurrence has, after byte comparison."""
+    cut = paired(docs) if whole else chunked(docs, window, divisor)
+    min_lines = 2 if whole else min_lines
     long = F.filter("cuts", lambda c: c["end"] - c["begin"] >= min_lines)
     hashed = F.transform(
         long, lambda c: F.struct(c["begin"].alias("begin"), c["end"].alias("end"), F.when(F.trim(_text(c)) != "", F.md5(_text(c))).alias("hash"))
     )
-    spots = chunked(docs, window, divisor).select("doc", "mark", F.explode(hashed).alias("c")).select("doc", "mark", "c.*")
+    spots = cut.select("doc", "mark", F.explode(hashed).alias("c")).select("doc", "mark", "c.*")
     spots = stored(spots.where("hash IS NOT NULL").distinct())
     place = F.struct(F.col("doc").isNull().alias("none"), "doc", "mark", "begin")
     first = spots.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
@@ -94,28 +112,32 @@ def drop_repeated(
     divisor: int = DIVISOR,
     min_lines: int = MIN_LINES,
     report: str | None = "dedup",
+    whole: bool = False,
 ) -> DataFrame:
     """All rows and columns of `docs` (doc_id, text, …), the text without its repeated chunks.
 
+    With `whole`, every line goes that lies in a run of several lines which occurs earlier; the chunk rule has no part in it.
     `n_lines` and `n_removed` are added in a struct column `report`, which takes the place of a column of that name.
     """
     tuned(docs.sparkSession)
-    gone = repeated(docs.select("doc_id", "text"), window, divisor, min_lines)
+    gone = repeated(docs.select("doc_id", "text"), window, divisor, min_lines, whole)
     gone = gone.groupBy("doc", "mark").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("gone"))
     # one struct for the row and one for what goes, so that no name of the row can clash
     rows = docs.select(F.struct("*").alias("row"))
-    paired = rows.join(gone, (F.md5("row.text") == F.col("mark")) & F.col("row.doc_id").eqNullSafe(F.col("doc")), "left")
+    matched = rows.join(gone, (F.md5("row.text") == F.col("mark")) & F.col("row.doc_id").eqNullSafe(F.col("doc")), "left")
     text = F.col("row.text")
-    paired = paired.select("row", "gone", F.split(text, "\n", -1).alias("lines"))
+    matched = matched.select("row", "gone", F.split(text, "\n", -1).alias("lines"))
     runs = F.coalesce("gone", F.array().cast("array<struct<begin:int,end:int>>"))
     # what stays lies between two removed runs
     begins = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["end"]))
     ends = F.concat(F.transform(runs, lambda r: r["begin"]), F.array(F.size("lines")))
     parts = F.zip_with(begins, ends, lambda b, e: F.slice("lines", b + 1, F.greatest(e - b, F.lit(0))))
     kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.flatten(parts), "\n"))
-    removed = F.aggregate(runs, F.lit(0), lambda acc, r: acc + r["end"] - r["begin"])
+    # pairs overlap: of each run only what the one before has not removed counts
+    sizes = F.zip_with(begins, ends, lambda b, e: F.greatest(e - b, F.lit(0)))
+    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("lines") - F.aggregate(sizes, F.lit(0), lambda acc, n: acc + n))
     n = F.when(text.isNull(), 0).otherwise(F.size("lines"))
     columns = [kept.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != report]
     if report:
         columns.append(F.struct(n.cast("bigint").alias("n_lines"), removed.cast("bigint").alias("n_removed")).alias(report))
-    return paired.select(*columns)
+    return matched.select(*columns)

@@ -198,6 +198,44 @@ def repeats_brute(rows, span):
             for i in range(len(w) - span + 1):
                 g = tuple(w[i : i + span])
                 earliest[g] = min(earliest.get(g, d), d)
+def runs_brute(rows):
+    """Lines in a run of several lines that occurs earlier; knows no chunks."""
+    texts = sorted(dict.fromkeys((d, t) for d, t, *_ in rows if t is not None), key=lambda x: (x[0] is None, x[0] or 0, hashlib.md5(x[1].encode()).hexdigest()))
+    seen, gone = set(), defaultdict(set)
+    for key in texts:
+        lines = key[1].split("\n")
+        for i in range(len(lines) - 1):
+            pair = "\n".join(lines[i : i + 2])
+            if pair in seen and pair.strip(" ") != "":
+                gone[key].update((i, i + 1))
+            seen.add(pair)
+    out = []
+    for d, t, *_ in rows:
+        lines = [] if t is None else t.split("\n")
+        stay = [x for i, x in enumerate(lines) if i not in gone[(d, t)]]
+        out.append((d, None if t is None else "\n".join(stay), len(lines), len(lines) - len(stay)))
+    return sorted(out, key=str)
+
+
+def test_whole_line_passages(spark, rows):
+    r = random.Random(9)
+    planted = []
+    for n in range(2, 9):
+        for k in range(6):
+            passage = [f"passage {n} {k} {i}" for i in range(n)]
+            for copy in range(2):
+                around = [[f"own {n} {k} {copy} {side} {i}" for i in range(r.randrange(4))] for side in range(2)]
+                planted.append((1000 + 100 * n + 10 * k + copy, "\n".join(around[0] + passage + around[1]), "en", "s", 1))
+    rows = rows + planted + [(3000, "x\nx\nx\nx", "en", "s", 1), (3001, "\n\n\n", "en", "s", 1)]
+    got = line_dedup.drop_repeated(frame(spark, rows), whole=True).select("doc_id", "text", "dedup.n_lines", "dedup.n_removed").collect()
+    got = sorted(map(tuple, got), key=str)
+    assert got == runs_brute(rows)
+    copies = [x for x in got if x[0] is not None and 1000 <= x[0] < 3000 and x[0] % 10 == 1]
+    assert len(copies) == 42 and not any("passage" in t for _, t, *_ in copies)
+    chunks = line_dedup.drop_repeated(frame(spark, planted)).select("doc_id", "text").collect()
+    assert sum("passage" in x["text"] for x in chunks if x["doc_id"] % 10 == 1) > 20  # what the chunk rule leaves
+
+
     out = []
     for d, w in split:
         gone = set()
