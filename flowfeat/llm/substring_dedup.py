@@ -98,7 +98,8 @@ def candidates(table: DataFrame, docs: DataFrame, span: int) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").alias("doc"), "text").join(hot, "doc")
     found = map_arrow(texts, own, "doc bigint, node binary, text string, prints array<bigint>")
-    return stored(found.withColumn("mark", F.xxhash64("node")))
+    # rows with the same doc_id and words are one text
+    return stored(found.withColumn("mark", F.xxhash64("node")).dropDuplicates(["doc", "mark"]))
 
 
 def windows(held: DataFrame, span: int) -> DataFrame:

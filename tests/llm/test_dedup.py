@@ -266,6 +266,13 @@ def test_suffix_automaton():
     r = random.Random(4)
     for _ in range(60):
         texts = [(r.randrange(9), [r.choice("abc") for _ in range(r.randrange(1, 30))]) for _ in range(5)]
+def test_remove_repeats_keeps_the_number_of_equal_rows(spark):
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(1, f"a {shared} b", "en", "s", 1)] + [(2, f"own {shared} words", "en", "s", 1)] * 3
+    got = substring_dedup.remove_repeats(frame(spark, rows))
+    assert sorted([tuple(r)[:4] for r in got.collect()], key=str) == repeats_brute(rows, 50)
+
+
         automaton = SuffixAutomaton(texts)
         query, span = [r.choice("abcd") for _ in range(40)], r.randrange(1, 6)
         want = {}
