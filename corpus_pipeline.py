@@ -12,7 +12,7 @@ from flowfeat.llm.queries import vocabulary
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Profiles of all labelled documents; documents in whose text no learned language shows go."""
-    return language.identified(docs, language.learn(docs))
+    return language.identified(docs, language.learn(docs, language.EVIDENCE_DIM))
 
 
 def drop_line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -135,6 +135,31 @@ def test_language_accuracy_and_cases(spark):
     assert language.learn(spark.createDataFrame([], SCHEMA)) == {}
 
 
+def test_random_texts_of_unlearned_scripts_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL AND lang IS NOT NULL")
+    profiles = language.learn(docs, language.EVIDENCE_DIM)
+    assert len(profiles) > 2
+    r = random.Random(5)
+    rows = []
+    for first, last in ((0x430, 0x450), (0x3B1, 0x3CA), (0x4E00, 0x5E00), (0x5D0, 0x5EB), (0x627, 0x64B), (0x30A1, 0x30F7)):
+        for n in (5, 100) * 25:
+            text = " ".join("".join(chr(r.randrange(first, last)) for _ in range(r.randrange(2, 9))) for _ in range(n))
+            rows.append((len(rows), text, None, "s", 1))
+    assert language.identified(frame(spark, rows), profiles).count() <= 2  # of 300
+    short = docs.where("size(split(text, ' ')) < 12 AND text rlike '[a-z]'")
+    assert short.count() > 0
+    assert language.identified(short, profiles).count() == short.count()
+
+
+def test_bundles_in_slabs_and_groups(monkeypatch):
+    texts = ["Ab cd é", None, "日本語 text of more", "zz", "Ab"] * 3
+    whole = language.bundles(texts, 64)
+    monkeypatch.setattr(language, "CELLS", 64 * 3)
+    assert (language.bundles(texts, 64) == whole).all()
+    group = np.arange(15) % 4
+    assert (language.bundles(texts, 64, group) == [whole[group == g].sum(0) for g in range(4)]).all()
+
+
 def test_bundle_is_the_sum_of_bound_trigrams():
     a, b, blank = (language.letter_vectors(np.array([c]), 64)[0].astype(int) for c in (ord("a"), ord("b"), 0))
     roll = np.roll
