@@ -37,8 +37,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text: doc_id, n_tokens, ids."""
-    out = bpe.encode(docs, vocabulary())
+    """The ids of every text: doc_id, n_tokens, ids. All ids are decoded again, and bytes that differ end the run."""
+    out = bpe.encode(docs, vocabulary(), verify=True)
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
 
 

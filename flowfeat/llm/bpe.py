@@ -197,8 +197,11 @@ def _table(parts: dict) -> Table:
     return parts["table"]
 
 
-def encode(docs: DataFrame, path: str, offsets: bool = False) -> DataFrame:
-    """`doc_id`, `ids` of every row of `docs` (doc_id, text), and `begins`, `ends` (characters) if `offsets`."""
+def encode(docs: DataFrame, path: str, offsets: bool = False, verify: bool = False) -> DataFrame:
+    """`doc_id`, `ids` of every row of `docs` (doc_id, text), and `begins`, `ends` (characters) if `offsets`.
+
+    With `verify` the ids of each text are decoded in the same pass; it fails where the bytes are not those of the text.
+    """
     spark = tuned(docs.sparkSession)
     parts = _parts(spark, path)
 
@@ -206,6 +209,11 @@ def encode(docs: DataFrame, path: str, offsets: bool = False) -> DataFrame:
         texts = [t or "" for t in block.column("text").to_pylist()]
         flat, counts = Coder.of(parts.value).encode(texts)
         out = {"doc_id": block.column("doc_id"), "ids": lists(flat, counts, pa.int32())}
+        if verify:
+            table, ends = _table(parts.value), np.cumsum(counts)
+            for row, (text, end, count) in enumerate(zip(texts, ends.tolist(), counts.tolist())):
+                if table.decode(flat[end - count : end]).tobytes() != text.encode():
+                    raise ValueError(f"the ids of doc_id {block.column('doc_id')[row]} do not decode to its text")
         if offsets:
             table, stops = _table(parts.value), np.cumsum(counts)[:-1]
             both = [table.offsets(ids) for ids in np.split(flat, stops)]

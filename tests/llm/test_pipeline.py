@@ -62,6 +62,21 @@ def test_run_equals_the_stages(spark, folder):
     assert sorted(map(str, run.collect())) == sorted(map(str, docs.collect()))
 
 
+def test_encoding_decodes_its_ids(spark, folder, monkeypatch):
+    path, *_ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)["encoding"]
+    assert stage(spark, docs, path).count() == docs.count()
+    whole = bpe.Coder.encode
+
+    def lossy(self, texts):
+        return whole(self, [t.replace("É", "E") for t in texts])
+
+    monkeypatch.setattr(bpe.Coder, "encode", lossy)
+    with pytest.raises(Exception, match="do not decode to its text"):
+        stage(spark, docs, path).collect()
+
+
 def test_stages_of_an_empty_table(spark, folder, tmp_path):
     path, *_ = folder
     docs = spark.createDataFrame([], SCHEMA)
