@@ -2,8 +2,8 @@
 
 One permutation scatters the shingles of a text over a ring of 2**32 places; a second one, shifted by k places around
 the ring, gives coordinate k of the signature as its minimum. Rows of coordinates are hashed into bands. In every
-bucket of texts that share a band, each text is compared with one hub, by signature and then by exact Jaccard similarity
-of the full shingle sets. Where that leaves a bucket in more than one component, the texts outside the hub's component
+bucket of texts that share a band, each text is compared with one hub, by signature (not in a bucket of two) and then by
+exact Jaccard similarity of the full shingle sets. Where that leaves a bucket in more than one component, the texts outside the hub's component
 are compared with all others that met the same hub, block by block, again on full sets; a block gives only links that
 join components, so what comes out grows with the texts and not with their pairs. Copies (equal word sequences) are one
 node throughout.
@@ -239,7 +239,7 @@ def joining_links(members: DataFrame, roots: DataFrame, texts: DataFrame, plan:
     rooted = members.join(own, "node", "left").join(hubs, "hub", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "node"))
     rooted = stored(rooted.withColumn("rest", F.col("root") != F.coalesce("hub_root", "hub")).select("key", "hub", "node", "root", "rest"))
-    # a bucket of two was settled by the comparison with the hub
+    # a bucket of two was settled by the comparison with the hub, on full sets
     open_ = rooted.groupBy("key").agg(F.count_if("rest").alias("u"), F.count("*").alias("m")).where("u > 0 AND m > 2").select("key")
     together = stored(rooted.join(open_, "key").select("hub", "node", "root", "rest").distinct())
     blocks = together.groupBy("hub").agg(
@@ -294,9 +294,11 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     )
     banded = nodes.select("node", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    members = stored(banded.join(buckets.select("key", "hub"), "key"))
-    stars = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    likely = stored(agreeing(stars, nodes, plan))
+    members = stored(banded.join(buckets, "key"))
+    stars = members.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.min("size").alias("size"))
+    # a bucket of two has no other comparison, so its pair meets the full sets whatever the signatures say
+    likely = agreeing(stars.where("size > 2").select("a", "b"), nodes, plan).unionByName(stars.where("size = 2").select("a", "b"))
+    likely = stored(likely)
     texts = node_texts(docs, members.select("node").distinct().join(nodes.select("node", "low"), "node"), plan)
     links = stored(confirmed(likely, texts, plan))
     more = stored(joining_links(members, components(links), texts, plan))

@@ -113,6 +113,14 @@ def test_near_duplicates_in_one_family(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == near_brute(rows, 85)
 
 
+def test_pairs_of_one_bucket_meet_the_full_sets(spark, monkeypatch):
+    monkeypatch.setattr(minhash.Plan, "screen", 10_000)  # no signature passes
+    words = [f"w{i}" for i in range(120)]
+    rows = [(1, " ".join(words), "en", "s", 1), (2, " ".join([*words[:-1], "x"]), "en", "s", 1), (3, "quite another", "en", "s", 1)]
+    got = minhash.near_duplicates(frame(spark, rows), minhash.Plan(percent=80)).select("doc_id", "n_shingles", "component_id", "kept")
+    assert sorted(map(tuple, got.collect()), key=str) == near_brute(rows, 80)
+
+
 def test_signature_agreement_estimates_similarity():
     r = np.random.default_rng(3)
     a = r.integers(0, 2**64, 2000, dtype=np.uint64)
@@ -190,14 +198,6 @@ def test_line_boundaries_survive_an_insertion(spark):
     assert removed[1] == 0 and 403 - removed[2] < single * 1.5
 
 
-def repeats_brute(rows, span):
-    earliest = {}
-    split = [(d, SPACE.findall(t or "")) for d, t, *_ in rows]
-    for d, w in split:
-        if d is not None:
-            for i in range(len(w) - span + 1):
-                g = tuple(w[i : i + span])
-                earliest[g] = min(earliest.get(g, d), d)
 def runs_brute(rows):
     """Lines in a run of several lines that occurs earlier; knows no chunks."""
     texts = sorted(dict.fromkeys((d, t) for d, t, *_ in rows if t is not None), key=lambda x: (x[0] is None, x[0] or 0, hashlib.md5(x[1].encode()).hexdigest()))
@@ -236,6 +236,14 @@ def test_whole_line_passages(spark, rows):
     assert sum("passage" in x["text"] for x in chunks if x["doc_id"] % 10 == 1) > 20  # what the chunk rule leaves
 
 
+def repeats_brute(rows, span):
+    earliest = {}
+    split = [(d, SPACE.findall(t or "")) for d, t, *_ in rows]
+    for d, w in split:
+        if d is not None:
+            for i in range(len(w) - span + 1):
+                g = tuple(w[i : i + span])
+                earliest[g] = min(earliest.get(g, d), d)
     out = []
     for d, w in split:
         gone = set()
@@ -258,6 +266,13 @@ def test_remove_repeats(spark, rows, span, monkeypatch):
     assert got.agg(F.sum("n_removed")).first()[0] > 300
 
 
+def test_remove_repeats_keeps_the_number_of_equal_rows(spark):
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(1, f"a {shared} b", "en", "s", 1)] + [(2, f"own {shared} words", "en", "s", 1)] * 3
+    got = substring_dedup.remove_repeats(frame(spark, rows))
+    assert sorted([tuple(r)[:4] for r in got.collect()], key=str) == repeats_brute(rows, 50)
+
+
 def test_remove_repeats_empty(spark):
     assert substring_dedup.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -266,13 +281,6 @@ def test_suffix_automaton():
     r = random.Random(4)
     for _ in range(60):
         texts = [(r.randrange(9), [r.choice("abc") for _ in range(r.randrange(1, 30))]) for _ in range(5)]
-def test_remove_repeats_keeps_the_number_of_equal_rows(spark):
-    shared = " ".join(f"s{i}" for i in range(60))
-    rows = [(1, f"a {shared} b", "en", "s", 1)] + [(2, f"own {shared} words", "en", "s", 1)] * 3
-    got = substring_dedup.remove_repeats(frame(spark, rows))
-    assert sorted([tuple(r)[:4] for r in got.collect()], key=str) == repeats_brute(rows, 50)
-
-
         automaton = SuffixAutomaton(texts)
         query, span = [r.choice("abcd") for _ in range(40)], r.randrange(1, 6)
         want = {}
