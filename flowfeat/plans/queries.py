@@ -451,12 +451,24 @@ def score_expressions(spark, folder):
 
 @query
 def array_expressions(spark, folder):
-    rows = src.interactions(spark, folder).groupBy("user").agg(F.sort_array(F.collect_list("rating")).alias("a"))
-    return rows.select(
+    return rating_arrays(src.interactions(spark, folder))
+
+
+def rating_arrays(rows):
+    """Per user the number of ratings, of different ones, and the first three in order.
+
+    Ratings are counted first, so an array holds each of a user's different ratings at most three times.
+    """
+    counts = rows.groupBy("user", "rating").agg(F.count("rating").alias("n"))
+    each = F.when(F.col("rating").isNotNull(), F.struct("rating", "n"))  # collect_list leaves out null
+    users = counts.groupBy("user").agg(F.sum("n").cast("int").alias("n"), F.sort_array(F.collect_list(each)).alias("c"))
+    few = F.transform("c", lambda c: F.array_repeat(c["rating"], F.least(c["n"], F.lit(3)).cast("int")))
+    users = users.withColumn("a", F.flatten(few))
+    return users.select(
         "user",
-        arrays.length_of("a").alias("n"),
+        "n",
         arrays.more_than_one("a").cast("int").alias("several"),
-        F.size(F.array_distinct("a")).alias("different"),
+        arrays.length_of("c").alias("different"),
         joined(F.flatten(F.array(F.slice("a", 1, 3), F.slice("a", 1, 2)))).alias("flat"),
     )
 

@@ -37,5 +37,17 @@ def test_query(spark, db, name):
     assert compare(df.toPandas(), db.execute(oracle_sql()[name]).df()).startswith("ok")
 
 
+def test_rating_arrays_are_bounded(spark):
+    from flowfeat.plans.queries import rating_arrays
+
+    rows = spark.sql("SELECT 1L AS user, IF(id = 0, NULL, id % 2) AS rating FROM range(20001) UNION ALL SELECT 2L, NULL UNION ALL SELECT 3L, 5L")
+    df = rating_arrays(rows)
+    assert sorted(map(tuple, df.collect())) == [(1, 20000, 1, 2, "0,0,0,0,0"), (2, 0, 0, 0, ""), (3, 1, 0, 1, "5,5")]
+    # ratings are counted by (user, rating) before any array is made
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    collects = [x for x in plan.split("\n") if "collect_list" in x]
+    assert len(collects) == 1 and "count(rating" in plan.split(collects[0], 1)[1]
+
+
 def test_entry(spark):
     assert entry(spark).count() > 0
