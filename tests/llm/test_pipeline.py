@@ -3,7 +3,7 @@
 import pytest
 from helpers import SCHEMA, awkward, corpus, frame
 from test_dedup import lines_brute, near_brute
-from test_text import PATH, leaks_brute
+from test_text_ops import PATH, leaks_brute
 
 import corpus_pipeline
 from flowfeat.llm import bpe
