@@ -124,3 +124,33 @@ SELECT doc.doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines,
        CAST(coalesce(len(l), 0) AS BIGINT) - coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
 FROM doc LEFT JOIN kept ON doc.doc_id = kept.doc_id
 """
+
+ORACLES["op11_ranked_search"] = r"""
+WITH word AS (
+    SELECT d, doc_id, unnest(w) AS term, len(w) AS n
+    FROM (SELECT row_number() OVER () AS d, doc_id,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+          FROM documents)
+),
+total AS (SELECT count(DISTINCT d) AS n_docs, count(*) AS n_terms FROM word),
+posting AS (SELECT d, doc_id, n, term, count(*) AS tf FROM word GROUP BY ALL),
+weight AS (
+    SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM posting, total GROUP BY term, n_docs
+),
+ask AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+),
+part AS (
+    SELECT d, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))) AS s
+    FROM posting JOIN weight USING (term), total
+),
+score AS (
+    SELECT item_id, d, doc_id, sum(s) AS score FROM ask JOIN part ON ask.term = part.term GROUP BY ALL HAVING sum(s) > 0
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM score)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM placed WHERE r <= 10
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowfeat.llm import bpe, decontamination, exact_dedup, language, line_dedup, minhash, substring_dedup, token_files, tool_calls, url_filter
+from flowfeat.llm import bpe, decontamination, exact_dedup, language, line_dedup, minhash, ranked_search, substring_dedup, token_files, tool_calls, url_filter
 from flowfeat.llm.common import documents, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,9 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     token_files.write_token_files(bpe.encode(documents(spark, folder), vocabulary()), out, separator)
     found = token_files.token_counts(spark, out, separator)
     return found.withColumn("file", F.regexp_extract("file", r"part-(\d+)", 1).cast("int"))
+
+
+@query
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, ranked for every benchmark item."""
+    return ranked_search.ranked(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"), k=10)
