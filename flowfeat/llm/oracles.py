@@ -1,7 +1,17 @@
 """SQL forms (DuckDB) of the text queries that SQL can express."""
 
+from flowfeat.llm.hilbert import curve
+
 ORACLES: dict[str, str] = {}
 
+
+def _crc32(hexes: str) -> str:
+    """SQL for the CRC-32 (polynomial 0xEDB88320) of the bytes that the expression `hexes` spells in hexadecimal."""
+    codes = f"list_transform(regexp_extract_all({hexes}, '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    bits = "list_reduce(list_prepend(xor(acc, b), range(8)), lambda v, i: xor(v >> 1, CAST(3988292384 AS BIGINT) * (v & 1)))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda acc, b: {bits}), 4294967295)"
+
+
 ORACLES["op3_exact_dedup"] = r"""
 WITH body AS (
     SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -154,3 +164,81 @@ score AS (
 placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM score)
 SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM placed WHERE r <= 10
 """
+
+ORACLES["op13_prefix_trie"] = rf"""
+WITH numbered AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p,
+           md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS h, length(coalesce(text, '')) AS n
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+ids AS (SELECT conv_id, count(*) AS turns, conv_id - conv_id % 100 AS base, {_crc32("hex(CAST(conv_id AS VARCHAR))")} % 6 AS h FROM numbered GROUP BY conv_id),
+plan AS (SELECT ids.*, least(ids.h, coalesce(b.turns, 0)) AS taken FROM ids LEFT JOIN ids b ON ids.base = b.conv_id),
+path AS (
+    SELECT plan.conv_id, p AS depth, numbered.h, n FROM plan JOIN numbered ON base = numbered.conv_id AND p <= taken
+    UNION ALL
+    SELECT plan.conv_id, p - plan.h + taken, numbered.h, n FROM plan JOIN numbered ON plan.conv_id = numbered.conv_id AND p > plan.h
+),
+whole AS (
+    SELECT plan.conv_id, coalesce(list(path.h ORDER BY depth) FILTER (WHERE depth IS NOT NULL), []) AS hs,
+           coalesce(list(n ORDER BY depth) FILTER (WHERE depth IS NOT NULL), []) AS ns
+    FROM plan LEFT JOIN path ON plan.conv_id = path.conv_id GROUP BY plan.conv_id
+),
+prefix AS (SELECT conv_id, d AS depth, hs[1:d] AS k, hs[1:d - 1] AS up, coalesce(ns[d], 0) AS n, d = len(hs) AS ends
+           FROM (SELECT *, unnest(range(0, len(hs) + 1)) AS d FROM whole)),
+node AS (
+    SELECT k, depth, any_value(up) AS up, any_value(n) AS n, min(conv_id) AS conv_id, count(*) AS n_convs,
+           sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+    FROM prefix GROUP BY k, depth
+),
+kids AS (SELECT up AS k, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY up),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids ON node.k = kids.k),
+below AS (
+    SELECT top, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * n) AS saved_tokens
+    FROM (SELECT k[1:a] AS top, n_children, n_convs, n FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM full_node))
+    GROUP BY top
+)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, parent.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM full_node f JOIN below ON f.k = below.top LEFT JOIN node parent ON f.depth > 0 AND f.up = parent.k
+"""
+
+ORACLES["op12_hilbert_shards"] = rf"""
+WITH RECURSIVE move AS MATERIALIZED (SELECT CAST({curve(3)[0]} AS BIGINT[]) AS m),
+doc AS (
+    SELECT doc_id, lang, source, strlen(coalesce(text, '')) + 16 AS size,
+           CASE WHEN coalesce(text, '') = '' THEN 0 ELSE {_crc32("hex(encode(text))")} END AS c
+    FROM documents
+),
+-- cells of a dimension: all values if they are fewer than 32, else about equal counts of rows
+seen AS (
+    SELECT j, v, s, row_number() OVER (PARTITION BY j ORDER BY v, s) AS r, count(*) OVER (PARTITION BY j) AS m,
+           (coalesce(sum(n) OVER (PARTITION BY j ORDER BY v, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 31) // sum(n) OVER (PARTITION BY j) AS q
+    FROM (SELECT 0 AS j, NULL AS v, lang AS s, count(*) AS n FROM doc WHERE lang IS NOT NULL GROUP BY lang
+          UNION ALL SELECT 1, NULL, source, count(*) FROM doc WHERE source IS NOT NULL GROUP BY source
+          UNION ALL SELECT 2, size, NULL, count(*) FROM doc GROUP BY size)
+),
+reach AS (
+    SELECT j, v, s, CASE WHEN m < 32 THEN r ELSE dense_rank() OVER (PARTITION BY j ORDER BY q) END AS reached FROM seen
+),
+cell AS (
+    SELECT j, v, s, (reached * 32) // (max(reached) OVER (PARTITION BY j) + 1) AS x FROM reach
+),
+spot AS (
+    SELECT doc.*, coalesce(a.x, 0) AS x0, coalesce(b.x, 0) AS x1, coalesce(d.x, 0) AS x2
+    FROM doc LEFT JOIN cell a ON a.j = 0 AND a.s = doc.lang LEFT JOIN cell b ON b.j = 1 AND b.s = doc.source
+         LEFT JOIN cell d ON d.j = 2 AND d.v = doc.size
+),
+walk AS (
+    SELECT doc_id, size, c, x0, x1, x2, 4 AS level, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS state FROM spot
+    UNION ALL
+    SELECT doc_id, size, c, x0, x1, x2, level - 1, place * 8 + (step >> 16), step & 65535
+    FROM (SELECT walk.*, m[state * 8 + ((x0 >> level) & 1) + 2 * ((x1 >> level) & 1) + 4 * ((x2 >> level) & 1) + 1] AS step FROM walk, move WHERE level >= 0)
+),
+ranked AS (
+    SELECT doc_id, size, c, row_number() OVER (ORDER BY place, c, doc_id NULLS FIRST, size) - 1 AS rank, count(*) OVER () AS n
+    FROM walk WHERE level = -1
+)
+SELECT doc_id, size, c AS text_crc32, 'rows' AS law, CAST((rank * 40) // n AS INTEGER) AS shard,
+       rank - (((rank * 40) // n) * n + 39) // 40 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM ranked
+"""

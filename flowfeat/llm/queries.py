@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowfeat.llm import bpe, decontamination, exact_dedup, language, line_dedup, minhash, ranked_search, substring_dedup, token_files, tool_calls, url_filter
+from flowfeat.llm import bpe, decontamination, exact_dedup, hilbert, language, line_dedup, minhash, prefix_trie, ranked_search, substring_dedup, token_files, tool_calls, url_filter
 from flowfeat.llm.common import documents, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,22 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     """All documents, ranked for every benchmark item."""
     return ranked_search.ranked(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"), k=10)
+
+
+SHARD_DIMENSIONS = ["lang", "source", "size"]
+
+
+@query
+def op12_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 40 runs of equal row counts along a curve through language, source and size."""
+    placed = hilbert.assigned(documents(spark, folder), SHARD_DIMENSIONS, 40, law="rows")
+    return placed.withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, each rebuilt with the first turns of the conversation at the hundred below, as one trie."""
+    turns = spark.read.parquet(f"{folder}/conversations.parquet")
+    heads = F.crc32(F.col("conv").cast("string").cast("binary")) % 6
+    sequences, members = prefix_trie.rebuilt(turns, heads, F.col("conv") - F.col("conv") % 100, longest=5)
+    return prefix_trie.nodes(sequences, members)
