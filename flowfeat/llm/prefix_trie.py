@@ -115,7 +115,7 @@ def _slice(keys: str, after: Column, upto: Column) -> Column:
 def located(batch: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     """`batch` with `leaves` (depth of the last prefix that the trie has) and `entry` and `bottom` of the edge it leaves inside."""
     state = batch.withColumns({"a": F.col("top"), "b": F.col("top") + F.size("keys")})
-    handles = edges.select(F.col("handle").alias("h"), F.col("bottom").alias("found"))
+    handles = edges.select(F.col("handle").alias("h"), F.col("top").alias("upper"), F.col("bottom").alias("found"), F.col("ext").alias("last"))
     kept = state.columns
     for _ in range(rounds):
         going = F.col("a") < F.col("b")
@@ -123,11 +123,12 @@ def located(batch: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
         # a search that is over asks under its own last key, so that no value gathers the idle rows
         state = state.withColumn("ask", F.coalesce(_at("keys", F.col("f") - F.col("top")), F.element_at("keys", -1)))
         state = state.join(handles, (F.col("ask") == F.col("h")) & F.col("f").isNotNull(), "left")
-        state = state.select(
-            *[c for c in kept if c not in ("a", "b")],
-            F.coalesce("found", "a").alias("a"),
-            F.when(F.col("f").isNotNull() & F.col("found").isNull(), F.col("f") - 1).otherwise(F.col("b")).alias("b"),
-        )
+        # an edge whose handle is a prefix, but not its end, is the one to leave: the search is over above it
+        whole = F.coalesce(_at("keys", F.col("found") - F.col("top")) == F.col("last"), F.lit(False))
+        a = F.when(F.col("found").isNull(), F.col("a")).when(whole, F.col("found")).otherwise(F.col("upper"))
+        b = F.when(F.col("f").isNotNull() & F.col("found").isNull(), F.col("f") - 1).otherwise(F.col("b"))
+        b = F.when(F.col("found").isNotNull() & ~whole, F.col("upper")).otherwise(b)
+        state = state.select(*[c for c in kept if c not in ("a", "b")], a.alias("a"), b.alias("b"))
     below = edges.select(F.col("entry").alias("e"), F.col("keys").alias("inside"), "bottom")
     state = state.withColumn("ask", F.coalesce(_at("keys", F.col("a") - F.col("top") + 1), F.element_at("keys", -1)))
     open_ = F.col("a") < F.col("top") + F.size("keys")

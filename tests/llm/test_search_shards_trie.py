@@ -1,0 +1,257 @@
+"""Ranked search, Hilbert shards and the prefix trie against brute force."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from helpers import SCHEMA, ascii_lower, awkward, corpus, frame
+
+from flowfeat.llm import hilbert, prefix_trie, queries, ranked_search
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+# ---------------------------------------------------------------- ranked search
+def search_brute(docs, items, k):
+    cut = lambda t: TERM.findall(ascii_lower(t or ""))
+    texts = [(d, cut(t)) for d, t, *_ in docs]
+    texts = [(d, w) for d, w in texts if w]
+    n, length = len(texts), sum(len(w) for _, w in texts)
+    df = Counter(t for _, w in texts for t in set(w))
+    asked = defaultdict(set)
+    for i, t in items:
+        asked[i] |= set(cut(t))
+    out = []
+    for i, terms in asked.items():
+        scored = []
+        for d, w in texts:
+            tf, m = Counter(w), 10 + 90 * len(w) * n // length
+            s = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (10**9 * tf[t] // (1000 * tf[t] + 8 * m)) for t in terms if tf[t])
+            if s > 0:
+                scored.append((-s, d is None, d or 0, d))
+        out += [(i, r + 1, x[3], -x[0]) for r, x in enumerate(sorted(scored)[:k])]
+    return sorted(out, key=str)
+
+
+@pytest.fixture(scope="module")
+def asked():
+    rows = awkward(corpus(seed=5))
+    texts = [t for _, t, *_ in rows if t]
+    r = random.Random(2)
+    items = [(i, " ".join(r.choice(texts).split()[:r.randrange(1, 12)])) for i in range(12)]
+    items += [(12, "same six"), (12, "ONE two"), (13, None), (14, ""), (15, "nowhere"), (None, "same"), (16, "w1 " * 50), (3, items[3][1])]
+    return rows, items
+
+
+@pytest.mark.parametrize("k, postings, limit", [(10, 1 << 19, 10**6), (3, 60, 20), (1, 1, 10**6), (200, 40, 10**6)])
+def test_search(spark, asked, monkeypatch, k, postings, limit):
+    monkeypatch.setattr(ranked_search, "BLOCK_POSTINGS", postings)
+    rows, items = asked
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = ranked_search.ranked(frame(spark, rows), table, k, limit)
+    assert found.columns == ["item_id", "rank", "doc_id", "score"]
+    assert sorted(map(tuple, found.collect()), key=str) == search_brute(rows, items, k)
+
+
+def test_search_of_empty_tables(spark, asked):
+    rows, items = asked
+    table = spark.createDataFrame(items, "item_id long, text string")
+    assert ranked_search.ranked(spark.createDataFrame([], SCHEMA), table).count() == 0
+    assert ranked_search.ranked(frame(spark, rows), table.where("false")).count() == 0
+
+
+def test_accumulators_are_limited():
+    """Common words of many documents get no accumulators once the rare ones have settled the best."""
+    r = np.random.default_rng(1)
+    rare, common = np.arange(20), np.arange(5000)
+    lists = [(rare, np.full(20, 900) + np.arange(20)), (common, r.integers(1, 50, 5000)), (common, r.integers(1, 50, 5000))]
+    rest = np.array([900 + 19 + 98, 98, 49])
+    held, scores, made = ranked_search.limited(lists, rest, 5000, 5, 0)
+    assert made == 20 and set(held) == set(range(20))
+    whole = np.zeros(5000, np.int64)
+    for d, a in lists:
+        whole[d] += a
+    assert (scores == whole[held]).all()
+    # ties with the k-th score are not lost: a bound that equals it goes on
+    held, _, made = ranked_search.limited([(np.array([3]), np.array([5])), (np.array([1]), np.array([5]))], np.array([10, 5]), 5, 1, 0)
+    assert made == 2
+
+
+def test_hash_collisions_are_compared_by_bytes():
+    import pyarrow as pa
+
+    from flowfeat.llm.common import ALNUM, Words
+
+    query = ranked_search.Query.of([{"item": 0, "term": t} for t in ("abc", "abd", "x")])
+    query.hashes[:] = query.hashes[0]
+    words = Words(pa.array(["abd x zzz abc", "x"]), ALNUM, lower=True)
+    words.hashes = lambda: np.full(5, query.hashes[0])
+    at, term = query.numbers(words)
+    found = sorted(zip(at.tolist(), [query.data[query.begin[t] : query.begin[t + 1]].tobytes() for t in term]))
+    assert found == [(0, b"abd"), (1, b"x"), (3, b"abc"), (4, b"x")]
+
+
+# ---------------------------------------------------------------- Hilbert shards
+@pytest.mark.parametrize("dims, bits", [(2, 4), (3, 3), (4, 2)])
+def test_curve_visits_neighbours(spark, dims, bits):
+    from pyspark.sql import functions as F
+
+    side = 1 << bits
+    cells = spark.createDataFrame(list(itertools.product(range(side), repeat=dims)), [f"c{i}" for i in range(dims)])
+    index = hilbert.curve_index([F.col(c) for c in cells.columns], bits)
+    walk = [tuple(r)[:dims] for r in sorted(cells.withColumn("h", index).collect(), key=lambda r: r["h"])]
+    assert sorted(r["h"] for r in cells.select(index.alias("h")).collect()) == list(range(side**dims))
+    assert all(sum(abs(a - b) for a, b in zip(p, q)) == 1 for p, q in zip(walk, walk[1:]))
+
+
+def laws(rows, got, shards, law):
+    texts = Counter((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t, *_ in rows)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == texts
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r)
+    assert all(sorted(r["slot"] for r in part) == list(range(len(part))) for part in by.values())
+    assert set(by) <= set(range(shards))
+    if law == "rows":
+        counts = [len(by[s]) for s in range(shards)]
+        assert max(counts) - min(counts) <= 1
+    else:
+        run = -(-sum(r["size"] for r in got) // shards)
+        place = sorted(got, key=lambda r: (r["shard"], r["slot"]))
+        before = 0
+        for r in place:
+            assert r["shard"] == before // run
+            before += r["size"]
+
+
+@pytest.mark.parametrize("law, shards, group_rows", [("rows", 7, 100_000), ("rows", 40, 5), ("rows", 90, 3), ("bytes", 6, 100_000), ("bytes", 6, 4)])
+def test_shards(spark, law, shards, group_rows):
+    rows = awkward(corpus(seed=6))
+    rows += [(1000 + i, "a hot text", "en", "s", 10) for i in range(60)]
+    got = hilbert.assigned(frame(spark, rows), ["lang", "source", "size", "doc_id"], shards, law, bits=3, group_rows=group_rows)
+    assert got.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot"]
+    got = got.collect()
+    laws(rows, got, shards, law)
+    again = hilbert.assigned(frame(spark, rows[::-1]).repartition(7), ["lang", "source", "size", "doc_id"], shards, law, bits=3, group_rows=group_rows)
+    assert sorted(map(str, again.collect())) == sorted(map(str, got))
+
+
+def test_shard_files_are_pruned(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    rows = [(i, "x" * r.randrange(1, 2000), r.choice("abcdefgh"), f"host{r.randrange(30)}", r.randrange(1000)) for i in range(2000)]
+    docs = frame(spark, rows)
+    whole = hilbert.sharded(docs, ["lang", "source", "size"], 40, "rows")
+    folder = hilbert.write_shards(whole, str(tmp_path / "shards"), files=9)
+    back = spark.read.parquet(folder)
+    assert sorted(map(str, back.drop("_shard").select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+    kept = hilbert.manifest(whole).cache()
+    assert kept.agg(F.sum("n_rows")).first()[0] == 2000 and kept.count() == 40
+    for ranges, where in (({"d0": ("c", "c")}, "lang = 'c'"), ({"d1": ("host5", "host7")}, "source BETWEEN 'host5' AND 'host7'"), ({"d2": (16, 216)}, "octet_length(text) <= 200")):
+        hit = {x["shard"] for x in hilbert.touched(kept, ranges).collect()}
+        assert {x[0] for x in back.where(where).select("_shard").distinct().collect()} <= hit
+        assert len(hit) < 30  # most shards of a plain order would hold such a row
+
+
+def test_shards_of_odd_tables(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert hilbert.assigned(empty, ["lang", "size"], 5).count() == 0
+    assert hilbert.assigned(empty, ["lang", "size"], 5, "bytes").count() == 0
+    with pytest.raises(ValueError, match="missing"):
+        hilbert.assigned(empty, ["nothing"], 5)
+
+
+# ---------------------------------------------------------------- prefix trie
+def trie_brute(turns):
+    convs = defaultdict(list)
+    for c, t, role, text in turns:
+        if c is not None:
+            digest = hashlib.md5(f"{len(role or '')}:{role or ''}{text or ''}".encode()).digest()
+            convs[c].append((t is not None, t or 0, digest, role or "", text or ""))
+    convs = {c: [x[3:] for x in sorted(t)] for c, t in convs.items()}
+    whole = {}
+    for c, own in convs.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        whole[c] = convs.get(c - int(math.fmod(c, 100)), [])[:h] + own[h:]
+    members = defaultdict(list)
+    for c, path in whole.items():
+        for d in range(len(path) + 1):
+            members[tuple(path[:d])].append(c)
+    kids = Counter(k[:-1] for k in members if k)
+    out = []
+    for k, m in members.items():
+        below = [x for x in members if x[: len(k)] == k]
+        ends = ",".join(str(c) for c in sorted(m) if len(whole[c]) == len(k))
+        out.append((
+            min(m), len(k), min(members[k[:-1]]) if k else None, len(m), kids[k], sum(not kids[x] for x in below),
+            sum((len(members[x]) - 1) * len(x[-1][1]) for x in below if x), hashlib.sha256(ends.encode()).hexdigest(),
+        ))
+    return sorted(out, key=str)
+
+
+def conversations(seed, n=60, long=0):
+    r = random.Random(seed)
+    says = ["", "é", "yes", "no", "🙂 hm", None]
+    rows = []
+    for _ in range(n):
+        c = r.choice([r.randrange(0, 230), r.randrange(-150, 0), 200])
+        start = r.randrange(0, 3)
+        for t in range(r.randrange(1, 9)):
+            rows.append((c, None if t == 1 and c % 7 == 0 else start + t, r.choice(["user", "assistant", None]) if r.random() < 0.3 else "user", r.choice(says) if r.random() < 0.5 else "yes"))
+    for c in range(300, 300 + long):
+        for t in range(r.choice([13, 29, 30, 41])):
+            rows.append((c, t, "user", "same" if t != 20 or c % 2 else f"{c % 4}"))
+    rows += [rows[0], (None, 1, "user", "x"), (None, None, None, None), (77, None, None, None)]
+    return rows
+
+
+@pytest.mark.parametrize("batches, segment, seed", [((), 4096, 1), ((0.2, 0.5), 4096, 2), ((0.1, 0.4, 0.7), 4, 3), ((1 / 16, 1 / 4), 1, 4)])
+def test_trie(spark, batches, segment, seed):
+    from pyspark.sql import functions as F
+
+    rows = conversations(seed, long=12)
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    turns = turns.withColumns({c: F.lit("x") for c in ("conv", "key", "x", "top", "place", "digest")})
+    heads = F.crc32(F.col("conv").cast("string").cast("binary")) % 6
+    sequences, members = prefix_trie.rebuilt(turns, heads, F.col("conv") - F.col("conv") % 100, 5)
+    got = prefix_trie.nodes(sequences, members, batches, segment).collect()
+    assert sorted(map(tuple, got), key=str) == trie_brute(rows)
+
+
+def test_trie_edges_are_compact(spark):
+    """Two long equal beginnings are one edge, and a search needs few rounds."""
+    from pyspark.sql import functions as F
+
+    rows = [(c, t, "user", f"{t}" if t < 900 or c == 1 else f"{c}{t}") for c in (1, 2, 3) for t in range(1000)]
+    turns = prefix_trie.ordered(prefix_trie.turn_digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    paths = prefix_trie.segments(turns.withColumn("depth", F.col("place") + 1)).cache()
+    edges = None
+    for c in (1, 2, 3):
+        edges, shared = prefix_trie.inserted(edges, paths.where(F.col("conv") == c))
+        assert shared.first()["shared"] == (0 if c == 1 else 900)
+    assert sorted((r["top"], r["bottom"]) for r in edges.collect()) == [(0, 900)] + 3 * [(900, 1000)]
+
+
+def test_trie_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    sequences, members = prefix_trie.rebuilt(empty, queries.F.lit(3), queries.F.col("conv"), 5)
+    assert prefix_trie.nodes(sequences, members).count() == 0
+
+
+def test_registered_queries_on_small_tables(spark, tmp_path):
+    rows, turns = awkward(corpus(seed=9)), conversations(11)
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(i, t) for i, (_, t, *_) in enumerate(rows[20:30])]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    found = queries.op11_ranked_search(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect()), key=str) == search_brute(rows, items, 10)
+    laws(rows, queries.op12_hilbert_shards(spark, str(tmp_path)).collect(), 40, "rows")
+    assert sorted(map(tuple, queries.op13_prefix_trie(spark, str(tmp_path)).collect()), key=str) == trie_brute(turns)
