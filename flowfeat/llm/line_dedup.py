@@ -6,12 +6,13 @@ lines are grouped over all documents by their hash; each occurrence is compared,
 (by doc_id, then place), and goes if it is equal. Only DataFrame functions are used.
 
 Chunks leave part of a repeated passage: those of one line, and the ends that share a chunk with other text. With
-`whole`, every two neighbouring lines are compared in place of the chunks. A repeated passage of several lines consists
-of such pairs, so all of its lines go, wherever they lie.
+`whole`, which the query and the pipeline use, they are only the coarse step: what they leave is judged by the
+rolling hashes themselves, one for every two neighbouring lines, compared with the earliest occurrence in the same
+way. A repeated passage of several lines consists of such pairs, so all of its lines go, wherever they lie.
 
 Defined cases: a null text stays null and has no lines, an empty one has one empty line; a null doc_id is an ordinary
-value that comes last; equal rows (same doc_id and text) are one occurrence and change alike; chunks of one line, and
-chunks of blanks only, stay; a text of which everything goes becomes empty; an empty table gives no rows; all other
+value that comes last; equal rows (same doc_id and text) are one occurrence and change alike; single lines, and
+chunks and pairs of blank lines only, stay; a text of which everything goes becomes empty; an empty table gives no rows; all other
 columns are kept as they are, and names that the operator uses inside may occur among them.
 """
 
@@ -26,6 +27,9 @@ WINDOW = 2
 DIVISOR = 2
 MIN_LINES = 2
 _HEX = "0123456789abcdef"
+HOT_TIMES = 10_000  # a hash that occurs more often is dealt over SALTS join keys
+HOT_KEYS = 10_000  # no more hashes are, so their list may be broadcast
+SALTS = 64
 
 
 def _chunks(lines: str, window: int, divisor: int) -> tuple[Column, Column]:
@@ -58,54 +62,100 @@ def chunked(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> Da
 
 
 def paired(docs: DataFrame) -> DataFrame:
-    """As `chunked`, with every two neighbouring lines as a cut."""
-    cuts = F.transform(F.sequence(F.lit(1), F.size("lines") - 1), lambda i: F.struct((i - 1).alias("begin"), (i + 1).alias("end")))
-    cuts = F.when(F.size("lines") > 1, cuts).otherwise(F.array().cast("array<struct<begin:int,end:int>>"))
+    """`doc`, `mark`, `begin`, `hash` of every two neighbouring lines that are not both blank: the rolling hash of two lines."""
     lined = docs.where("text IS NOT NULL").select(
         F.col("doc_id").alias("doc"), F.md5("text").alias("mark"), F.split("text", "\n", -1).alias("lines")
     )
-    return lined.select("doc", "mark", "lines", cuts.alias("cuts"))
+    codes = F.transform("lines", lambda x: F.struct(F.md5(x).alias("code"), (F.trim(x) == "").alias("blank")))
+    coded = lined.withColumn("codes", codes)
+    following = F.slice("codes", 2, F.size("codes"))
+    pairs = F.zip_with("codes", following, lambda a, b: F.when(b.isNotNull() & ~(a["blank"] & b["blank"]), F.md5(F.concat(a["code"], b["code"]))))
+    spots = coded.select("doc", "mark", F.posexplode(pairs).alias("begin", "hash")).where("hash IS NOT NULL")
+    return spots.select("doc", "mark", "begin", (F.col("begin") + 2).alias("end"), "hash")
 
 
 def _text(cut: Column) -> Column:
     return F.array_join(F.slice("lines", cut["begin"] + 1, cut["end"] - cut["begin"]), "\n")
 
 
-def repeated(
-    docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES, whole: bool = False
-) -> DataFrame:
-    """`doc`, `mark`, `begin`, `end` of every chunk (pair if `whole`) that an earlier occurrence has, after byte comparison."""
-    cut = paired(docs) if whole else chunked(docs, window, divisor)
-    min_lines = 2 if whole else min_lines
+def _chunk_spots(docs: DataFrame, window: int, divisor: int, min_lines: int, blanks: bool = True) -> DataFrame:
+    """`doc`, `mark`, `begin`, `end`, `hash` of every chunk of at least `min_lines` lines that is not blank.
+
+    Without `blanks`, chunks with two blank lines in a row are left to the pairs, which keep such lines.
+    """
+
+    def counts(text: Column) -> Column:
+        return (F.trim(text) != "") & (F.lit(blanks) | ~text.rlike(r"(^|\n) *\n *(\n|$)"))
+
     long = F.filter("cuts", lambda c: c["end"] - c["begin"] >= min_lines)
     hashed = F.transform(
-        long, lambda c: F.struct(c["begin"].alias("begin"), c["end"].alias("end"), F.when(F.trim(_text(c)) != "", F.md5(_text(c))).alias("hash"))
+        long, lambda c: F.struct(c["begin"].alias("begin"), c["end"].alias("end"), F.when(counts(_text(c)), F.md5(_text(c))).alias("hash"))
     )
-    spots = cut.select("doc", "mark", F.explode(hashed).alias("c")).select("doc", "mark", "c.*")
-    spots = stored(spots.where("hash IS NOT NULL").distinct())
+    spots = chunked(docs, window, divisor).select("doc", "mark", F.explode(hashed).alias("c")).select("doc", "mark", "c.*")
+    return spots.where("hash IS NOT NULL")
+
+
+def _confirmed(docs: DataFrame, spots: DataFrame, covered: DataFrame | None = None) -> DataFrame:
+    """Those of `spots` whose lines equal, byte by byte, the earliest spot of their hash; spots inside `covered` are left out.
+
+    The rows of a hash that occurs very often are dealt over SALTS join keys, each with a copy of the earliest one.
+    """
     place = F.struct(F.col("doc").isNull().alias("none"), "doc", "mark", "begin")
+    spots = stored(spots.distinct())
     first = spots.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
-    many = spots.join(first.select("hash", "first"), "hash")
-    asked = many.groupBy("doc", "mark").agg(F.collect_list(F.struct("begin", "end", "hash", "first")).alias("asked"))
+    first = stored(first)
+    # at most HOT_KEYS hashes can occur so often
+    hot = first.where(F.col("times") > max(HOT_TIMES, spots.count() // HOT_KEYS)).select(F.col("hash").alias("often"))
+    hot = F.broadcast(hot)
+    all_salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        salt = F.when(F.col("often").isNotNull(), F.pmod(F.xxhash64("doc", "mark", "begin"), F.lit(SALTS))).otherwise(0)
+        return rows.join(hot, F.col("hash") == F.col("often"), "left").withColumn("salt", salt.cast("int"))
+
+    def copied(rows: DataFrame) -> DataFrame:
+        rows = rows.join(hot, F.col("hash") == F.col("often"), "left")
+        salts = F.when(F.col("often").isNotNull(), all_salts).otherwise(F.array(F.lit(0)))
+        return rows.withColumn("salt", F.explode(salts)).drop("often").withColumnRenamed("hash", "h").withColumnRenamed("salt", "s")
+
+    same_key = (F.col("hash") == F.col("h")) & (F.col("salt") == F.col("s"))
+    many = dealt(spots).join(copied(first.select("hash", "first")), same_key).select("doc", "mark", "begin", "end", "hash", "first")
+    asked = many.groupBy("doc", "mark").agg(F.collect_list(F.struct("begin", "end", "hash", (F.col("first") == place).alias("is_first"))).alias("asked"))
     asked = asked.select(F.col("doc").alias("d"), F.col("mark").alias("m"), "asked")
+    if covered is not None:
+        inside = covered.groupBy("doc", "mark").agg(F.collect_list(F.struct("begin", "end")).alias("gone"))
+        asked = asked.join(inside, (F.col("m") == F.col("mark")) & F.col("d").eqNullSafe(F.col("doc")), "left")
+        free = F.filter(
+            "asked", lambda c: c["is_first"] | ~F.coalesce(F.exists("gone", lambda g: (g["begin"] <= c["begin"]) & (g["end"] >= c["end"])), F.lit(False))
+        )
+        asked = asked.select("d", "m", free.alias("asked"))
     lined = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("doc"), F.md5("text").alias("mark"), "text")
+    spelt = F.transform("asked", lambda c: F.struct(c["begin"].alias("begin"), c["end"].alias("end"), c["hash"].alias("hash"), c["is_first"].alias("is_first"), _text(c).alias("bytes")))
     texts = (
         lined.join(asked, (F.col("mark") == F.col("m")) & F.col("doc").eqNullSafe(F.col("d")))
         .select("doc", "mark", F.split("text", "\n", -1).alias("lines"), "asked")
-        .select(
-            "doc",
-            "mark",
-            F.explode(F.transform("asked", lambda c: F.struct(c["begin"].alias("begin"), c["end"].alias("end"), c["hash"].alias("hash"), c["first"].alias("first"), _text(c).alias("bytes")))).alias("c"),
-        )
+        .select("doc", "mark", F.explode(spelt).alias("c"))
         .select("doc", "mark", "c.*")
     )
-    own = F.struct(F.col("doc").isNull().alias("none"), "doc", "mark", "begin")
-    texts = texts.withColumn("is_first", own == F.col("first"))
-    heads = texts.where("is_first").select(F.col("hash").alias("h"), F.col("bytes").alias("head")).dropDuplicates(["h"])
-    same = texts.where(~F.col("is_first")).join(heads, F.col("hash") == F.col("h")).where(F.col("bytes") == F.col("head"))
+    heads = texts.where("is_first").select("hash", F.col("bytes").alias("head")).dropDuplicates(["hash"])
+    same = dealt(texts.where("NOT is_first")).join(copied(heads), same_key).where(F.col("bytes") == F.col("head"))
     return same.select("doc", "mark", "begin", "end").distinct()
 
 
+def repeated(
+    docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES, whole: bool = False
+) -> DataFrame:
+    """`doc`, `mark`, `begin`, `end` of every chunk that an earlier occurrence has, after byte comparison.
+
+    With `whole` also of every two neighbouring lines that occur earlier and lie in none of these chunks.
+    """
+    chunks = _confirmed(docs, _chunk_spots(docs, window, divisor, min_lines, blanks=not whole))
+    if not whole:
+        return chunks
+    chunks = stored(chunks)
+    return chunks.unionByName(_confirmed(docs, paired(docs), chunks))
+
+
 def drop_repeated(
     docs: DataFrame,
     window: int = WINDOW,
@@ -116,7 +166,7 @@ def drop_repeated(
 ) -> DataFrame:
     """All rows and columns of `docs` (doc_id, text, …), the text without its repeated chunks.
 
-    With `whole`, every line goes that lies in a run of several lines which occurs earlier; the chunk rule has no part in it.
+    With `whole`, every line goes that lies in a run of several lines which occurs earlier.
     `n_lines` and `n_removed` are added in a struct column `report`, which takes the place of a column of that name.
     """
     tuned(docs.sparkSession)

@@ -110,61 +110,23 @@ FROM doc LEFT JOIN kept ON doc.doc_id = kept.doc_id
 ORACLES["op7_line_dedup"] = r"""
 WITH doc AS (SELECT doc_id, coalesce(text, '') AS t, string_split(text, chr(10)) AS l FROM documents),
 line AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM doc),
-rolled AS (SELECT *, md5(lag(md5(x)) OVER (PARTITION BY doc_id ORDER BY i) || md5(x)) AS r FROM line),
-numbered AS (
-    SELECT *, sum(CASE WHEN i = 1 OR right(r, 1) IN ('0', '1', '2', '3', '4', '5', '6', '7') THEN 1 ELSE 0 END)
-              OVER (PARTITION BY doc_id ORDER BY i) AS chunk
-    FROM rolled
-),
-chunk AS (
-    SELECT doc_id, chunk, count(*) AS n, min(i) AS b, string_agg(x, chr(10) ORDER BY i) AS c FROM numbered GROUP BY doc_id, chunk
-),
+pair AS (SELECT doc_id, i, x, lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS y FROM line),
 gone AS (
-    SELECT doc_id, chunk FROM (
-        SELECT doc_id, chunk, row_number() OVER (PARTITION BY c ORDER BY doc_id, b) AS k
-        FROM chunk WHERE n >= 2 AND trim(c, ' ') <> ''
+    SELECT DISTINCT doc_id, unnest([i, i + 1]) AS i FROM (
+        SELECT doc_id, i, row_number() OVER (PARTITION BY x, y ORDER BY doc_id, i) AS k
+        FROM pair WHERE y IS NOT NULL AND (trim(x, ' ') <> '' OR trim(y, ' ') <> '')
     ) WHERE k > 1
 ),
 kept AS (
-    SELECT numbered.doc_id, string_agg(x, chr(10) ORDER BY i) AS s, count(*) AS n
-    FROM numbered LEFT JOIN gone ON numbered.doc_id = gone.doc_id AND numbered.chunk = gone.chunk
-    WHERE gone.chunk IS NULL GROUP BY numbered.doc_id
+    SELECT line.doc_id, string_agg(x, chr(10) ORDER BY line.i) AS s, count(*) AS n
+    FROM line LEFT JOIN gone ON line.doc_id = gone.doc_id AND line.i = gone.i
+    WHERE gone.i IS NULL GROUP BY line.doc_id
 )
 SELECT doc.doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines,
        CAST(coalesce(len(l), 0) AS BIGINT) - coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
 FROM doc LEFT JOIN kept ON doc.doc_id = kept.doc_id
 """
 
-ORACLES["op11_ranked_search"] = r"""
-WITH word AS (
-    SELECT d, doc_id, unnest(w) AS term, len(w) AS n
-    FROM (SELECT row_number() OVER () AS d, doc_id,
-                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
-          FROM documents)
-),
-total AS (SELECT count(DISTINCT d) AS n_docs, count(*) AS n_terms FROM word),
-posting AS (SELECT d, doc_id, n, term, count(*) AS tf FROM word GROUP BY ALL),
-weight AS (
-    SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM posting, total GROUP BY term, n_docs
-),
-ask AS (
-    SELECT DISTINCT item_id, unnest(regexp_extract_all(
-        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
-    FROM benchmark
-),
-part AS (
-    SELECT d, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))) AS s
-    FROM posting JOIN weight USING (term), total
-),
-score AS (
-    SELECT item_id, d, doc_id, sum(s) AS score FROM ask JOIN part ON ask.term = part.term GROUP BY ALL HAVING sum(s) > 0
-),
-placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM score)
-SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM placed WHERE r <= 10
-"""
-
 ORACLES["op13_prefix_trie"] = rf"""
 WITH numbered AS (
     SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p,

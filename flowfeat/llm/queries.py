@@ -85,8 +85,8 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents, without line chunks that an earlier document has."""
-    out = line_dedup.drop_repeated(documents(spark, folder).select("doc_id", "text"))
+    """All documents, without the runs of several lines that an earlier document has."""
+    out = line_dedup.drop_repeated(documents(spark, folder).select("doc_id", "text"), whole=True)
     text = F.coalesce("text", F.lit("")).cast("binary")
     return out.select("doc_id", "dedup.n_lines", "dedup.n_removed", F.sha2(text, 256).alias("kept_sha256"))
 

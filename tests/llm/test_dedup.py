@@ -206,7 +206,7 @@ def runs_brute(rows):
         lines = key[1].split("\n")
         for i in range(len(lines) - 1):
             pair = "\n".join(lines[i : i + 2])
-            if pair in seen and pair.strip(" ") != "":
+            if pair in seen and pair.strip(" \n") != "":
                 gone[key].update((i, i + 1))
             seen.add(pair)
     out = []
