@@ -261,6 +261,100 @@ def test_tool_calls(spark):
     assert tool_calls.linked(calls.limit(0), results, SCHEMAS).count() == 0
 
 
+def calls_brute(calls, results, schemas):
+    """Levels by recursion over one conversation at a time; messages by the rules of the docstring."""
+    rows, answers, count, times = {}, {}, Counter(), Counter()
+    low = lambda x: tuple((v is not None, v) for v in x)
+    for c, t, i, name, arguments, needs in calls:
+        key, one = (c, i), (t, name, arguments, sorted(needs, key=lambda x: (x is None, x or "")) if needs is not None else None)
+        count[key] += 1
+        if key not in rows or low(one[:3]) < low(rows[key][:3]):
+            rows[key] = one
+    for c, t, i, content in results:
+        times[c, i] += 1
+        if (c, i) not in answers or low((t, content)) < low(answers[c, i]):
+            answers[c, i] = (t, content)
+    out = []
+
+    def level(key, above=()):
+        if key in above:
+            return None
+        known = {(key[0], n) for n in rows[key][3] or [] if (key[0], n) in rows}
+        below = [level(n, (*above, key)) for n in known]
+        return None if None in below else max(below, default=-1) + 1
+
+    for key, (t, name, arguments, needs) in rows.items():
+        missing = sorted({n for n in needs or [] if (key[0], n) not in rows and n is not None})
+        value, errors = arguments, []
+        try:
+            if arguments is None:
+                raise ValueError("missing")
+            value = json.loads(arguments, parse_float=lambda x: int(float(x)) if float(x).is_integer() else float(x))
+            errors = tool_calls.complaints(value, schemas[name]) if name in schemas else ["$: no such tool"]
+        except ValueError as e:
+            value, errors = arguments, ["$: missing" if str(e) == "missing" else "$: not JSON"]
+        deep = level(key)
+        status = "cycle" if deep is None else "invalid" if errors else "ok" if times[key] else "pending"
+        message = {"call": {"arguments": value, "id": key[1], "name": name, "turn": t}, "level": deep, "status": status}
+        if times[key]:
+            message["result"] = {"content": answers[key][1], "turn": answers[key][0]}
+        text = json.dumps(message, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        out.append((*key, t, name, deep, status, tuple(errors), tuple(missing), count[key], times[key], text))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed, group", [(1, 10**5), (2, 0), (3, 6)])
+def test_tool_calls_equal_brute_force(spark, seed, group):
+    r = random.Random(seed)
+    words = ['{"x":1}', '{"y":2,"x":1.0}', "{", "[1,2]", '{"x":0.1}', None, '{"x":"é"}', '{"x":1e2}']
+    calls, results = [], []
+    for c in [None, *range(14)]:
+        ids = [f"c{k}" for k in range(r.randrange(1, 9))]
+        for k, i in enumerate(ids):
+            pool = ids if r.random() < 0.1 else ids[:k]  # now and then a cycle
+            needs = [*r.sample(pool, min(len(pool), r.randrange(3))), *(["gone"] if r.random() < 0.2 else [])]
+            calls.append((c, k, i, r.choice(["f", "g", "h"]), r.choice(words), needs if needs or r.random() < 0.5 else None))
+            for _ in range(r.choice([0, 1, 1, 2])):
+                results.append((c, r.choice([k, None]), i, r.choice(["a", "b", None])))
+    calls += calls[:3]
+    tables = (
+        spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, needs array<string>"),
+        spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string"),
+    )
+    got = tool_calls.linked(*tables, SCHEMAS, group).collect()
+    plain = [
+        (x["conv_id"], x["call_id"], x["turn"], x["name"], x["level"], x["status"], tuple(x["errors"]), tuple(x["missing"]), x["n_calls"], x["n_results"], x["message"])
+        for x in got
+    ]
+    assert sorted(plain, key=str) == calls_brute(calls, results, SCHEMAS)
+
+
+def test_tool_calls_of_odd_arguments(spark):
+    """Legal JSON that Python, Arrow or UTF-8 cannot carry as it is ends no job; equal numbers have one form."""
+    odd = {
+        "big": '{"x":1e400}', "deep": "[" * 100_000 + "]" * 100_000, "lone": '{"x":"\\ud800","\\udfff":1}', "digits": "9" * 5000,
+        "quoted": '"' + "[" * 1000 + '"', "one": '{"x":1}', "point": '{"x":1.0}', "power": '{"x":10e-1}', "zero": '{"x":-0.0}', "wide": '{"x":1e22}',
+    }
+    calls = spark.createDataFrame([(1, k, i, "f", a, None) for k, (i, a) in enumerate(odd.items())], "conv_id long, turn long, call_id string, name string, arguments string, needs array<string>")
+    results = spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
+    got = {r["call_id"]: r for r in tool_calls.linked(calls, results, {"f": {"type": "object", "properties": {"x": {"type": "integer"}}}}).collect()}
+    assert got["big"]["errors"] == ["$: number out of range"] == got["digits"]["errors"] and got["deep"]["errors"] == ["$: nested too deep"]
+    assert got["lone"]["errors"] == ["$.x: not integer"] and '"\\ud800"' in got["lone"]["message"] and json.loads(got["lone"]["message"])
+    assert got["quoted"]["errors"] == ["$: not object"]
+    numbers = [json.dumps(json.loads(got[i]["message"])["call"]["arguments"]) for i in ("one", "point", "power")]
+    assert len(set(numbers)) == 1 and '{"x":1}' in got["point"]["message"] and '{"x":0}' in got["zero"]["message"]
+    assert '{"x":10000000000000000000000}' in got["wide"]["message"] and got["wide"]["errors"] == []
+
+
+def test_long_chain_of_calls_is_ordered_in_one_step(spark):
+    calls = spark.createDataFrame(
+        [(1, k, f"c{k}", "f", "{}", [f"c{k - 1}", "c0"] if k else []) for k in range(1000)],
+        "conv_id long, turn long, call_id string, name string, arguments string, needs array<string>",
+    )
+    results = spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
+    assert sorted((r["turn"], r["level"]) for r in tool_calls.linked(calls, results, SCHEMAS).collect()) == [(k, k) for k in range(1000)]
+
+
 def test_schema_complaints():
     schema = {"type": "array", "items": {"type": "object", "properties": {"k": {"enum": [1, "a"]}, "s": {"type": "string", "minLength": 2, "maxLength": 3}}}}
     assert tool_calls.complaints([{"k": 1, "s": "ab"}, {}], schema) == []
