@@ -5,8 +5,9 @@ into two others, in rank order. Texts are cut by the pattern of `public_tokenize
 once from the class of every code point; each different piece is mapped to its byte characters and merged by the
 library once per batch, and kept for later batches within a bound. Ids equal those of the tiktoken library.
 
-Decoding maps ids to bytes by the same table. A token may end inside a character: its bytes are joined with those of
-its neighbours before they are read as text, and both tokens then have the whole character in their offsets.
+Decoding turns the byte characters of the model's tokens back into bytes by the reversed table. A token may end inside a
+character: its bytes are joined with those of its neighbours before they are read as text, both tokens then have the
+whole character in their offsets, and `split` marks them.
 
 Defined cases: a null text counts as empty, an empty text has no ids; a null doc_id is an ordinary value; repeated rows
 give equal rows; an empty table gives no rows; other columns are ignored. Unpaired surrogates cannot occur in UTF-8.
@@ -39,6 +40,12 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def token_bytes(vocabulary: dict[str, int]) -> dict[bytes, int]:
+    """A vocabulary of byte characters as one of bytes: the table of bytes, reversed."""
+    byte = {c: b for b, c in enumerate(byte_characters())}
+    return {bytes(byte[c] for c in token): i for token, i in vocabulary.items()}
+
+
 def read_ranks(spark, path: str) -> dict[bytes, int]:
     """The ranks of a vocabulary file on the driver; a vocabulary has a fixed, small size."""
     with open(path, "rb") as lines:
@@ -177,30 +184,36 @@ class Table:
 
     def offsets(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last + 1 character of each id in the decoded text; characters split over ids count for each."""
-        lead = (self.decode(ids) & 0xC0) != 0x80
-        number = np.r_[0, np.cumsum(lead)]
+        begin, end, _ = self.placed(ids, self.decode(ids))
+        return begin, end
+
+    def placed(self, ids: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """`offsets` of ids with their bytes, and which of them have a part of a character only."""
+        lead = np.r_[(data & 0xC0) != 0x80, True]
+        number = np.r_[0, np.cumsum(lead[:-1])]
         end = np.cumsum(self.size[ids])
         begin = end - self.size[ids]
         # a token that begins inside a character has that character too
-        inside = ~np.r_[lead, True][begin] if len(ids) else np.zeros(0, bool)
-        return number[begin] - inside, number[end]
+        inside = ~lead[begin]
+        return number[begin] - inside, number[end], inside | ~lead[end]
 
 
 def _parts(spark, path: str):
     ranks = read_ranks(spark, path)
-    return spark.sparkContext.broadcast({"model": model_json(ranks), "classes": character_classes(), "ranks": ranks})
+    return spark.sparkContext.broadcast({"model": model_json(ranks), "classes": character_classes()})
 
 
 def _table(parts: dict) -> Table:
     if "table" not in parts:
-        parts["table"] = Table(parts["ranks"])
+        parts["table"] = Table(token_bytes(json.loads(parts["model"])["model"]["vocab"]))
     return parts["table"]
 
 
 def encode(docs: DataFrame, path: str, offsets: bool = False, verify: bool = False) -> DataFrame:
     """`doc_id`, `ids` of every row of `docs` (doc_id, text), and `begins`, `ends` (characters) if `offsets`.
 
-    With `verify` the ids of each text are decoded in the same pass; it fails where the bytes are not those of the text.
+    With `verify` the ids of each text are decoded in the same pass: `round_trip` tells whether the bytes are those of the
+    text, and `n_split` how many ids have a part of a character only.
     """
     spark = tuned(docs.sparkSession)
     parts = _parts(spark, path)
@@ -209,22 +222,48 @@ def encode(docs: DataFrame, path: str, offsets: bool = False, verify: bool = Fal
         texts = [t or "" for t in block.column("text").to_pylist()]
         flat, counts = Coder.of(parts.value).encode(texts)
         out = {"doc_id": block.column("doc_id"), "ids": lists(flat, counts, pa.int32())}
+        if verify or offsets:
+            found = Decoded(_table(parts.value), flat, counts)
         if verify:
-            table, ends = _table(parts.value), np.cumsum(counts)
-            for row, (text, end, count) in enumerate(zip(texts, ends.tolist(), counts.tolist())):
-                if table.decode(flat[end - count : end]).tobytes() != text.encode():
-                    raise ValueError(f"the ids of doc_id {block.column('doc_id')[row]} do not decode to its text")
+            out["round_trip"] = [data == text.encode() for data, text in zip(found.texts(), texts)]
+            out["n_split"] = found.splits()
         if offsets:
-            table, stops = _table(parts.value), np.cumsum(counts)[:-1]
-            both = [table.offsets(ids) for ids in np.split(flat, stops)]
-            for i, name in enumerate(("begins", "ends")):
-                out[name] = lists(np.concatenate([b[i] for b in both]), counts, pa.int64())
+            out["begins"], out["ends"] = lists(found.begin, counts, pa.int64()), lists(found.end, counts, pa.int64())
         return out
 
-    more = ", begins array<bigint>, ends array<bigint>" if offsets else ""
+    more = ", round_trip boolean, n_split bigint" if verify else ""
+    more += ", begins array<bigint>, ends array<bigint>" if offsets else ""
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id bigint, ids array<int>" + more)
 
 
+class Decoded:
+    """The ids of several texts, decoded at once: bytes, character offsets in each text, and split characters."""
+
+    def __init__(self, table: Table, flat: np.ndarray, counts: np.ndarray):
+        flat = flat.astype(np.int64)
+        self.data = table.decode(flat)
+        begin, end, self.split = table.placed(flat, self.data)
+        self.stop = np.r_[0, np.cumsum(counts)]
+        self.byte = np.r_[0, np.cumsum(table.size[flat])][self.stop]
+        # a text begins with a character of its own, so its first character is the number of those before
+        first = np.repeat(np.r_[0, end][self.stop[:-1]], counts)
+        self.begin, self.end = begin - first, end - first
+
+    def texts(self) -> list[bytes]:
+        whole = self.data.tobytes()
+        edge = self.byte.tolist()
+        return [whole[a:b] for a, b in zip(edge, edge[1:])]
+
+    def splits(self) -> np.ndarray:
+        return np.diff(np.r_[0, np.cumsum(self.split)][self.stop])
+
+    def offset_words(self) -> list[bytes]:
+        """Begins and then ends of each text as little-endian 64-bit words."""
+        edge = self.stop.tolist()
+        begin, end = self.begin.astype("<i8"), self.end.astype("<i8")
+        return [begin[a:b].tobytes() + end[a:b].tobytes() for a, b in zip(edge, edge[1:])]
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """`doc_id`, `data` (bytes) of every row of `encoded` (doc_id, ids); null ids count as none."""
     spark = tuned(encoded.sparkSession)
@@ -240,34 +279,36 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """Encode every text and decode its ids, in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip.
+    """Encode every text and decode its ids, in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip, n_split, offsets_sha256.
 
-    The digests are of the decimal ids joined by commas and of the decoded bytes; `round_trip` tells whether these are
-    the bytes of the text.
+    The digests are of the decimal ids joined by commas, of the decoded bytes, and of the begins and then the ends of
+    all ids as little-endian 64-bit words; `round_trip` tells whether the bytes are those of the text, `n_split` how many
+    ids have a part of a character only.
     """
     import hashlib
 
     spark = tuned(docs.sparkSession)
     parts = _parts(spark, path)
 
+    def sha(data: bytes) -> str:
+        return hashlib.sha256(data).hexdigest()
+
     def run(block: pa.RecordBatch) -> dict:
         texts = [t or "" for t in block.column("text").to_pylist()]
         flat, counts = Coder.of(parts.value).encode(texts)
         table = _table(parts.value)
         names = parts.value.setdefault("names", [str(i) for i in range(len(table.size))])
-        ids_sha, data_sha, same = [], [], []
-        for text, ids in zip(texts, np.split(flat, np.cumsum(counts)[:-1])):
-            data = table.decode(ids).tobytes()
-            ids_sha.append(hashlib.sha256(",".join([names[i] for i in ids.tolist()]).encode()).hexdigest())
-            data_sha.append(hashlib.sha256(data).hexdigest())
-            same.append(data == text.encode())
+        found = Decoded(table, flat, counts)
+        data = found.texts()
         return {
             "doc_id": block.column("doc_id"),
             "n_tokens": counts,
-            "ids_sha256": ids_sha,
-            "decoded_sha256": data_sha,
-            "round_trip": same,
+            "ids_sha256": [sha(",".join([names[i] for i in ids.tolist()]).encode()) for ids in np.split(flat, np.cumsum(counts)[:-1])],
+            "decoded_sha256": [sha(d) for d in data],
+            "round_trip": [d == t.encode() for d, t in zip(data, texts)],
+            "n_split": found.splits(),
+            "offsets_sha256": [sha(w) for w in found.offset_words()],
         }
 
-    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean"
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean, n_split bigint, offsets_sha256 string"
     return map_arrow(docs.select("doc_id", "text"), run, schema)
