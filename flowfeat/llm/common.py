@@ -72,6 +72,20 @@ def drop_stored(*tables: DataFrame) -> None:
             _delete(df.sparkSession, folder)
 
 
+def scratch_folders(spark: SparkSession) -> list[str]:
+    """The folders made so far in this session and not deleted."""
+    return list(spark.__dict__.get("flowfeat_folders", []))
+
+
+def drop_folders(spark: SparkSession, folders: list[str]) -> None:
+    """Delete some of them, once what reads them is done."""
+    kept = spark.__dict__.get("flowfeat_folders", [])
+    for folder in folders:
+        _delete(spark, folder)
+        if folder in kept:
+            kept.remove(folder)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete all that the operators stored in this session, once their results have been written."""
     for folder in spark.__dict__.pop("flowfeat_folders", []):

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +25,13 @@ by_value(__name__)
 
 DIM = 1024
 UNKNOWN = "und"
-# The cosine of unrelated vectors has a standard deviation of 1 / sqrt(dim); below four no language is shown. Real texts of
-# a few words have best cosines from about 0.1, so the profiles that decide about a text need more signs than DIM.
+# The cosine of unrelated vectors has a standard deviation of 1 / sqrt(signs); below DEVIATIONS of it no language is shown. Real
+# texts of a few words have best cosines from about 0.1, so texts that do not reach it in DIM signs are judged by more.
 EVIDENCE_DIM = 4096
-NO_EVIDENCE = 4 / EVIDENCE_DIM**0.5
+DEVIATIONS = 4
+NO_EVIDENCE = DEVIATIONS / EVIDENCE_DIM**0.5
+# Labelled texts that teach the profiles of `identified`, chosen by a hash; profiles of fewer letters hardly differ.
+EXAMPLES = 50_000
 # Cells of the trigram vectors that are held at a time.
 CELLS = 1 << 25
 
@@ -87,15 +91,16 @@ def _numbered(values: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return distinct, number[values]
 
 
-def bound(letters: np.ndarray, table: np.ndarray, dim: int) -> np.ndarray:
-    """The vector of each trigram."""
+def bound(letters: np.ndarray, table: np.ndarray, dim: int, signs: int | None = None) -> np.ndarray:
+    """The vector of each trigram, or its first `signs`."""
     base = letter_vectors(np.r_[0, letters], dim)
     once, twice = np.roll(base, 1, 1), np.roll(base, 2, 1)
+    base, once, twice = (x[:, :signs] for x in (base, once, twice))
     return twice[table[:, 0]] * once[table[:, 1]] * base[table[:, 2]]
 
 
-def bundles(texts: list[str | None], dim: int, group: np.ndarray | None = None) -> np.ndarray:
-    """The vector of each text, or of each group of texts: the sum of its trigrams.
+def bundles(texts: list[str | None], dim: int, group: np.ndarray | None = None, signs: int | None = None) -> np.ndarray:
+    """The vector of each text, or of each group of texts: the sum of its trigrams; its first `signs` if that is given.
 
     Whole numbers in float64, so the order never matters.
     """
@@ -103,7 +108,7 @@ def bundles(texts: list[str | None], dim: int, group: np.ndarray | None = None)
     n = len(texts)
     if group is not None:
         text, n = group[text], int(group.max(initial=-1)) + 1
-    out = np.zeros((n, dim))
+    out = np.zeros((n, signs or dim))
     width = max(1, CELLS // dim)
     if len(table) > width or group is not None:  # by slab of trigrams, then by text
         order = np.lexsort((text, place // width))
@@ -112,7 +117,7 @@ def bundles(texts: list[str | None], dim: int, group: np.ndarray | None = None)
     for slab in range(len(edges) - 1):
         names = table[slab * width : (slab + 1) * width]
         owner, number = text[edges[slab] : edges[slab + 1]], place[edges[slab] : edges[slab + 1]] - slab * width
-        vectors = bound(letters, names, dim).astype(np.float32)
+        vectors = bound(letters, names, dim, signs).astype(np.float32)
         step = max(1, 2_000_000 // len(names))
         begin = np.searchsorted(owner, np.arange(n + 1))
         for lo in range(0, n, step):
@@ -183,23 +188,61 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), judge, "doc_id bigint, lang_pred string, score double")
 
 
-def identified(docs: DataFrame, profiles: dict[str, np.ndarray], least: float = NO_EVIDENCE) -> DataFrame:
-    """The rows of `docs` (text, …), with all their columns, in whose text some language shows: a score of `least` or more.
+def sampled(examples: DataFrame, most: int = EXAMPLES) -> DataFrame:
+    """About `most` labelled rows, chosen by a hash of text and language, or all if there are fewer."""
+    known = examples.where("lang IS NOT NULL AND text IS NOT NULL")
+    rows = known.count()
+    if rows <= most:
+        return known
+    return known.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_000)) < int(1_000_000 * most / rows))
 
-    The default is four standard deviations of unrelated vectors for profiles of EVIDENCE_DIM signs.
-    Rows are filtered where they are read; nothing is shuffled.
+
+def identified(docs: DataFrame, profiles: dict[str, np.ndarray], wanted: list[str] | None = None, fill: str | None = "lang") -> DataFrame:
+    """The rows of `docs` (text, …), with all their columns, whose language shows and is one of `wanted` (None: any learned one).
+
+    The first DIM signs decide where the best cosine is at least DEVIATIONS standard deviations of unrelated
+    vectors; the other texts, short or strange ones, are judged by all signs of the profiles in the same way, and go if no
+    language shows there either. A null in the column `fill` becomes the language found. Rows are filtered where
+    they are read; nothing is shuffled.
     """
     spark = tuned(docs.sparkSession)
     names = list(profiles)
     dim = len(profiles[names[0]]) if names else DIM
     held = spark.sparkContext.broadcast(np.stack(list(profiles.values()), 1) if names else np.zeros((dim, 0)))
+    good = np.array([wanted is None or name in wanted for name in names], bool)
+    # plain names on the way through Python, which takes no dots
+    at = docs.columns.index(fill) if fill in docs.columns else None
+    plain = docs.toDF(*["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])
+
+    def best(texts: list[str | None], signs: int) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the best profile of each text, -1 if none shows."""
+        vectors = bundles(texts, dim, signs=signs)
+        part = held.value[:signs]
+        length = np.linalg.norm(vectors, axis=1)[:, None] * np.linalg.norm(part, axis=0)
+        cosine = np.where(length > 0, vectors @ part, -1) / np.where(length > 0, length, 1)
+        top = cosine.argmax(1)
+        shows = cosine[np.arange(len(top)), top] >= DEVIATIONS / signs**0.5
+        return np.where(shows, top, -1)
+
+    def judged(texts: list[str | None]) -> np.ndarray:
+        if not names:
+            return np.full(len(texts), -1)
+        found = best(texts, min(DIM, dim))
+        again = np.flatnonzero(found < 0)
+        if len(again) and dim > DIM:
+            found[again] = best([texts[i] for i in again], dim)
+        return found
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch):
-                vectors = bundles(block.column("text").to_pylist(), dim)
-                size = np.linalg.norm(vectors, axis=1)
-                best = (vectors @ held.value).max(1, initial=-np.inf) / np.where(size > 0, size, 1)
-                yield block.filter(pa.array((size > 0) & (best >= least)))
-
-    return docs.mapInArrow(keep, docs.schema)
+                found = judged(block.column("text").to_pylist())
+                stay = np.flatnonzero((found >= 0) & np.r_[good, False][found])
+                out = block.take(pa.array(stay))
+                if at is not None:
+                    given = out.column(at)
+                    named = pa.array([names[i] for i in found[stay]], pa.string()).cast(given.type)
+                    out = out.set_column(at, out.schema.field(at), pc.coalesce(given, named))
+                yield out
+
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
