@@ -3,7 +3,7 @@ import pytest
 from conftest import tuples
 from pyspark.sql import functions as F
 
-from flowfeat.operators import models, recommend
+from flowfeat.operators import models, products, recommend
 
 U, I = "userIdIndex", "itemIdIndex"
 
@@ -95,3 +95,46 @@ def test_recommendations_of_a_model(spark, lists):
     )
     pick = {r["id"]: [x[I] for x in r["recommendations"]] for r in for_users}
     assert pick == {r["id"]: [x[I] for x in r["recommendations"]] for r in factors.collect()}
+
+
+@pytest.mark.parametrize("n, block_users, block_items, limit", [(1, 3, 4, 1 << 26), (4, 100, 7, 0), (60, 5, 1000, 0)])
+def test_pruned_products_equal_brute_force(spark, lists, monkeypatch, n, block_users, block_items, limit):
+    monkeypatch.setattr(products, "BROADCAST_BYTES", limit)
+    _, _, seen = lists
+    known = set(tuples(seen))
+    rng = np.random.default_rng(5)
+    fu, fi = rng.integers(-2, 3, (12, 3)).astype(float), rng.integers(-3, 4, (40, 3)).astype(float)
+    fu[3], fi[8] = 0, 0  # nothing but ties; a vector of length zero
+    left = spark.createDataFrame([(u, fu[u].tolist()) for u in range(12)] + [(50, None)], f"{U} long, features array<float>")
+    right = spark.createDataFrame([(i, fi[i].tolist()) for i in range(40)] + [(50, None)], f"{I} long, features array<float>")
+    want = []
+    for u in range(12):
+        best = sorted((-float(fu[u] @ fi[i]), i) for i in range(40) if (u, i) not in known)[:n]
+        want += [(u, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    got = products.top_n_products(left, right, seen, n, block_users=block_users, block_items=block_items, as_array=False)
+    assert tuples(got) == sorted(want)
+
+
+def test_pruned_products_score_few_pairs(spark):
+    """Lengths that fall off leave most of the items unscored; the result is that of the full product."""
+    rng = np.random.default_rng(1)
+    fu, fi = rng.normal(size=(300, 8)), rng.normal(size=(4000, 8)) * (1.0 / np.arange(1, 4001) ** 0.5)[:, None]
+    left = spark.createDataFrame([(u, fu[u].tolist()) for u in range(300)], f"{U} long, features array<double>")
+    right = spark.createDataFrame([(i, fi[i].tolist()) for i in range(4000)], f"{I} long, features array<double>")
+    seen = spark.createDataFrame([(u, i) for u in range(300) for i in range(0, 60, 7)], f"{U} long, {I} long")
+    report = []
+    got = products.top_n_products(left, right, seen, 5, block_items=64, as_array=False, report=report)
+    scores = fu @ fi.T
+    scores[:, list(range(0, 60, 7))] = -np.inf
+    want = np.argsort(-scores, axis=1)[:, :5]
+    rows = {(r[U], r["rank"]): r[I] for r in got.collect()}
+    assert all(rows[u, k + 1] == want[u, k] for u in range(300) for k in range(5))
+    assert report[0]["users"] == 300 and sum(r["pairs"] for r in report) < 0.2 * 300 * 4000
+
+
+def test_products_of_empty_tables(spark, lists):
+    _, _, seen = lists
+    left = spark.createDataFrame([(1, [1.0])], f"{U} long, features array<double>")
+    right = spark.createDataFrame([(1, [1.0])], f"{I} long, features array<double>")
+    assert products.top_n_products(left, right.where("false"), seen, 2).count() == 0
+    assert products.top_n_products(left.where("false"), right, seen, 2).count() == 0
