@@ -13,6 +13,26 @@ def test_range_numbering_equals_the_global_row_number(spark, events, parts):
     assert tuples(got.select("event", "i")) == want
 
 
+def test_numbering_needs_no_stored_table(spark, monkeypatch):
+    """Borders from a sample with more rows than are held, nulls and falling columns included; nothing is checkpointed."""
+    monkeypatch.setattr(positions, "SAMPLE_ROWS", 64)
+    monkeypatch.setattr("pyspark.sql.DataFrame.checkpoint", None)
+    rows = [((i * 7919) % 1000 if i % 5 else None, i % 3, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a long, b long, c long").repartition(5)
+    for order in (["a", "c"], [F.desc("a"), F.asc("c")], [F.asc_nulls_last("a"), F.desc_nulls_first("b"), F.asc("c")], ["b", "a", F.desc("c")]):
+        want = tuples(df.select("c", (F.row_number().over(W.orderBy(*order)) - 1).alias("i")))
+        for parts in (7, 300):
+            got = positions.global_positions(df, order, "i", small_rows=0, parts=parts)
+            assert tuples(got.select("c", "i")) == want
+        at = F.row_number().over(W.partitionBy("b").orderBy(*order)) - 1
+        got = positions.group_positions(df, "b", order, "i", limit=50, parts=9)
+        assert tuples(got.select("c", "i")) == tuples(df.select("c", at.alias("i")))
+    borders = positions.Borders(df, ["c"])
+    assert 1500 < borders.rows < 6000
+    sizes = [r["count"] for r in df.withColumn("p", borders.cut(10)).groupBy("p").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 1000
+
+
 def test_falling_order_and_start(spark, events):
     order = [F.desc("time"), F.asc("event")]
     small = positions.global_positions(events, order, "i", start=5)
