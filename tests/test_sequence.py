@@ -140,3 +140,21 @@ def test_pipeline(spark, reviews):
 def test_large_and_small_catalogues_agree(spark, reviews):
     _, meta = reviews
     assert tuples(ids.category_index(meta)) == tuples(ids.category_index(meta, small_rows=0, buckets=3))
+
+
+@pytest.mark.parametrize("options", [{}, {"history_len": 7}, {"max_targets": 30}, {"max_targets": 9, "history_len": 25, "min_history": 3}])
+def test_user_with_nine_tenths_of_the_rows(spark, monkeypatch, options):
+    """Blocks of four events, two askers to a join key; every history equals the sorted events before it."""
+    monkeypatch.setattr(sequence, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(sequence, "ASKING", 2)
+    rows = [(1 if e % 10 else e % 3 + 2, (e * 37) % 101, e, (e * 13) % 50) for e in range(400)]
+    df = spark.createDataFrame(rows, "user long, time long, event long, item long")
+    want = []
+    for user in {r[0] for r in rows}:
+        mine = sorted(r[1:] for r in rows if r[0] == user)
+        first = max(options.get("min_history", 1), len(mine) - options.get("max_targets", len(mine)))
+        for p in range(first, len(mine)):
+            back = mine[max(0, p - options.get("history_len", p)) : p]
+            want.append((user, mine[p][0], p, mine[p][2], [x[2] for x in back]))
+    got = sequence.history(df, "user", "time", "event", "item", limit=20, **options)
+    assert sorted(map(tuple, got.select("user", "time", "pos", "item", "item_history").collect())) == sorted(want)
