@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowfeat.columns import as_list, need
@@ -95,6 +98,89 @@ def negatives_by_pair(
     return positives.unionByName(negatives)
 
 
+ID_RANGE = 1 << 16  # ids that are looked at together; no group holds more rows than that
+RANGES = 100_000  # (user, id range) cells whose free places are added up by one task
+
+
+def _cells_with_starts(counts: DataFrame, users: int, items: int, ids: int) -> DataFrame:
+    """(u, c, lo, hi, start): every user and range of item ids, with the number of free pairs before it.
+
+    Running sums take two steps: over groups of users, then inside a group, so no task adds up all cells.
+    """
+    ranges = (items - 1) // ids + 1
+    per_group = max(RANGES // ranges, 1)
+    cells = counts.sparkSession.range(1, users + 1).select(
+        F.col("id").alias("u"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ranges - 1).cast("bigint"))).alias("c")
+    )
+    cells = cells.join(counts, ["u", "c"], "left").withColumn("g", F.expr(f"u div {per_group}"))
+    lo, hi = F.col("c") * ids + 1, F.least((F.col("c") + 1) * ids, F.lit(items))
+    cells = cells.withColumns({"lo": lo, "hi": hi, "free": hi - lo + 1 - F.coalesce("taken", F.lit(0))})
+    before = lambda w: F.coalesce(F.sum("free").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = cells.groupBy("g").agg(F.sum("free").alias("free")).select(F.col("g").alias("g0"), before(W.orderBy("g")).alias("base"))
+    inside = cells.withColumn("own", before(W.partitionBy("g").orderBy("u", "c")))
+    return inside.join(groups, F.col("g") == F.col("g0")).select("u", "c", "lo", "hi", (F.col("base") + F.col("own")).alias("start"))
+
+
+def exact_negatives(
+    df: DataFrame,
+    user: str,
+    item: str,
+    amplifier: int = 1,
+    seed: int = 42,
+    include_positives: bool = False,
+    pos_label: float | None = None,
+    label: str = "label",
+    n_users: int | None = None,
+    n_items: int | None = None,
+    hash: str = "md5",
+    ids: int = ID_RANGE,
+) -> DataFrame:
+    """Exactly `amplifier` × row count different pairs that do not occur in `df`, with label 0.0.
+
+    All pairs of 1 … the largest ids that do not occur are thought of in the order of (user, item)
+    and cut into as many runs of (almost) equal length as pairs are wanted; a hash picks one pair of each
+    run. So every free pair is equally likely but for rounding, no two draws meet, and none is rejected. A run is found from the gap
+    between two neighbouring known items of a user by counting, so free pairs are never made, nothing
+    is joined by range, and no group holds more rows than a range of `ids` item ids. Only if fewer
+    pairs are free than wanted, all of them come back. Ids outside the range are not known pairs.
+    """
+    need(df, user, item)
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.max(user).alias("u"), F.max(item).alias("i")).first()
+    users, items = int(n_users or size["u"] or 0), int(n_items or size["i"] or 0)
+    if users < 1 or items < 1:
+        raise ValueError("negatives need ids of at least one")
+    known = df.select(F.col(user).cast("long").alias("u"), F.col(item).cast("long").alias("i")).distinct()
+    known = known.where(F.col("u").between(1, users) & F.col("i").between(1, items))
+    known = known.withColumn("c", F.expr(f"(i - 1) div {int(ids)}"))
+    counts = known.groupBy("u", "c").agg(F.count(F.lit(1)).alias("taken"))
+    free = users * items - (counts.agg(F.sum("taken")).first()[0] or 0)
+    wanted = min(amplifier * size["n"], free)
+
+    # a place behind the last id of each range closes the last gap of it
+    ends = _cells_with_starts(counts, users, items, int(ids)).select("u", "c", (F.col("hi") + 1).alias("i"), "lo", "start")
+    none = F.lit(None).cast("bigint")
+    places = known.select("u", "c", "i", none.alias("lo"), none.alias("start")).unionByName(ends)
+    cell, ordered = W.partitionBy("u", "c"), W.partitionBy("u", "c").orderBy("i")
+    gaps = places.select(
+        "u", "i", F.max("lo").over(cell).alias("lo"), F.max("start").over(cell).alias("start"),
+        F.lag("i").over(ordered).alias("last"), (F.row_number().over(ordered) - 1).alias("before"),
+    )
+    first = F.coalesce(F.col("last") + 1, F.col("lo"))  # ids first … i - 1 are free
+    gaps = gaps.select("u", first.alias("first"), (F.col("i") - first).alias("n"), (F.col("start") + first - F.col("lo") - F.col("before")).alias("rank"))
+    gaps = gaps.where("n > 0")
+    run = lambda rank: F.expr(f"cast({rank} as decimal(19,0)) * {max(wanted, 1)} div {max(free, 1)}")
+    edge = lambda j: F.expr(f"cast({j} as decimal(19,0)) * {max(free, 1)} div {max(wanted, 1)}")
+    runs = F.sequence(F.greatest(run("rank") - 1, F.lit(0)), F.least(run("rank + n - 1") + 1, F.lit(wanted - 1).cast("bigint")))
+    tried = gaps.where(F.lit(wanted > 0)).withColumn("j", F.explode(runs))
+    drawn = edge("j") + hash_uniform("j", n=edge("j + 1") - edge("j"), seed=seed, hash=hash)
+    tried = tried.withColumn("at", drawn - F.col("rank")).where("at >= 0 AND at < n")
+    negatives = tried.select(F.col("u").alias(user), (F.col("first") + F.col("at")).alias(item), F.lit(0.0).alias(label))
+    if not include_positives:
+        return negatives
+    own = F.lit(float(pos_label)) if pos_label is not None else F.col(label).cast("double")
+    return df.select(F.col(user).cast("long").alias(user), F.col(item).cast("long").alias(item), own.alias(label)).unionByName(negatives)
+
+
 def reached(df: DataFrame, negatives: DataFrame, amplifier: int = 1) -> DataFrame:
     """One row (wanted, reached): how many negatives were asked for `df`, and how many came back."""
     asked = df.agg((F.count(F.lit(1)) * amplifier).alias("wanted"))
@@ -123,8 +209,12 @@ def mix_negatives(
     )
 
 
-def random_split(df: DataFrame, weights: list[float], seed: int = 42) -> list[DataFrame]:
-    return df.randomSplit(weights, seed)
+def random_split(df: DataFrame, weights: list[float], seed: int = 42, key: str | list[str] | None = None) -> list[DataFrame]:
+    """Disjoint parts in about these proportions. With `key` a row's part follows from its key alone, however the rows are dealt out."""
+    if key is None:
+        return df.randomSplit(weights, seed)
+    parts = hash_split(df, key, weights, seed, "_part")
+    return [parts.where(F.col("_part") == k).drop("_part") for k in range(len(weights))]
 
 
 def hash_split(df: DataFrame, key: str | list[str], weights: list[float], seed: int = 42, out: str = "split") -> DataFrame:
@@ -142,8 +232,46 @@ def hash_split(df: DataFrame, key: str | list[str], weights: list[float], seed:
     return df.withColumn(out, side.cast("int"))
 
 
-def sample(df: DataFrame, fraction: float, replacement: bool = False, seed: int = 42) -> DataFrame:
-    return df.sample(withReplacement=replacement, fraction=fraction, seed=seed)
+def poisson_steps(mean: float, bits: int = 60) -> list[int]:
+    """At each of these numbers below 2^bits an even draw gets one more copy: the inverse of the Poisson distribution."""
+    steps, term, below, k = [], math.exp(-mean), 0.0, 0
+    while k <= mean or term * (1 << bits) >= 1:
+        below += term
+        steps.append(min(int(below * (1 << bits)), 1 << bits))
+        k += 1
+        term *= mean / k
+    return steps
+
+
+def sample(
+    df: DataFrame, fraction: float, replacement: bool = False, seed: int = 42, key: str | list[str] | None = None, hash: str = "md5"
+) -> DataFrame:
+    """A sample of about `fraction` of the rows, with or without replacement.
+
+    With `key` a hash of the key decides, so the sample is the same whatever the partitioning and whatever else is in
+    the table: a row stays if its draw is below the fraction, or comes as often as a Poisson variable of
+    that mean says. Rows of one key share their draw.
+    """
+    if key is None:
+        return df.sample(withReplacement=replacement, fraction=fraction, seed=seed)
+    key = as_list(key)
+    need(df, *key)
+    if fraction < 0 or (fraction > 1 and not replacement):
+        raise ValueError(f"fraction {fraction}")
+    draw = hash_long(*key, F.lit("sample"), seed=seed, hash=hash)
+    if not replacement:
+        return df.where(draw < F.lit(int(fraction * (1 << 60))))
+    rows = df.withColumn("_draw", draw)
+    steps = F.array(*[F.lit(s).cast("bigint") for s in poisson_steps(fraction)])
+    copies = F.size(F.filter(steps, lambda s: s <= F.col("_draw")))
+    rows = rows.withColumn("_copies", copies).where("_copies > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_draw", "_copies", "_copy")
+
+
+def preview(df: DataFrame, order: list, n: int, out: str = "position") -> DataFrame:
+    """The first `n` rows in a total order (names or sort columns), with their positions 1 … n: a top-k, no global sort."""
+    at = F.row_number().over(W.orderBy(*order))  # over n rows
+    return df.orderBy(*order).limit(n).withColumn(out, at).orderBy(out)
 
 
 def shuffle_rows(df: DataFrame, key: str | list[str], seed: int = 42) -> DataFrame:

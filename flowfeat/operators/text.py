@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from flowfeat.columns import as_list, need
 from flowfeat.functions import arrays
 from flowfeat.operators.positions import SMALL_ROWS, global_positions
+from flowfeat.session import cut_lineage
 
 END_OF_LINE = "<eos>"
 SENTENCE_START, SENTENCE_END = "<s>", "</s>"
@@ -37,22 +38,37 @@ def word_counts(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     return spread.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _count_class(count) -> Column:
+    """Whole numbers in classes that keep their order: 64 to each power of two, one number each below 128."""
+    bits = F.length(F.bin(count))
+    shift = F.greatest(bits - 7, F.lit(0))
+    return (shift * 64 + F.call_function("shiftright", count, shift)).cast("int")
+
+
 def vocabulary(
     df: DataFrame, tokens: str = "tokens", max_words: int = 20_000, skip_top: int = 10, small_rows: int = SMALL_ROWS
 ) -> DataFrame:
     """(token, count, id): the `max_words` most frequent tokens less the first `skip_top`.
 
-    Ids start at one; equally frequent tokens are taken in alphabetical order.
+    Ids start at one; equally frequent tokens are taken in alphabetical order. Counts are made once and stored; a
+    histogram over at most 4,096 classes of counts tells below which class no chosen token can lie, and only tokens at
+    or above it are ever put in order, by one task if they are few and over ranges of the order if not.
     """
-    counts = word_counts(df, tokens)
+    counts = cut_lineage(word_counts(df, tokens))
+    classes = counts.groupBy(_count_class(F.col("count")).alias("class")).agg(F.count("*").alias("n"), F.min("count").alias("least"))
+    least, chosen = 0, 0
+    for row in sorted(classes.collect(), key=lambda r: -r["class"]):  # a row a class
+        if chosen >= max_words:
+            break
+        least, chosen = row["least"], chosen + row["n"]
     order = [F.desc("count"), F.asc("token")]
-    if max_words <= small_rows:
-        best = counts.orderBy(*order).limit(max_words)  # a top-k: max_words rows per task at most
-        ranked = best.withColumn("id", F.row_number().over(W.orderBy(*order)))
+    best = counts.where(F.col("count") >= least)
+    if chosen <= small_rows:
+        ranked = best.withColumn("id", F.row_number().over(W.orderBy(*order)).cast("long"))
     else:
-        ranked = global_positions(counts, order, "id", start=1, small_rows=small_rows)
-        ranked = ranked.where(F.col("id") <= max_words)
-    return ranked.where(F.col("id") > skip_top).select("token", "count", (F.col("id") - skip_top).cast("long").alias("id"))
+        ranked = global_positions(best, order, "id", start=1, small_rows=0)
+    ranked = ranked.where((F.col("id") <= max_words) & (F.col("id") > skip_top))
+    return ranked.select("token", "count", (F.col("id") - skip_top).alias("id"))
 
 
 def dictionary(df: DataFrame, tokens: str = "tokens", vocab_size: int = 10_000) -> DataFrame:

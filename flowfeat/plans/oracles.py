@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 SEED = 42
 CATALOGUE = "(SELECT count(*) FROM part)"
 
@@ -42,6 +44,18 @@ def long_hash(*key: str, seed: int = SEED) -> str:
     return f"CAST('0x' || substr(md5(concat_ws('|', {parts}, '{seed}')), 1, 15) AS BIGINT)"
 
 
+def poisson(rows: str, mean: float, seed: int, *key: str) -> str:
+    """Each row as often as a Poisson variable says: one copy for each k with a draw of at least P(X <= k)."""
+    terms, below = [], 0.0
+    for k in range(60):
+        below += math.exp(-mean) * mean**k / math.factorial(k)
+        terms.append(int(below * 2**60))
+    listed = ", ".join(f"CAST({min(t, 2**60)} AS BIGINT)" for t in terms)
+    return f"""
+WITH drawn AS (SELECT *, {long_hash(*key, "'sample'", seed=seed)} AS h FROM ({rows})),
+copies AS (SELECT *, unnest(range(len(list_filter([{listed}], lambda t: t <= h)))) AS copy FROM drawn)"""
+
+
 def other(value: str, n: str, base: str, k: str, start: int = 0) -> str:
     """The k-th draw of a row out of n ids, never `value`."""
     bits = f"((({base} >> 30) * CAST({k} AS BIGINT) + ({base} & 1073741823)) % 2147483647)"
@@ -140,6 +154,32 @@ negatives AS (
   SELECT d.u, d.i FROM draws d WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.u = d.u AND s.i = d.i))"""
 
 
+def exact_draws(amplifier: int, seed: int) -> str:
+    """All free pairs in order, and one of each of as many equal runs as pairs are wanted."""
+    return f"""
+free AS (
+  SELECT a.u, b.i, row_number() OVER (ORDER BY a.u, b.i) - 1 AS r
+  FROM (SELECT unnest(range(1, mu + 1)) AS u FROM size) a, (SELECT unnest(range(1, mi + 1)) AS i FROM size) b
+  WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.u = a.u AND s.i = b.i)),
+asked AS (SELECT least({amplifier} * (SELECT n FROM size), (SELECT count(*) FROM free)) AS w, (SELECT count(*) FROM free) AS c),
+runs AS (SELECT j, j * c // w AS lo, (j + 1) * c // w AS hi FROM (SELECT unnest(range(w)) AS j, w, c FROM asked)),
+negatives AS (
+  SELECT free.u, free.i FROM (SELECT lo + {draw('hi - lo', 'j', seed=seed)} AS r FROM runs) d JOIN free ON free.r = d.r)"""
+
+
+def best_products(key: str, other: str) -> str:
+    return f"""
+WITH {INTER},
+users AS (
+  SELECT c_custkey AS u, c_custkey * 13 % 7 - 3 AS a, c_custkey * 29 % 11 - 5 AS b, c_custkey * 3 % 5 - 2 AS c FROM customer),
+items AS (
+  SELECT p_partkey AS i, p_size AS s, p_partkey * 17 % 9 - 4 AS a, p_partkey * 5 % 13 - 6 AS b, p_partkey * 3 % 7 - 3 AS c FROM part),
+scored AS (
+  SELECT u, i, CAST(s * (users.a * items.a + users.b * items.b + users.c * items.c + 1) AS DOUBLE) AS score FROM users, items
+  WHERE NOT EXISTS (SELECT 1 FROM inter WHERE inter.u = users.u AND inter.i = items.i)),
+best AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, {other}) AS rank FROM scored)"""
+
+
 def scored_pairs(score: str) -> str:
     return f"""
 WITH {INTER},
@@ -284,6 +324,16 @@ SELECT (SELECT n FROM size) AS wanted, count(*) AS reached FROM negatives""",
     "neg_pairs_amplified": f"""
 WITH {PAIR_SEEN}, {pair_draws('3 * n', 7)}
 SELECT u AS "userIdIndex", i AS "itemIdIndex", CAST(0 AS DOUBLE) AS label FROM negatives""",
+    "neg_pairs_exact": f"""
+WITH {PAIR_SEEN}, {exact_draws(1, 42)}
+SELECT u AS "userIdIndex", i AS "itemIdIndex", CAST(0 AS DOUBLE) AS label FROM negatives""",
+    "neg_pairs_exact_amplified": f"""
+WITH {PAIR_SEEN}, {exact_draws(3, 7)}
+SELECT u AS "userIdIndex", i AS "itemIdIndex", CAST(2 AS DOUBLE) AS label FROM seen
+UNION ALL SELECT u, i, CAST(0 AS DOUBLE) FROM negatives""",
+    "neg_pairs_exact_reached": f"""
+WITH {PAIR_SEEN}, {exact_draws(2, 42)}
+SELECT 2 * (SELECT n FROM size) AS wanted, count(*) AS reached FROM negatives""",
     "neg_pairs_mixed": f"""
 WITH {PAIR_SEEN},
 pairs AS (SELECT DISTINCT u, i FROM seen),
@@ -336,6 +386,12 @@ SELECT u AS "userIdIndex", CAST(rank AS INTEGER) AS rank, i AS "itemIdIndex", ro
 {scored_pairs('(u * 7919 + i * 104729) % 10007')},
 best AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, u) AS rank FROM scored)
 SELECT i AS "itemIdIndex", CAST(rank AS INTEGER) AS rank, u AS "userIdIndex", round(score, 9) AS score FROM best WHERE rank <= 5""",
+    "topn_products": f"""
+{best_products("u", "i")}
+SELECT u AS "userIdIndex", CAST(rank AS INTEGER) AS rank, i AS "itemIdIndex", score FROM best WHERE rank <= 5""",
+    "topn_products_users": f"""
+{best_products("i", "u")}
+SELECT i AS "itemIdIndex", CAST(rank AS INTEGER) AS rank, u AS "userIdIndex", score FROM best WHERE rank <= 5""",
     "topn_given": f"""
 WITH {INTER},
 best AS (SELECT u, i, max(score) AS score FROM inter GROUP BY u, i),
@@ -589,5 +645,16 @@ SELECT CAST(u AS INTEGER) AS "userId", CAST(i AS INTEGER) AS "movieId", CAST(rat
 SELECT CAST(p_partkey AS INTEGER) AS "itemId", p_name AS title, p_type AS genres FROM part""",
     "hash_split": f"""
 SELECT o_orderkey, CASE WHEN {draw('1000000', 'o_orderkey')} / CAST(1000000 AS DOUBLE) < 0.8 THEN 0 ELSE 1 END AS split FROM orders""",
+    "random_split": f"""
+SELECT o_orderkey, CASE WHEN {draw('1000000', 'o_orderkey')} / CAST(1000000 AS DOUBLE) < 0.8 THEN 'train' ELSE 'test' END AS split FROM orders""",
+    "bootstrap_sample": f"""
+{poisson('SELECT o_orderkey FROM orders', 0.2, SEED, 'o_orderkey')}
+SELECT o_orderkey FROM copies""",
+    "bootstrap_lines": f"""
+{poisson('SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem', 1.0, 7, 'l_orderkey', 'l_linenumber')}
+SELECT l_orderkey, l_linenumber, l_partkey FROM copies""",
+    "preview_orders": """
+SELECT o_orderkey, o_custkey, o_totalprice, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS position
+FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20""",
     "shuffled_rows": "SELECT o_orderkey, o_custkey FROM orders",
 }

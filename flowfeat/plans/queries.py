@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowfeat.functions import arrays, dates, scores
-from flowfeat.operators import features, ids, metrics, models, recommend, sampling, sequence, series, text
+from flowfeat.operators import features, ids, metrics, models, products, recommend, sampling, sequence, series, text
 from flowfeat.plans import adapters as src
 from flowfeat.plans import jobs
 from flowfeat.session import tune
@@ -221,6 +221,25 @@ def neg_pairs_amplified(spark, folder):
     return sampling.negatives_by_pair(_shifted(spark, folder), "userIdIndex", "itemIdIndex", amplifier=3, seed=7)
 
 
+@query
+def neg_pairs_exact(spark, folder):
+    """As many unseen pairs as there are rows, no fewer."""
+    return sampling.exact_negatives(_shifted(spark, folder), "userIdIndex", "itemIdIndex")
+
+
+@query
+def neg_pairs_exact_amplified(spark, folder):
+    return sampling.exact_negatives(
+        _shifted(spark, folder), "userIdIndex", "itemIdIndex", amplifier=3, seed=7, include_positives=True, pos_label=2
+    )
+
+
+@query
+def neg_pairs_exact_reached(spark, folder):
+    pairs = _shifted(spark, folder)
+    return sampling.reached(pairs, sampling.exact_negatives(pairs, "userIdIndex", "itemIdIndex", amplifier=2), 2)
+
+
 @query
 def neg_pairs_mixed(spark, folder):
     pairs = _shifted(spark, folder).dropDuplicates(["userIdIndex", "itemIdIndex"])
@@ -318,7 +337,7 @@ def topn_items(spark, folder):
     return recommend.top_n_unseen(
         users, items, seen,
         lambda i: (F.col("userIdIndex") * 7919 + i.itemIdIndex * 104729 + i.p_size) % 10007 / F.lit(10007.0),
-        TOP, item_cols=["p_size"], as_array=False,
+        TOP, item_cols=["p_size"], block_items=64, as_array=False,
     ).withColumn("score", F.round("score", 9))
 
 
@@ -328,10 +347,38 @@ def topn_users(spark, folder):
     return recommend.top_n_unseen(
         items, users, seen,
         lambda u: (u.userIdIndex * 7919 + F.col("itemIdIndex") * 104729) % 10007 / F.lit(10007.0),
-        TOP, user="itemIdIndex", item="userIdIndex", as_array=False,
+        TOP, user="itemIdIndex", item="userIdIndex", block_items=64, as_array=False,
     ).withColumn("score", F.round("score", 9))
 
 
+def _factors(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Whole-number factors of customers and parts; those of a part grow with its size."""
+
+    def places(key: str, *steps: tuple[int, int]) -> list[Column]:
+        return [F.col(key) * a % m - m // 2 for a, m in steps]
+
+    users, items, seen = _rec_lists(spark, folder)
+    users = users.select("userIdIndex", F.array(*places("userIdIndex", (13, 7), (29, 11), (3, 5)), F.lit(1)).alias("features"))
+    vector = F.array(*[F.col("p_size") * x for x in [*places("itemIdIndex", (17, 9), (5, 13), (3, 7)), F.lit(1)]])
+    return users, items.select("itemIdIndex", vector.alias("features")), seen
+
+
+@query
+def topn_products(spark, folder):
+    """Best five unseen parts per customer by the dot product of their factors; most blocks are never scored."""
+    users, items, seen = _factors(spark, folder)
+    return products.top_n_products(users, items, seen, TOP, block_items=128, as_array=False)
+
+
+@query
+def topn_products_users(spark, folder):
+    """Best five customers per part."""
+    users, items, seen = _factors(spark, folder)
+    return products.top_n_products(
+        items, users, seen, TOP, user="itemIdIndex", item="userIdIndex", block_items=128, as_array=False
+    )
+
+
 @query
 def topn_given(spark, folder):
     """Best three items per user among the given pairs, as a list."""
@@ -796,13 +843,27 @@ def hash_split(spark, folder):
 
 @query
 def random_split(spark, folder):
-    train, test = sampling.random_split(src.table(spark, folder, "orders").select("o_orderkey"), [0.8, 0.2])
+    train, test = sampling.random_split(src.table(spark, folder, "orders").select("o_orderkey"), [0.8, 0.2], key="o_orderkey")
     return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
 
 
 @query
 def bootstrap_sample(spark, folder):
-    return sampling.sample(src.table(spark, folder, "orders").select("o_orderkey"), 0.2, replacement=True)
+    return sampling.sample(src.table(spark, folder, "orders").select("o_orderkey"), 0.2, replacement=True, key="o_orderkey")
+
+
+@query
+def bootstrap_lines(spark, folder):
+    """A resample of all order lines, as large as the table."""
+    lines = src.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return sampling.sample(lines, 1.0, replacement=True, seed=7, key=["l_orderkey", "l_linenumber"])
+
+
+@query
+def preview_orders(spark, folder):
+    """The twenty dearest orders, in order."""
+    rows = src.table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return sampling.preview(rows, [F.desc("o_totalprice"), F.asc("o_orderkey")], 20)
 
 
 @query
@@ -843,7 +904,7 @@ def als_topn(spark, folder):
     users = model.userFactors.withColumnRenamed("id", "userIdIndex")
     items = model.itemFactors.withColumnRenamed("id", "itemIdIndex")
     seen = train.select(F.col("user").alias("userIdIndex"), F.col("item").alias("itemIdIndex"))
-    return recommend.top_n_factors(users, items, seen, TOP)
+    return products.top_n_products(users, items, seen, TOP)
 
 
 @query

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from conftest import tuples
 from pyspark.sql import functions as F
@@ -51,6 +53,34 @@ def test_pair_negatives(spark):
         sampling.negatives_by_pair(df.limit(0), "u", "i")
 
 
+@pytest.mark.parametrize("amplifier, ids", [(1, 1 << 16), (3, 4), (2, 1), (500, 7)])
+def test_exact_negatives(spark, amplifier, ids):
+    rows = [(float(u), float(i), 1.0) for u in range(1, 31) for i in range(1, 21) if (u * i) % 3 == 0 or u == 30]
+    rows += rows[:50] + [(7.0, float(i), 1.0) for i in range(1, 21)]
+    df = spark.createDataFrame(rows, "u double, i double, label double")
+    known = {(int(u), int(i)) for u, i, _ in rows}
+    free = 30 * 20 - len(known)
+    pairs = [(u, i) for u, i, _ in tuples(sampling.exact_negatives(df, "u", "i", amplifier, ids=ids))]
+    assert len(pairs) == len(set(pairs)) == min(amplifier * len(rows), free)  # exactly as many as asked
+    assert not known & set(pairs) and all(1 <= u <= 30 and 1 <= i <= 20 for u, i in pairs)
+    assert pairs == [(u, i) for u, i, _ in tuples(sampling.exact_negatives(df.repartition(7), "u", "i", amplifier, ids=ids))]
+    both = sampling.exact_negatives(df, "u", "i", amplifier, include_positives=True, pos_label=2, ids=ids)
+    assert both.where("label = 2.0").count() == len(rows)
+
+
+def test_exact_negatives_are_even(spark):
+    """Every free pair is drawn about equally often, whichever the user, and other seeds draw other pairs."""
+    df = spark.createDataFrame([(u, i, 1.0) for u in range(1, 5) for i in range(1, 11) if i <= u * 2], "u long, i long, label double")
+    hits = {}
+    for seed in range(60):
+        for u, i, _ in sampling.exact_negatives(df, "u", "i", seed=seed, n_items=12).collect():
+            hits[u, i] = hits.get((u, i), 0) + 1
+    expected = 60 * df.count() / (4 * 12 - df.count())
+    assert len(hits) == 4 * 12 - df.count() and all(expected * 0.5 < n < expected * 1.5 for n in hits.values())
+    with pytest.raises(ValueError):
+        sampling.exact_negatives(df.limit(0), "u", "i")
+
+
 def test_mix_and_uniqueness(spark):
     df = spark.createDataFrame([(1, 1, 1.0), (2, 2, 1.0)], "u long, i long, label double")
     mixed = sampling.mix_negatives(df, "u", "i", n_users=3, n_items=3)
@@ -72,3 +102,37 @@ def test_splits_and_samples(spark):
     assert abs(sampling.sample(df, 0.2, True).count() - 2000) < 250
     shuffled = [r[0] for r in sampling.shuffle_rows(df.limit(100), "id").collect()]
     assert sorted(shuffled) == list(range(100)) != shuffled
+
+
+def test_keyed_samples_repeat_whatever_the_partitioning(spark):
+    df = spark.range(20_000)
+    for options in ({"fraction": 0.3}, {"fraction": 0.3, "replacement": True}, {"fraction": 2.5, "replacement": True}):
+        one = tuples(sampling.sample(df, key="id", **options))
+        assert one == tuples(sampling.sample(df.repartition(13), key="id", **options))
+        assert abs(len(one) - 20_000 * options["fraction"]) < 700
+    times = [0] * 20_000
+    for (i,) in tuples(sampling.sample(df, 1.0, True, key="id")):
+        times[i] += 1
+    shares = [times.count(k) / 20_000 for k in range(5)]
+    assert all(abs(a - b) < 0.015 for a, b in zip(shares, [0.3679, 0.3679, 0.1839, 0.0613, 0.0153]))
+    train, test = sampling.random_split(df, [0.8, 0.2], key="id")
+    assert train.union(test).distinct().count() == 20_000 and train.join(test, "id").count() == 0
+    assert tuples(test) == tuples(sampling.random_split(df.repartition(5), [0.8, 0.2], key="id")[1])
+    with pytest.raises(ValueError):
+        sampling.sample(df, 1.5, key="id")
+
+
+def test_poisson_steps_are_the_distribution():
+    steps = sampling.poisson_steps(0.7)
+    below = 0.0
+    for k, s in enumerate(steps[:10]):
+        below += math.exp(-0.7) * 0.7**k / math.factorial(k)
+        assert abs(s / 2**60 - below) < 1e-12
+    assert sampling.poisson_steps(0.0)[0] == 2**60
+
+
+def test_preview(spark):
+    df = spark.createDataFrame([(i % 7, i) for i in range(50)], "a long, b long")
+    got = [tuple(r) for r in sampling.preview(df, [F.desc("a"), F.asc("b")], 5).collect()]
+    assert got == [(a, b, k + 1) for k, (a, b) in enumerate(sorted([(i % 7, i) for i in range(50)], key=lambda r: (-r[0], r[1]))[:5])]
+    assert "TakeOrderedAndProject" in sampling.preview(df, ["b"], 5)._jdf.queryExecution().executedPlan().toString()

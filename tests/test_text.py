@@ -85,3 +85,21 @@ def test_text_job(spark):
     rows = jobs.text_features(table, "doc", "text", vectors, 2, max_words=3, skip_top=1, length=4).orderBy("doc").collect()
     assert rows[0]["ids"] == [0, 1, 1, 2] and rows[0]["vectors"] == [[0.0, 0.0], [2.0, 0.0], [2.0, 0.0], [0.0, 0.0]]
     assert rows[3]["ids"] == [0, 0, 0, 0] and len(rows) == 4
+
+
+@pytest.mark.parametrize("small_rows", [10**6, 0])
+@pytest.mark.parametrize("max_words, skip_top", [(1, 0), (7, 2), (150, 10), (399, 0), (5000, 3)])
+def test_vocabulary_equals_a_full_sort(spark, small_rows, max_words, skip_top):
+    """Ties at the last place, counts in classes of many numbers, and more words asked for than there are."""
+    counts = {f"w{i}": [1, 1, 2, 3, 700, 701, 9000][i % 7] + (i == 300) * 20_000 for i in range(400)}
+    df = spark.createDataFrame([([w] * (n % 1000),) for w, n in counts.items()] + [([w] * 1000,) for w, n in counts.items() for _ in range(n // 1000)] + [(None,)], "tokens array<string>")
+    best = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:max_words][skip_top:]
+    got = text.vocabulary(df, max_words=max_words, skip_top=skip_top, small_rows=small_rows).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(w, n, i + 1) for i, (w, n) in enumerate(best)]
+
+
+def test_count_classes_keep_the_order(spark):
+    numbers = spark.range(1, 5000).select("id", text._count_class(F.col("id")).alias("c")).orderBy("id").collect()
+    assert all(a["c"] <= b["c"] for a, b in zip(numbers, numbers[1:])) and len({r["c"] for r in numbers if r["id"] < 128}) == 127
+    top = spark.sql("SELECT 9223372036854775807L AS id").select(text._count_class(F.col("id")).alias("c")).first()[0]
+    assert numbers[-1]["c"] < top < 4096
