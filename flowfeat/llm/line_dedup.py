@@ -30,6 +30,12 @@ _HEX = "0123456789abcdef"
 HOT_TIMES = 10_000  # a hash that occurs more often is dealt over SALTS join keys
 HOT_KEYS = 10_000  # no more hashes are, so their list may be broadcast
 SALTS = 64
+BROADCAST_HASHES = 300_000  # repeated hashes up to so many, of about 60 bytes each, are looked up in every task
+
+
+def _mark(text: str) -> Column:
+    """Digest that tells apart texts under one doc_id."""
+    return F.unhex(F.md5(text))
 
 
 def _chunks(lines: str, window: int, divisor: int) -> tuple[Column, Column]:
@@ -53,7 +59,7 @@ def _chunks(lines: str, window: int, divisor: int) -> tuple[Column, Column]:
 def chunked(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
     """`doc`, `mark` (digest of the text), `lines`, `cuts` (begin and end of each chunk) of every row with a text."""
     lined = docs.where("text IS NOT NULL").select(
-        F.col("doc_id").alias("doc"), F.md5("text").alias("mark"), F.split("text", "\n", -1).alias("lines")
+        F.col("doc_id").alias("doc"), _mark("text").alias("mark"), F.split("text", "\n", -1).alias("lines")
     )
     starts, ends = _chunks("lines", window, divisor)
     return lined.select(
@@ -64,7 +70,7 @@ def chunked(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> Da
 def paired(docs: DataFrame) -> DataFrame:
     """`doc`, `mark`, `begin`, `hash` of every two neighbouring lines that are not both blank: the rolling hash of two lines."""
     lined = docs.where("text IS NOT NULL").select(
-        F.col("doc_id").alias("doc"), F.md5("text").alias("mark"), F.split("text", "\n", -1).alias("lines")
+        F.col("doc_id").alias("doc"), _mark("text").alias("mark"), F.split("text", "\n", -1).alias("lines")
     )
     codes = F.transform("lines", lambda x: F.struct(F.md5(x).alias("code"), (F.trim(x) == "").alias("blank")))
     coded = lined.withColumn("codes", codes)
@@ -129,7 +135,7 @@ def _confirmed(docs: DataFrame, spots: DataFrame, covered: DataFrame | None = No
             "asked", lambda c: c["is_first"] | ~F.coalesce(F.exists("gone", lambda g: (g["begin"] <= c["begin"]) & (g["end"] >= c["end"])), F.lit(False))
         )
         asked = asked.select("d", "m", free.alias("asked"))
-    lined = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("doc"), F.md5("text").alias("mark"), "text")
+    lined = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("doc"), _mark("text").alias("mark"), "text")
     spelt = F.transform("asked", lambda c: F.struct(c["begin"].alias("begin"), c["end"].alias("end"), c["hash"].alias("hash"), c["is_first"].alias("is_first"), _text(c).alias("bytes")))
     texts = (
         lined.join(asked, (F.col("mark") == F.col("m")) & F.col("doc").eqNullSafe(F.col("d")))
@@ -149,13 +155,90 @@ def repeated(
 
     With `whole` also of every two neighbouring lines that occur earlier and lie in none of these chunks.
     """
-    chunks = _confirmed(docs, _chunk_spots(docs, window, divisor, min_lines, blanks=not whole))
     if not whole:
-        return chunks
-    chunks = stored(chunks)
+        return _confirmed(docs, _chunk_spots(docs, window, divisor, min_lines))
+    first = stored(_repeats(docs, window, divisor))
+    if first.count() <= BROADCAST_HASHES:
+        return _confirmed_in_place(docs, first, window, divisor)
+    chunks = stored(_confirmed(docs, _chunk_spots(docs, window, divisor, min_lines, blanks=False)))
     return chunks.unionByName(_confirmed(docs, paired(docs), chunks))
 
 
+def _spots(docs: DataFrame, window: int, divisor: int) -> DataFrame:
+    """`doc`, `mark`, `lines`, `chunks` (begin, end, hash) and `pairs` (a hash for each line and its next one) of every text.
+
+    A hash is that of the lines' digests. It is null for a pair of blank lines, for a chunk of one line, and for a chunk with
+    two blank lines in a row, whose pairs are judged one by one.
+    """
+    cut = chunked(docs, window, divisor)
+    codes = F.transform("lines", lambda x: F.struct(F.md5(x).alias("code"), (F.trim(x) == "").alias("blank")))
+    cut = cut.withColumn("codes", codes)
+    following = F.slice("codes", 2, F.size("codes"))
+    pairs = F.zip_with(
+        "codes", following, lambda a, b: F.when(b.isNotNull() & ~(a["blank"] & b["blank"]), F.unhex(F.md5(F.concat(a["code"], b["code"]))))
+    )
+    cut = cut.withColumn("pairs", pairs)
+
+    def coded(c: Column) -> Column:
+        inside = F.slice("pairs", c["begin"] + 1, c["end"] - c["begin"] - 1)
+        name = F.md5(F.array_join(F.slice(F.col("codes.code"), c["begin"] + 1, c["end"] - c["begin"]), ""))
+        return F.when((c["end"] - c["begin"] > 1) & F.forall(inside, lambda h: h.isNotNull()), F.unhex(name))
+
+    chunks = F.transform("cuts", lambda c: F.struct(c["begin"].alias("begin"), c["end"].alias("end"), coded(c).alias("hash")))
+    return cut.select("doc", "mark", "lines", chunks.alias("chunks"), "pairs")
+
+
+def _place(begin: Column) -> Column:
+    return F.struct(F.col("doc").isNull().alias("none"), "doc", "mark", begin.alias("begin"))
+
+
+def _repeats(docs: DataFrame, window: int, divisor: int) -> DataFrame:
+    """`hash`, `first` (the earliest place), `times` of every hash of a chunk or a pair that occurs more than once."""
+    both = F.concat(
+        F.transform("chunks", lambda c: F.struct(c["begin"].alias("begin"), c["hash"].alias("hash"))),
+        F.transform("pairs", lambda h, i: F.struct(i.alias("begin"), h.alias("hash"))),
+    )
+    spots = _spots(docs, window, divisor).select("doc", "mark", F.explode_outer(both).alias("s")).where("s.hash IS NOT NULL")
+    found = spots.groupBy(F.col("s.hash").alias("hash")).agg(F.min(_place(F.col("s.begin"))).alias("first"), F.count("*").alias("times"))
+    return found.where("times > 1")
+
+
+def _confirmed_in_place(docs: DataFrame, first: DataFrame, window: int, divisor: int) -> DataFrame:
+    """Chunks that an earlier one equals byte by byte, and pairs outside of them; `first` goes to every task.
+
+    Hashes are looked up where the texts are read, so only the bytes of repeated chunks and pairs are shuffled, by their hash.
+    """
+    known = F.broadcast(first.select(F.col("hash").alias("h"), "first"))
+    rows = _spots(docs, window, divisor).withColumn("c", F.explode_outer("chunks"))
+    rows = rows.join(known, F.col("c.hash") == F.col("h"), "left")
+    own = F.col("first") == _place(F.col("c.begin"))
+    chunk = F.struct(F.col("c.begin").alias("begin"), F.col("c.end").alias("end"), F.col("c.hash").alias("hash"))
+
+    def pairs(after: Column, upto: Column) -> Column:
+        return F.transform(
+            F.slice("pairs", after + 1, upto - after), lambda h, i: F.struct((i + after).alias("begin"), (i + after + 2).alias("end"), h.alias("hash"))
+        )
+
+    # of a copy the chunk, and the pair over its end; of any other all pairs, and the chunk if copies are compared with it
+    begin, end = F.col("c.begin"), F.col("c.end")
+    asked = F.when(F.col("h").isNotNull() & ~own, F.concat(F.array(chunk), pairs(end - 1, end)))
+    asked = asked.when(F.col("h").isNotNull(), F.concat(F.array(chunk), pairs(begin, end))).otherwise(pairs(begin, end))
+    spots = rows.select("doc", "mark", "lines", F.explode_outer(asked).alias("s")).where("s.hash IS NOT NULL")
+    spots = spots.join(F.broadcast(first.select(F.col("hash").alias("h"), "first", "times")), F.col("s.hash") == F.col("h"))
+    texts = spots.select(
+        "doc", "mark", F.col("s.begin").alias("begin"), F.col("s.end").alias("end"), F.col("h").alias("hash"),
+        (F.col("first") == _place(F.col("s.begin"))).alias("is_first"), _text(F.col("s")).alias("bytes"), "times",
+    )
+    often = F.col("times") > HOT_TIMES
+    all_salts, one = F.sequence(F.lit(0), F.lit(SALTS - 1)), F.array(F.lit(0))
+    heads = texts.where("is_first").select("hash", F.col("bytes").alias("head"), F.when(often, all_salts).otherwise(one).alias("salts")).dropDuplicates(["hash"])
+    heads = heads.select(F.col("hash").alias("h"), "head", F.explode("salts").alias("s"))
+    salt = F.when(often, F.pmod(F.xxhash64("doc", "mark", "begin"), F.lit(SALTS))).otherwise(0).cast("int")
+    rest = texts.where("NOT is_first").withColumn("salt", salt)
+    same = rest.join(heads, (F.col("hash") == F.col("h")) & (F.col("salt") == F.col("s"))).where(F.col("bytes") == F.col("head"))
+    return same.select("doc", "mark", "begin", "end").distinct()
+
+
 def drop_repeated(
     docs: DataFrame,
     window: int = WINDOW,
@@ -174,7 +257,7 @@ def drop_repeated(
     gone = gone.groupBy("doc", "mark").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("gone"))
     # one struct for the row and one for what goes, so that no name of the row can clash
     rows = docs.select(F.struct("*").alias("row"))
-    matched = rows.join(gone, (F.md5("row.text") == F.col("mark")) & F.col("row.doc_id").eqNullSafe(F.col("doc")), "left")
+    matched = rows.join(gone, (_mark("row.text") == F.col("mark")) & F.col("row.doc_id").eqNullSafe(F.col("doc")), "left")
     text = F.col("row.text")
     matched = matched.select("row", "gone", F.split(text, "\n", -1).alias("lines"))
     runs = F.coalesce("gone", F.array().cast("array<struct<begin:int,end:int>>"))

@@ -217,7 +217,12 @@ def runs_brute(rows):
     return sorted(out, key=str)
 
 
-def test_whole_line_passages(spark, rows):
+@pytest.mark.parametrize("hashes, hot", [(300_000, 10_000), (300_000, 1), (0, 1)])
+def test_whole_line_passages(spark, rows, monkeypatch, hashes, hot):
+    """Repeated hashes looked up in place and joined by shuffles, with and without hot ones, give the same rows."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_HASHES", hashes)
+    monkeypatch.setattr(line_dedup, "HOT_TIMES", hot)
+    monkeypatch.setattr(line_dedup, "HOT_KEYS", 1 << 40)
     r = random.Random(9)
     planted = []
     for n in range(2, 9):
@@ -227,9 +232,12 @@ def test_whole_line_passages(spark, rows):
                 around = [[f"own {n} {k} {copy} {side} {i}" for i in range(r.randrange(4))] for side in range(2)]
                 planted.append((1000 + 100 * n + 10 * k + copy, "\n".join(around[0] + passage + around[1]), "en", "s", 1))
     rows = rows + planted + [(3000, "x\nx\nx\nx", "en", "s", 1), (3001, "\n\n\n", "en", "s", 1)]
+    rows += [(3002 + i, "a\n\n\n\nb\n \n\nc\nd", "en", "s", 1) for i in range(3)] + [(3010, "z\n\n\n\nb\n \n\nc", "en", "s", 1)]
     got = line_dedup.drop_repeated(frame(spark, rows), whole=True).select("doc_id", "text", "dedup.n_lines", "dedup.n_removed").collect()
     got = sorted(map(tuple, got), key=str)
     assert got == runs_brute(rows)
+    plan = line_dedup.drop_repeated(frame(spark, rows), whole=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
     copies = [x for x in got if x[0] is not None and 1000 <= x[0] < 3000 and x[0] % 10 == 1]
     assert len(copies) == 42 and not any("passage" in t for _, t, *_ in copies)
     chunks = line_dedup.drop_repeated(frame(spark, planted)).select("doc_id", "text").collect()
