@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from functools import reduce
 from itertools import product
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import Binarizer, OneHotEncoder, StringIndexer, VectorAssembler
@@ -18,6 +23,9 @@ from flowfeat.columns import need
 from flowfeat.functions import scores
 from flowfeat.operators import metrics
 
+# functions go to the executors by value, so that they need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def als(
     df: DataFrame, user: str = "userId", item: str = "movieId", rating: str = "rating", max_iter: int = 5,
@@ -65,6 +73,90 @@ def grid(
     return report
 
 
+def cross_sums(df: DataFrame, inputs: list[str], label: str) -> DataFrame:
+    """One row with the sums of all products of the inputs, the label and one, as the array `sums` of a triangle, row by row."""
+    need(df, *inputs, label)
+    values = [F.lit(1.0), *[F.col(c).cast("double") for c in inputs], F.col(label).cast("double")]
+    whole = df.where(reduce(lambda a, b: a & b, [v.isNotNull() for v in values]))
+    return whole.agg(F.array(*[F.sum(a * b) for i, a in enumerate(values) for b in values[i:]]).alias("sums"))
+
+
+def _square(row, size: int) -> np.ndarray:
+    out = np.zeros((size, size))
+    if row["sums"] is not None and row["sums"][0] is not None:
+        out[np.triu_indices(size)] = row["sums"]
+    return out + np.triu(out, 1).T
+
+
+def ridge_grid(train: DataFrame, test: DataFrame, inputs: list[str], penalties: list[float], label: str = "label") -> DataFrame:
+    """One row per penalty: penalty, the array `weights`, intercept, train_rmse and test_rmse of the least-squares fit.
+
+    A fit needs nothing but the sums of products of its columns, and so does its error on other rows. Both tables are
+    passed over once, whatever the number of penalties; what reaches the driver are (inputs + 2)² numbers for each. The
+    intercept is not penalised.
+    """
+    size = len(inputs) + 2
+    fit, held = (_square(cross_sums(df, inputs, label).first(), size) for df in (train, test))
+    rows = []
+    for penalty in penalties:
+        weights = np.linalg.lstsq(fit[:-1, :-1] + penalty * np.diag([0.0] + [1.0] * len(inputs)), fit[:-1, -1], rcond=None)[0]
+        far = np.append(weights, -1.0)  # prediction less label, as a sum over the columns
+        errors = [float(np.sqrt(max(far @ m @ far, 0.0) / m[0, 0])) if m[0, 0] else None for m in (fit, held)]
+        rows.append((float(penalty), [float(w) for w in weights[1:]], float(weights[0]), *errors))
+    schema = "penalty double, weights array<double>, intercept double, train_rmse double, test_rmse double"
+    return train.sparkSession.createDataFrame(rows, schema)
+
+
+def fold_in(
+    ratings: DataFrame, factors: DataFrame, reg: float = 0.01, user: str = "user", item: str = "item", rating: str = "rating",
+    vector: str = "features",
+) -> DataFrame:
+    """(user, features, n): factors of users that a fitted model has not seen, by least squares against its item factors.
+
+    Per user the sums of products of the factors of its items are added up, in part before the shuffle, so a user with very many
+    ratings is as cheap as any; then one small system per user is solved. The penalty grows with the number of ratings, as
+    in the fit of the factors. Ratings of items without factors, and null ratings, count for nothing.
+    """
+    need(ratings, user, item, rating)
+    need(factors, item, vector)
+    rank = factors.agg(F.max(F.size(vector))).first()[0] or 0
+    known = factors.select(F.col(item).alias("_i"), F.col(vector).cast("array<double>").alias("_v"))
+    rows = ratings.select(user, item, F.col(rating).cast("double").alias("_r")).where(F.col("_r").isNotNull())
+    rows = rows.join(known, F.col(item) == F.col("_i"))
+    places = [F.get("_v", F.lit(k)) for k in range(rank)]
+    products = [F.sum(a * b) for i, a in enumerate(places) for b in places[i:]]
+    sums = rows.groupBy(user).agg(
+        F.array(*products).alias("a"), F.array(*[F.sum(a * F.col("_r")) for a in places]).alias("b"), F.count(F.lit(1)).alias("n")
+    )
+
+    def solve(frames):
+        for frame in frames:
+            if not len(frame):
+                continue
+            upper = np.stack(frame["a"].to_numpy())
+            whole = np.zeros((len(frame), rank, rank))
+            rows_, cols = np.triu_indices(rank)
+            whole[:, rows_, cols] = upper
+            whole[:, cols, rows_] = upper
+            whole += np.eye(rank) * (reg * frame["n"].to_numpy())[:, None, None]
+            found = np.linalg.solve(whole, np.stack(frame["b"].to_numpy())[:, :, None])[:, :, 0]
+            yield pd.DataFrame({user: frame[user], "features": list(found), "n": frame["n"]})
+
+    kind = ratings.schema[user].dataType.simpleString()
+    return sums.mapInPandas(solve, f"`{user}` {kind}, features array<double>, n bigint")
+
+
+def factor_scores(
+    pairs: DataFrame, users: DataFrame, items: DataFrame, user: str = "user", item: str = "item", vector: str = "features", out: str = "prediction"
+) -> DataFrame:
+    """`pairs` with the dot product of the factors of user and item; pairs of which one has no factors are left out."""
+    left = users.select(F.col(user).alias("_u"), F.col(vector).cast("array<double>").alias("_uv"))
+    right = items.select(F.col(item).alias("_i"), F.col(vector).cast("array<double>").alias("_iv"))
+    rows = pairs.join(left, F.col(user) == F.col("_u")).join(right, F.col(item) == F.col("_i"))
+    total = F.aggregate(F.zip_with("_uv", "_iv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return rows.withColumn(out, total).drop("_u", "_uv", "_i", "_iv")
+
+
 def dense_classifier(
     df: DataFrame, features: str = "features", label: str = "label", layers: tuple[int, ...] = (100, 40, 20, 10, 2),
     max_iter: int = 20, seed: int = 42,

@@ -28,6 +28,9 @@ placed AS (
 hist AS (SELECT * FROM placed WHERE pos >= 1)"""
 
 
+BROKEN = "CAST(round(l_discount * 100) AS INTEGER) = 4"
+
+
 def text_list(expr: str) -> str:
     return f"array_to_string({expr}, ',')"
 
@@ -645,6 +648,40 @@ SELECT CAST(u AS INTEGER) AS "userId", CAST(i AS INTEGER) AS "movieId", CAST(rat
 SELECT CAST(p_partkey AS INTEGER) AS "itemId", p_name AS title, p_type AS genres FROM part""",
     "hash_split": f"""
 SELECT o_orderkey, CASE WHEN {draw('1000000', 'o_orderkey')} / CAST(1000000 AS DOUBLE) < 0.8 THEN 0 ELSE 1 END AS split FROM orders""",
+    "checked_rows": f"""
+SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber, CAST(l_quantity AS INTEGER) AS quantity FROM lineitem WHERE NOT ({BROKEN})""",
+    "quarantined_lines": f"""
+SELECT concat_ws(',', l_orderkey, l_linenumber, concat('about ', CAST(l_quantity AS INTEGER))) AS line FROM lineitem WHERE {BROKEN}""",
+    "quarantine_counts": f"""
+SELECT count(*) AS read, count(*) FILTER (WHERE NOT ({BROKEN})) AS kept, count(*) FILTER (WHERE {BROKEN}) AS quarantined FROM lineitem""",
+    "file_line_numbers": """
+SELECT strftime(o_orderdate, '%Y-%m') AS month,
+       row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m') ORDER BY o_orderkey) - 1 AS line_no,
+       concat_ws('|', o_orderkey, o_custkey) AS value FROM orders""",
+    "manifest_means": """
+SELECT strftime(ts, '%Y-%m-%d') AS day, round(avg(CAST(value AS DOUBLE)), 6) AS mean_value, round(avg(CAST(user_id AS DOUBLE)), 6) AS mean_user
+FROM events WHERE isodow(ts) < 6 GROUP BY ALL""",
+    "indexed_join": f"""
+WITH {INTER}
+SELECT u AS "user", c_nationkey, count(*) AS n, CAST(sum(rating) AS BIGINT) AS total FROM inter JOIN customer ON u = c_custkey GROUP BY ALL""",
+    "ridge_grid": f"""
+WITH {INTER},
+rows AS (
+  SELECT score AS a, CAST(rating AS DOUBLE) AS b, 0.4 + 2 * score - 0.5 * rating + CAST(u % 10 AS DOUBLE) / 10.0 AS y,
+         CASE WHEN {draw('1000000', 'l_orderkey')} / CAST(1000000 AS DOUBLE) < 0.8 THEN 0 ELSE 1 END AS part FROM inter),
+mean AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM rows WHERE part = 0),
+sums AS (
+  SELECT sum((a - ma) ** 2) AS aa, sum((a - ma) * (b - mb)) AS ab, sum((b - mb) ** 2) AS bb, sum((a - ma) * (y - my)) AS ay,
+         sum((b - mb) * (y - my)) AS by_ FROM rows, mean WHERE part = 0),
+fit AS (
+  SELECT l, ((bb + l) * ay - ab * by_) / ((aa + l) * (bb + l) - ab * ab) AS wa,
+         ((aa + l) * by_ - ab * ay) / ((aa + l) * (bb + l) - ab * ab) AS wb
+  FROM sums, (SELECT unnest([0.0, 0.1, 1, 3, 10, 30, 100, 300, 1000, 3000, 10000, 100000])::DOUBLE AS l)),
+full_fit AS (SELECT l, wa, wb, my - wa * ma - wb * mb AS w0 FROM fit, mean)
+SELECT l AS penalty, round(any_value(wa), 6) AS w_score, round(any_value(wb), 6) AS w_rating, round(any_value(w0), 6) AS intercept,
+       round(sqrt(avg((w0 + wa * a + wb * b - y) ** 2) FILTER (WHERE part = 0)), 6) AS train_rmse,
+       round(sqrt(avg((w0 + wa * a + wb * b - y) ** 2) FILTER (WHERE part = 1)), 6) AS test_rmse
+FROM full_fit, rows GROUP BY l""",
     "random_split": f"""
 SELECT o_orderkey, CASE WHEN {draw('1000000', 'o_orderkey')} / CAST(1000000 AS DOUBLE) < 0.8 THEN 'train' ELSE 'test' END AS split FROM orders""",
     "bootstrap_sample": f"""

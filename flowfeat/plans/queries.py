@@ -12,7 +12,7 @@ from flowfeat.operators import features, ids, metrics, models, products, recomme
 from flowfeat.plans import adapters as src
 from flowfeat.plans import jobs
 from flowfeat.session import tune
-from flowfeat.sources import readers
+from flowfeat.sources import files, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,6 +23,7 @@ TOP = 5
 VOCAB_WORDS, VOCAB_SKIP = 5000, 10
 DOC_LENGTH = 200
 SENTENCE_WORDS = 1000
+RIDGE_PENALTIES = [0.0, 0.1, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0, 10_000.0, 100_000.0]
 GENRES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL"]  # one type is left out on purpose: code 0
 
 
@@ -835,6 +836,71 @@ def parse_items(spark, folder):
     return rows.withColumn("genres", F.substring_index("genres", "|", 1))
 
 
+def _card_lines(spark, folder) -> DataFrame:
+    """Order lines as comma-separated text; the amount of a discount of 4 % is broken off."""
+    rows = src.table(spark, folder, "lineitem")
+    broken = F.round(F.col("l_discount") * 100).cast("int") == 4
+    amount = F.when(broken, F.concat(F.lit("about "), F.col("l_quantity").cast("int").cast("string"))).otherwise(F.col("l_quantity").cast("int").cast("string"))
+    return rows.select(F.concat_ws(",", "l_orderkey", "l_linenumber", amount).alias("value"))
+
+
+def _checked_lines(spark, folder) -> tuple[DataFrame, DataFrame]:
+    path = files.shared_path(spark, "lines")
+    _card_lines(spark, folder).write.text(path)
+    return files.checked_csv(spark, path, "l_orderkey bigint, l_linenumber int, quantity int", header=False)
+
+
+@query
+def checked_rows(spark, folder):
+    """Order lines through a file with broken lines: the rows that parse."""
+    return _checked_lines(spark, folder)[0]
+
+
+@query
+def quarantined_lines(spark, folder):
+    """The lines of the same file that do not parse, as they are."""
+    return _checked_lines(spark, folder)[1].select("line")
+
+
+@query
+def quarantine_counts(spark, folder):
+    return files.quarantine_report(*_checked_lines(spark, folder))
+
+
+@query
+def file_line_numbers(spark, folder):
+    """Orders in one file a month, with a header; every line with its place in its file."""
+    month = F.date_format("o_orderdate", "yyyy-MM")
+    rows = src.table(spark, folder, "orders").select("o_orderkey", month.alias("month"), F.concat_ws("|", "o_orderkey", "o_custkey").alias("text"))
+    path = files.write_tree(rows, files.shared_path(spark, "months"), "month", "text", order=["o_orderkey"], header="key|customer")
+    lines = files.without_header(files.numbered_lines(spark, path))
+    return lines.select(F.regexp_extract("file", "_d=([^/]+)/", 1).alias("month"), "line_no", "value")
+
+
+@query
+def manifest_means(spark, folder):
+    """Column means of the event files of every day that a manifest lists: the working days."""
+    day = F.date_format("ts", "yyyy-MM-dd")
+    rows = src.events(spark, folder).select(day.alias("day"), F.concat_ws("\t", "value", "user_id").alias("text"))
+    path = files.write_tree(rows, files.shared_path(spark, "days"), "day", "text")
+    listed = src.events(spark, folder).where(F.weekday("ts") < 5).select(F.concat(F.lit("_d="), day).alias("name")).distinct()
+    means = files.tree_means(spark, path, listed, 2)
+    return means.select(F.substring("name", 4, 10).alias("day"), F.round("value_1", 6).alias("mean_value"), F.round("value_2", 6).alias("mean_user"))
+
+
+def _indexed_join(spark, folder) -> DataFrame:
+    facts = src.interactions(spark, folder).select("user", "item", "rating")
+    users = src.table(spark, folder, "customer").select(F.col("c_custkey").alias("user"), "c_nationkey")
+    left, right = (files.indexed(spark, files.save_indexed(df, "user", 16)) for df in (facts, users))
+    return left.join(right.hint("merge"), "user").groupBy("user", "c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.sum("rating").alias("total"))
+
+
+@query
+def indexed_join(spark, folder):
+    """Ratings and users in tables that are bucketed by user: joined and summed without an exchange."""
+    return _indexed_join(spark, folder)
+
+
 @query
 def hash_split(spark, folder):
     rows = src.table(spark, folder, "orders").select("o_orderkey")
@@ -916,6 +982,34 @@ def grid(spark, folder):
     )
 
 
+@query
+def ridge_grid(spark, folder):
+    """Twelve penalties from the sums of one pass over each part; the label depends on both inputs and on the customer."""
+    rows = src.interactions(spark, folder).select(
+        "l_orderkey", "score", F.col("rating").cast("double").alias("rating"),
+        (0.4 + 2 * F.col("score") - 0.5 * F.col("rating") + (F.col("user") % 10) / 10.0).alias("label"),
+    )
+    split = sampling.hash_split(rows, "l_orderkey", [0.8, 0.2])
+    train, test = (split.where(F.col("split") == k) for k in (0, 1))
+    report = models.ridge_grid(train, test, ["score", "rating"], RIDGE_PENALTIES)
+    return report.select(
+        "penalty", F.round(F.col("weights")[0], 6).alias("w_score"), F.round(F.col("weights")[1], 6).alias("w_rating"),
+        F.round("intercept", 6).alias("intercept"), F.round("train_rmse", 6).alias("train_rmse"), F.round("test_rmse", 6).alias("test_rmse"),
+    )
+
+
+@query
+def fold_in_report(spark, folder):
+    """Customers that came later (of a hashed tenth): folded into a model of the others from four fifths of their orders, scored on the rest."""
+    train, test = _ratings_split(spark, folder)
+    train, test = (sampling.hash_split(df, "user", [0.9, 0.1], seed=1, out="late") for df in (train, test))
+    model = models.als(train.where("late = 0"), user="user", item="item", max_iter=3)
+    items = model.itemFactors.withColumnRenamed("id", "item")
+    later = models.fold_in(train.where("late = 1"), items, 0.01)
+    scored = models.factor_scores(test.where("late = 1"), later, items)
+    return metrics.rating_report(scored, "prediction", "rating")
+
+
 @query
 def rating_classifier(spark, folder):
     ratings, users, items = src.wide_deep_tables(spark, folder)
