@@ -73,6 +73,7 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     # of one text: both the middle and the last character belong to it, and some letter is in it
     inside = (owner[1:-1] == owner[2:]) & ((sign[:-2] != 0) | (sign[1:-1] != 0) | (sign[2:] != 0))
     inside &= ~((sign[1:-1] == 0) & np.isin(np.flatnonzero(keep)[1:-1], edge))
+    inside &= (sign[1:-1] != 0) | (sign[2:] != 0)  # a text that ends in a blank has no second one
     gram, text = gram[inside], owner[2:][inside]
     distinct, place = _numbered(gram, base**3)
     table = np.stack([distinct // base // base, distinct // base % base, distinct % base], 1)
