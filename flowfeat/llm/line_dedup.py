@@ -1,4 +1,4 @@
-"""Removal of repeated line chunks whose boundaries depend on content alone.
+"""Removal of repeated line chunks whose boundaries depend on content alone, and of repeated runs of lines.
 
 Each line has a hash; a rolling hash over WINDOW neighbouring line hashes starts a new chunk where it falls into one
 of DIVISOR classes, so boundaries move with the text when lines are put in or taken out elsewhere. Chunks of several
@@ -6,9 +6,12 @@ lines are grouped over all documents by their hash; each occurrence is compared,
 (by doc_id, then place), and goes if it is equal. Only DataFrame functions are used.
 
 Chunks leave part of a repeated passage: those of one line, and the ends that share a chunk with other text. With
-`whole`, which the query and the pipeline use, they are only the coarse step: what they leave is judged by the
-rolling hashes themselves, one for every two neighbouring lines, compared with the earliest occurrence in the same
-way. A repeated passage of several lines consists of such pairs, so all of its lines go, wherever they lie.
+`whole`, which the query and the pipeline use, they are only the coarse step: outside of repeated chunks, every two
+neighbouring lines are compared with their earliest occurrence in the same way, under the rolling hash of both. A repeated
+passage of several lines consists of such pairs, so all of its lines go, wherever they lie.
+
+Rows of a hash that occurs very often are dealt over SALTS join keys. Texts are shuffled once, by document: bytes to compare
+are cut out, and what stays is put together, from the same exchange.
 
 Defined cases: a null text stays null and has no lines, an empty one has one empty line; a null doc_id is an ordinary
 value that comes last; equal rows (same doc_id and text) are one occurrence and change alike; single lines, and
@@ -19,6 +22,7 @@ columns are kept as they are, and names that the operator uses inside may occur
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowfeat.llm.common import stored, tuned
@@ -30,213 +34,119 @@ _HEX = "0123456789abcdef"
 HOT_TIMES = 10_000  # a hash that occurs more often is dealt over SALTS join keys
 HOT_KEYS = 10_000  # no more hashes are, so their list may be broadcast
 SALTS = 64
-BROADCAST_HASHES = 300_000  # repeated hashes up to so many, of about 60 bytes each, are looked up in every task
+_LEAST = -(1 << 63)
 
 
-def _mark(text: str) -> Column:
+def _mark(text: Column) -> Column:
     """Digest that tells apart texts under one doc_id."""
     return F.unhex(F.md5(text))
 
 
-def _chunks(lines: str, window: int, divisor: int) -> tuple[Column, Column]:
-    """First line of each chunk of the array column `lines`, and first line of the next one."""
-    n = F.size(lines)
-    hashes = F.transform(lines, F.md5)
+def _cuts(codes: Column, n: Column, window: int, divisor: int) -> Column:
+    """Begin and end of each chunk of lines with the digests `codes`."""
     # one array shifted against the other: every step is linear in the number of lines
-    rolled = hashes
+    rolled = codes
     for k in range(1, window):
         empty = F.transform(F.sequence(F.lit(1), F.least(F.lit(k), n)), lambda i: F.lit(None).cast("string"))
-        earlier = F.concat(empty, F.slice(hashes, 1, F.greatest(n - k, F.lit(0))))
+        earlier = F.concat(empty, F.slice(codes, 1, F.greatest(n - k, F.lit(0))))
         rolled = F.zip_with(earlier, rolled, lambda a, b: F.concat(a, b))  # null where the window leaves the text
     ends = list(_HEX[: 16 // divisor])
     places = F.transform(
         rolled, lambda r, i: F.when((i == 0) | F.coalesce(F.substring(F.md5(r), 32, 1).isin(ends), F.lit(False)), i)
     )
     starts = F.filter(places, lambda i: i.isNotNull())
-    return starts, F.concat(F.slice(starts, 2, F.size(starts)), F.array(n))
-
-
-def chunked(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
-    """`doc`, `mark` (digest of the text), `lines`, `cuts` (begin and end of each chunk) of every row with a text."""
-    lined = docs.where("text IS NOT NULL").select(
-        F.col("doc_id").alias("doc"), _mark("text").alias("mark"), F.split("text", "\n", -1).alias("lines")
-    )
-    starts, ends = _chunks("lines", window, divisor)
-    return lined.select(
-        "doc", "mark", "lines", F.zip_with(starts, ends, lambda b, e: F.struct(b.alias("begin"), e.alias("end"))).alias("cuts")
-    )
+    return F.zip_with(starts, F.concat(F.slice(starts, 2, F.size(starts)), F.array(n)), lambda b, e: F.struct(b.alias("begin"), e.alias("end")))
 
 
-def paired(docs: DataFrame) -> DataFrame:
-    """`doc`, `mark`, `begin`, `hash` of every two neighbouring lines that are not both blank: the rolling hash of two lines."""
-    lined = docs.where("text IS NOT NULL").select(
-        F.col("doc_id").alias("doc"), _mark("text").alias("mark"), F.split("text", "\n", -1).alias("lines")
-    )
-    codes = F.transform("lines", lambda x: F.struct(F.md5(x).alias("code"), (F.trim(x) == "").alias("blank")))
-    coded = lined.withColumn("codes", codes)
-    following = F.slice("codes", 2, F.size("codes"))
-    pairs = F.zip_with("codes", following, lambda a, b: F.when(b.isNotNull() & ~(a["blank"] & b["blank"]), F.md5(F.concat(a["code"], b["code"]))))
-    spots = coded.select("doc", "mark", F.posexplode(pairs).alias("begin", "hash")).where("hash IS NOT NULL")
-    return spots.select("doc", "mark", "begin", (F.col("begin") + 2).alias("end"), "hash")
-
-
-def _text(cut: Column) -> Column:
-    return F.array_join(F.slice("lines", cut["begin"] + 1, cut["end"] - cut["begin"]), "\n")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Columns c0, c1, … of `docs`, and `mark`: plain names, so that none can clash."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.withColumn("mark", _mark(F.col(f"c{docs.columns.index('text')}")))
 
 
-def _chunk_spots(docs: DataFrame, window: int, divisor: int, min_lines: int, blanks: bool = True) -> DataFrame:
-    """`doc`, `mark`, `begin`, `end`, `hash` of every chunk of at least `min_lines` lines that is not blank.
+def _spots(keyed: DataFrame, doc: str, text: str, window: int, divisor: int, min_lines: int, whole: bool) -> DataFrame:
+    """`doc`, `mark`, `begin`, `end`, `hash`, `chunk`, `is_chunk` of every chunk of several lines and, if `whole`, every pair.
 
-    Without `blanks`, chunks with two blank lines in a row are left to the pairs, which keep such lines.
-    """
-
-    def counts(text: Column) -> Column:
-        return (F.trim(text) != "") & (F.lit(blanks) | ~text.rlike(r"(^|\n) *\n *(\n|$)"))
-
-    long = F.filter("cuts", lambda c: c["end"] - c["begin"] >= min_lines)
-    hashed = F.transform(
-        long, lambda c: F.struct(c["begin"].alias("begin"), c["end"].alias("end"), F.when(counts(_text(c)), F.md5(_text(c))).alias("hash"))
-    )
-    spots = chunked(docs, window, divisor).select("doc", "mark", F.explode(hashed).alias("c")).select("doc", "mark", "c.*")
-    return spots.where("hash IS NOT NULL")
-
-
-def _confirmed(docs: DataFrame, spots: DataFrame, covered: DataFrame | None = None) -> DataFrame:
-    """Those of `spots` whose lines equal, byte by byte, the earliest spot of their hash; spots inside `covered` are left out.
-
-    The rows of a hash that occurs very often are dealt over SALTS join keys, each with a copy of the earliest one.
+    A hash is that of the lines' digests; spots of blank lines only have none. `chunk` is where the chunk begins that a spot lies
+    in whole. With `whole`, a chunk with two blank lines in a row is left to its pairs.
     """
+    lines = keyed.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), "mark", F.split(text, "\n", -1).alias("lines"))
+    lines = lines.select("doc", "mark", F.transform("lines", lambda x: F.struct(F.md5(x).alias("code"), (F.trim(x) == "").alias("blank"))).alias("l"))
+    following = F.slice("l", 2, F.size("l"))
+    pairs = F.zip_with("l", following, lambda a, b: F.when(b.isNotNull() & ~(a["blank"] & b["blank"]), F.unhex(F.md5(F.concat(a["code"], b["code"])))))
+    cut = lines.select("doc", "mark", "l", pairs.alias("pairs"), _cuts(F.col("l.code"), F.size("l"), window, divisor).alias("cuts"))
+
+    def listed(c: Column) -> Column:
+        begin, end = c["begin"], c["end"]
+        inside = F.slice("pairs", begin + 1, end - begin - 1)
+        enough = F.forall if whole else F.exists
+        name = F.unhex(F.md5(F.array_join(F.slice(F.col("l.code"), begin + 1, end - begin), "")))
+        name = F.when((end - begin >= max(min_lines, 2)) & enough(inside, lambda h: h.isNotNull()), name)
+        chunk = F.array(F.struct(begin.alias("begin"), end.alias("end"), name.alias("hash"), begin.alias("chunk"), F.lit(True).alias("is_chunk")))
+        if not whole:
+            return chunk
+
+        def pair(h: Column, i: Column) -> Column:
+            at = begin + i
+            return F.struct(at.alias("begin"), (at + 2).alias("end"), h.alias("hash"), F.when(at + 1 < end, begin).alias("chunk"), F.lit(False).alias("is_chunk"))
+
+        return F.concat(chunk, F.transform(F.slice("pairs", begin + 1, end - begin), pair))
+
+    spots = F.filter(F.flatten(F.transform("cuts", listed)), lambda s: s["hash"].isNotNull())
+    spread = cut.select("doc", "mark", F.explode_outer(spots).alias("s")).where("s.hash IS NOT NULL")
+    return spread.select("doc", "mark", "s.*")
+
+
+def _asked(spots: DataFrame) -> DataFrame:
+    """`d`, `m`, `asked`: of each text the spots to compare (begin, end, hash, is_first, often)."""
     place = F.struct(F.col("doc").isNull().alias("none"), "doc", "mark", "begin")
-    spots = stored(spots.distinct())
+    spots = stored(spots)
     first = spots.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
     first = stored(first)
     # at most HOT_KEYS hashes can occur so often
-    hot = first.where(F.col("times") > max(HOT_TIMES, spots.count() // HOT_KEYS)).select(F.col("hash").alias("often"))
-    hot = F.broadcast(hot)
-    all_salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-
-    def dealt(rows: DataFrame) -> DataFrame:
-        salt = F.when(F.col("often").isNotNull(), F.pmod(F.xxhash64("doc", "mark", "begin"), F.lit(SALTS))).otherwise(0)
-        return rows.join(hot, F.col("hash") == F.col("often"), "left").withColumn("salt", salt.cast("int"))
-
-    def copied(rows: DataFrame) -> DataFrame:
-        rows = rows.join(hot, F.col("hash") == F.col("often"), "left")
-        salts = F.when(F.col("often").isNotNull(), all_salts).otherwise(F.array(F.lit(0)))
-        return rows.withColumn("salt", F.explode(salts)).drop("often").withColumnRenamed("hash", "h").withColumnRenamed("salt", "s")
-
-    same_key = (F.col("hash") == F.col("h")) & (F.col("salt") == F.col("s"))
-    many = dealt(spots).join(copied(first.select("hash", "first")), same_key).select("doc", "mark", "begin", "end", "hash", "first")
-    asked = many.groupBy("doc", "mark").agg(F.collect_list(F.struct("begin", "end", "hash", (F.col("first") == place).alias("is_first"))).alias("asked"))
-    asked = asked.select(F.col("doc").alias("d"), F.col("mark").alias("m"), "asked")
-    if covered is not None:
-        inside = covered.groupBy("doc", "mark").agg(F.collect_list(F.struct("begin", "end")).alias("gone"))
-        asked = asked.join(inside, (F.col("m") == F.col("mark")) & F.col("d").eqNullSafe(F.col("doc")), "left")
-        free = F.filter(
-            "asked", lambda c: c["is_first"] | ~F.coalesce(F.exists("gone", lambda g: (g["begin"] <= c["begin"]) & (g["end"] >= c["end"])), F.lit(False))
-        )
-        asked = asked.select("d", "m", free.alias("asked"))
-    lined = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("doc"), _mark("text").alias("mark"), "text")
-    spelt = F.transform("asked", lambda c: F.struct(c["begin"].alias("begin"), c["end"].alias("end"), c["hash"].alias("hash"), c["is_first"].alias("is_first"), _text(c).alias("bytes")))
-    texts = (
-        lined.join(asked, (F.col("mark") == F.col("m")) & F.col("doc").eqNullSafe(F.col("d")))
-        .select("doc", "mark", F.split("text", "\n", -1).alias("lines"), "asked")
-        .select("doc", "mark", F.explode(spelt).alias("c"))
-        .select("doc", "mark", "c.*")
-    )
-    heads = texts.where("is_first").select("hash", F.col("bytes").alias("head")).dropDuplicates(["hash"])
-    same = dealt(texts.where("NOT is_first")).join(copied(heads), same_key).where(F.col("bytes") == F.col("head"))
-    return same.select("doc", "mark", "begin", "end").distinct()
-
-
-def repeated(
-    docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES, whole: bool = False
-) -> DataFrame:
-    """`doc`, `mark`, `begin`, `end` of every chunk that an earlier occurrence has, after byte comparison.
-
-    With `whole` also of every two neighbouring lines that occur earlier and lie in none of these chunks.
-    """
-    if not whole:
-        return _confirmed(docs, _chunk_spots(docs, window, divisor, min_lines))
-    first = stored(_repeats(docs, window, divisor))
-    if first.count() <= BROADCAST_HASHES:
-        return _confirmed_in_place(docs, first, window, divisor)
-    chunks = stored(_confirmed(docs, _chunk_spots(docs, window, divisor, min_lines, blanks=False)))
-    return chunks.unionByName(_confirmed(docs, paired(docs), chunks))
-
-
-def _spots(docs: DataFrame, window: int, divisor: int) -> DataFrame:
-    """`doc`, `mark`, `lines`, `chunks` (begin, end, hash) and `pairs` (a hash for each line and its next one) of every text.
-
-    A hash is that of the lines' digests. It is null for a pair of blank lines, for a chunk of one line, and for a chunk with
-    two blank lines in a row, whose pairs are judged one by one.
-    """
-    cut = chunked(docs, window, divisor)
-    codes = F.transform("lines", lambda x: F.struct(F.md5(x).alias("code"), (F.trim(x) == "").alias("blank")))
-    cut = cut.withColumn("codes", codes)
-    following = F.slice("codes", 2, F.size("codes"))
-    pairs = F.zip_with(
-        "codes", following, lambda a, b: F.when(b.isNotNull() & ~(a["blank"] & b["blank"]), F.unhex(F.md5(F.concat(a["code"], b["code"]))))
-    )
-    cut = cut.withColumn("pairs", pairs)
-
-    def coded(c: Column) -> Column:
-        inside = F.slice("pairs", c["begin"] + 1, c["end"] - c["begin"] - 1)
-        name = F.md5(F.array_join(F.slice(F.col("codes.code"), c["begin"] + 1, c["end"] - c["begin"]), ""))
-        return F.when((c["end"] - c["begin"] > 1) & F.forall(inside, lambda h: h.isNotNull()), F.unhex(name))
-
-    chunks = F.transform("cuts", lambda c: F.struct(c["begin"].alias("begin"), c["end"].alias("end"), coded(c).alias("hash")))
-    return cut.select("doc", "mark", "lines", chunks.alias("chunks"), "pairs")
-
-
-def _place(begin: Column) -> Column:
-    return F.struct(F.col("doc").isNull().alias("none"), "doc", "mark", begin.alias("begin"))
-
-
-def _repeats(docs: DataFrame, window: int, divisor: int) -> DataFrame:
-    """`hash`, `first` (the earliest place), `times` of every hash of a chunk or a pair that occurs more than once."""
-    both = F.concat(
-        F.transform("chunks", lambda c: F.struct(c["begin"].alias("begin"), c["hash"].alias("hash"))),
-        F.transform("pairs", lambda h, i: F.struct(i.alias("begin"), h.alias("hash"))),
-    )
-    spots = _spots(docs, window, divisor).select("doc", "mark", F.explode_outer(both).alias("s")).where("s.hash IS NOT NULL")
-    found = spots.groupBy(F.col("s.hash").alias("hash")).agg(F.min(_place(F.col("s.begin"))).alias("first"), F.count("*").alias("times"))
-    return found.where("times > 1")
-
-
-def _confirmed_in_place(docs: DataFrame, first: DataFrame, window: int, divisor: int) -> DataFrame:
-    """Chunks that an earlier one equals byte by byte, and pairs outside of them; `first` goes to every task.
-
-    Hashes are looked up where the texts are read, so only the bytes of repeated chunks and pairs are shuffled, by their hash.
-    """
-    known = F.broadcast(first.select(F.col("hash").alias("h"), "first"))
-    rows = _spots(docs, window, divisor).withColumn("c", F.explode_outer("chunks"))
-    rows = rows.join(known, F.col("c.hash") == F.col("h"), "left")
-    own = F.col("first") == _place(F.col("c.begin"))
-    chunk = F.struct(F.col("c.begin").alias("begin"), F.col("c.end").alias("end"), F.col("c.hash").alias("hash"))
-
-    def pairs(after: Column, upto: Column) -> Column:
-        return F.transform(
-            F.slice("pairs", after + 1, upto - after), lambda h, i: F.struct((i + after).alias("begin"), (i + after + 2).alias("end"), h.alias("hash"))
-        )
-
-    # of a copy the chunk, and the pair over its end; of any other all pairs, and the chunk if copies are compared with it
-    begin, end = F.col("c.begin"), F.col("c.end")
-    asked = F.when(F.col("h").isNotNull() & ~own, F.concat(F.array(chunk), pairs(end - 1, end)))
-    asked = asked.when(F.col("h").isNotNull(), F.concat(F.array(chunk), pairs(begin, end))).otherwise(pairs(begin, end))
-    spots = rows.select("doc", "mark", "lines", F.explode_outer(asked).alias("s")).where("s.hash IS NOT NULL")
-    spots = spots.join(F.broadcast(first.select(F.col("hash").alias("h"), "first", "times")), F.col("s.hash") == F.col("h"))
-    texts = spots.select(
-        "doc", "mark", F.col("s.begin").alias("begin"), F.col("s.end").alias("end"), F.col("h").alias("hash"),
-        (F.col("first") == _place(F.col("s.begin"))).alias("is_first"), _text(F.col("s")).alias("bytes"), "times",
-    )
-    often = F.col("times") > HOT_TIMES
-    all_salts, one = F.sequence(F.lit(0), F.lit(SALTS - 1)), F.array(F.lit(0))
-    heads = texts.where("is_first").select("hash", F.col("bytes").alias("head"), F.when(often, all_salts).otherwise(one).alias("salts")).dropDuplicates(["hash"])
-    heads = heads.select(F.col("hash").alias("h"), "head", F.explode("salts").alias("s"))
+    hot = F.broadcast(first.where(F.col("times") > max(HOT_TIMES, spots.count() // HOT_KEYS)).select(F.col("hash").alias("o")))
+    often = F.col("o").isNotNull()
     salt = F.when(often, F.pmod(F.xxhash64("doc", "mark", "begin"), F.lit(SALTS))).otherwise(0).cast("int")
+    spots = spots.join(hot, F.col("hash") == F.col("o"), "left").withColumns({"salt": salt, "often": often}).drop("o")
+    heads = first.join(hot, F.col("hash") == F.col("o"), "left")
+    heads = heads.select(F.col("hash").alias("h"), "first", F.explode(_salts(often)).alias("s"))
+    many = spots.join(heads, (F.col("hash") == F.col("h")) & (F.col("salt") == F.col("s")))
+    many = many.select("doc", "mark", "begin", "end", "hash", "often", "chunk", "is_chunk", (F.col("first") == place).alias("is_first"))
+    # a pair inside a chunk that is a copy need not be compared itself
+    many = many.repartition("doc", "mark")
+    copied = F.max(F.col("is_chunk") & ~F.col("is_first")).over(W.partitionBy("doc", "mark", "chunk"))
+    many = many.withColumn("copied", F.col("chunk").isNotNull() & copied).where(F.col("is_first") | F.col("is_chunk") | ~F.col("copied"))
+    asked = F.collect_list(F.struct("begin", "end", "hash", "is_first", "often"))
+    return many.groupBy("doc", "mark").agg(asked.alias("asked")).select(F.col("doc").alias("d"), F.col("mark").alias("m"), "asked")
+
+
+def _salts(often: Column) -> Column:
+    return F.when(often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+
+
+def _same_text(doc: str) -> Column:
+    return (F.col("mark") == F.col("m")) & F.col(doc).eqNullSafe(F.col("d"))
+
+
+def _confirmed(keyed: DataFrame, asked: DataFrame, doc: str, text: str) -> DataFrame:
+    """`d`, `m`, `gone`: of each text the asked spots whose lines equal those of the earliest spot, byte by byte, in order."""
+    rows = keyed.join(asked, _same_text(doc))
+    # reading every column, as what stays does, makes the exchange of the texts one for both
+    others = [c for c in keyed.columns if c not in (doc, text, "mark")]
+    lines = F.split(text, "\n", -1)
+    lines = F.when(F.xxhash64(*others) >= F.lit(_LEAST), lines) if others else lines
+
+    def cut(c: Column) -> Column:
+        data = F.array_join(F.slice("lines", c["begin"] + 1, c["end"] - c["begin"]), "\n")
+        return F.struct(*[c[name].alias(name) for name in ("begin", "end", "hash", "is_first", "often")], data.alias("bytes"))
+
+    spot = F.explode(F.transform("asked", cut))
+    texts = rows.select(F.col("d"), F.col("m"), lines.alias("lines"), "asked").select("d", "m", spot.alias("c")).select("d", "m", "c.*")
+    heads = texts.where("is_first").dropDuplicates(["hash"]).select(F.col("hash").alias("h"), F.col("bytes").alias("head"), F.explode(_salts(F.col("often"))).alias("s"))
+    salt = F.when(F.col("often"), F.pmod(F.xxhash64("d", "m", "begin"), F.lit(SALTS))).otherwise(0).cast("int")
     rest = texts.where("NOT is_first").withColumn("salt", salt)
     same = rest.join(heads, (F.col("hash") == F.col("h")) & (F.col("salt") == F.col("s"))).where(F.col("bytes") == F.col("head"))
-    return same.select("doc", "mark", "begin", "end").distinct()
+    return same.groupBy("d", "m").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("gone"))
 
 
 def drop_repeated(
@@ -253,15 +163,15 @@ def drop_repeated(
     `n_lines` and `n_removed` are added in a struct column `report`, which takes the place of a column of that name.
     """
     tuned(docs.sparkSession)
-    gone = repeated(docs.select("doc_id", "text"), window, divisor, min_lines, whole)
-    gone = gone.groupBy("doc", "mark").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("gone"))
-    # one struct for the row and one for what goes, so that no name of the row can clash
-    rows = docs.select(F.struct("*").alias("row"))
-    matched = rows.join(gone, (_mark("row.text") == F.col("mark")) & F.col("row.doc_id").eqNullSafe(F.col("doc")), "left")
-    text = F.col("row.text")
-    matched = matched.select("row", "gone", F.split(text, "\n", -1).alias("lines"))
+    keyed = _keyed(docs)
+    doc, body = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    asked = stored(_asked(_spots(keyed, doc, body, window, divisor, min_lines, whole)))
+    gone = _confirmed(keyed, asked, doc, body)
+    matched = keyed.join(gone, _same_text(doc), "left")
+    text = F.col(body)
+    matched = matched.select(*keyed.columns, "gone", F.split(text, "\n", -1).alias("lines"))
     runs = F.coalesce("gone", F.array().cast("array<struct<begin:int,end:int>>"))
-    # what stays lies between two removed runs
+    # what stays lies between two removed runs; none of them lies inside another
     begins = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["end"]))
     ends = F.concat(F.transform(runs, lambda r: r["begin"]), F.array(F.size("lines")))
     parts = F.zip_with(begins, ends, lambda b, e: F.slice("lines", b + 1, F.greatest(e - b, F.lit(0))))
@@ -270,7 +180,7 @@ def drop_repeated(
     sizes = F.zip_with(begins, ends, lambda b, e: F.greatest(e - b, F.lit(0)))
     removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("lines") - F.aggregate(sizes, F.lit(0), lambda acc, n: acc + n))
     n = F.when(text.isNull(), 0).otherwise(F.size("lines"))
-    columns = [kept.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != report]
+    columns = [(kept if c == "text" else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns) if c != report]
     if report:
         columns.append(F.struct(n.cast("bigint").alias("n_lines"), removed.cast("bigint").alias("n_removed")).alias(report))
     return matched.select(*columns)
