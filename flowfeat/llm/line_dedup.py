@@ -38,8 +38,8 @@ _LEAST = -(1 << 63)
 
 
 def _mark(text: Column) -> Column:
-    """Digest that tells apart texts under one doc_id."""
-    return F.unhex(F.md5(text))
+    """Digest that tells apart texts under one doc_id; never null, so joins on it need no filter that differs."""
+    return F.coalesce(F.unhex(F.md5(text)), F.lit(bytearray()))
 
 
 def _cuts(codes: Column, n: Column, window: int, divisor: int) -> Column:
