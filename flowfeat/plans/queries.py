@@ -338,7 +338,7 @@ def topn_items(spark, folder):
     return recommend.top_n_unseen(
         users, items, seen,
         lambda i: (F.col("userIdIndex") * 7919 + i.itemIdIndex * 104729 + i.p_size) % 10007 / F.lit(10007.0),
-        TOP, item_cols=["p_size"], block_items=64, as_array=False,
+        TOP, item_cols=["p_size"], block_items=256, as_array=False,
     ).withColumn("score", F.round("score", 9))
 
 
@@ -348,7 +348,7 @@ def topn_users(spark, folder):
     return recommend.top_n_unseen(
         items, users, seen,
         lambda u: (u.userIdIndex * 7919 + F.col("itemIdIndex") * 104729) % 10007 / F.lit(10007.0),
-        TOP, user="itemIdIndex", item="userIdIndex", block_items=64, as_array=False,
+        TOP, user="itemIdIndex", item="userIdIndex", block_items=256, as_array=False,
     ).withColumn("score", F.round("score", 9))
 
 
