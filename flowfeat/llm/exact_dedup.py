@@ -2,8 +2,8 @@
 
 A snapshot keeps its different texts in exact buckets (digest, bytes) and, for each shard of about SHARD_KEYS digests,
 one binary-fuse filter. A new batch is grouped by itself; only its different texts meet the filters, and only those
-that pass join the buckets, where the bytes are compared. Grouping is by digest *and* bytes, so two texts with one
-digest are never merged.
+that pass join the buckets, where the bytes are compared. New texts are grouped by digest and bytes; afterwards the digest
+and a 64-bit mark of the bytes stand for a text, so two texts with one digest are merged only if their marks are equal too.
 
 Defined cases: null text counts as empty and all empty texts are equal; a null doc_id is an ordinary row that is kept
 only if nothing else can be (it sorts last); repeated rows count each and rank alike (the same id stays or goes); an empty batch or snapshot gives no rows or no
