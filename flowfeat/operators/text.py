@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import OneHotEncoder
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowfeat.columns import as_list, need
 from flowfeat.functions import arrays
-from flowfeat.operators.positions import SMALL_ROWS, global_positions
+from flowfeat.operators.positions import BROADCAST_ROWS, SMALL_ROWS, global_positions
 from flowfeat.session import cut_lineage
 
 END_OF_LINE = "<eos>"
 SENTENCE_START, SENTENCE_END = "<s>", "</s>"
+BROADCAST_BYTES = 64 << 20  # a table of vectors up to so many bytes goes to every task whole
 
 
 def words(text, min_length: int = 3) -> Column:
@@ -88,12 +87,12 @@ def token_ids(
     """(key, ids): the ids of a row's tokens in order, one row per key.
 
     Unknown tokens are dropped, or become `unknown`; `shift` is added to every id. The
-    vocabulary is joined by size: broadcast when small, else a sort-merge join.
+    vocabulary is counted: broadcast when small, so that tokens are sent once, else a sort-merge join.
     """
     key = as_list(key)
     need(df, *key, tokens)
     spread = df.select(*key, F.posexplode_outer(tokens).alias("_at", "token"))
-    found = spread.join(vocab.select("token", "id"), "token", "left")
+    found = spread.join(_sent_whole(vocab.select("token", "id"), BROADCAST_ROWS), "token", "left")
     code = F.col("id") if unknown is None else F.coalesce("id", F.lit(unknown))
     pair = F.when(F.col("_at").isNotNull() & code.isNotNull(), F.struct("_at", (code + shift).cast("long").alias("id")))
     return (
@@ -103,6 +102,16 @@ def token_ids(
     )
 
 
+def _sent_whole(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, to be broadcast if it has at most `rows` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def _known_vectors(vectors: DataFrame, dim: int) -> DataFrame:
+    """(id, _v double array) of a table (id, vector); broadcast if small, so that no vector travels with a token."""
+    return _sent_whole(vectors.select("id", F.col("vector").cast("array<double>").alias("_v")), BROADCAST_BYTES // (8 * dim))
+
+
 def pad_ids(
     df: DataFrame, ids: str = "ids", length: int = 500, pad: int = 0, side: str = "left", keep: str = "last",
     out: str | None = None,
@@ -114,27 +123,28 @@ def pad_ids(
 
 def token_vectors(
     df: DataFrame, key: str | list[str], vectors: DataFrame, dim: int, ids: str = "ids", out: str = "vectors",
-    pad: int | None = None,
+    pad: int | None = None, keep_ids: bool = False,
 ) -> DataFrame:
     """(key, vectors): one vector per id in order, the zero vector where `vectors` has none.
 
     `vectors` is (id, vector). Places of the id `pad` get the zero vector whatever `vectors` holds; their join key is
-    spread and matches nothing, so padding is never a hot key.
+    spread and matches nothing, so padding is never a hot key. With `keep_ids` the ids come out beside their vectors.
     """
     key = as_list(key)
     need(df, *key, ids)
     zero = F.array_repeat(F.lit(0.0), dim)
-    spread = df.select(*key, F.posexplode_outer(ids).alias("_at", "id"))
-    known = vectors.select("id", F.lit(False).alias("_pad"), F.col("vector").cast("array<double>").alias("_v"))
-    padding = F.lit(False) if pad is None else F.col("id") == F.lit(pad)
+    spread = df.select(*key, F.posexplode_outer(ids).alias("_at", "_own"))
+    known = _known_vectors(vectors, dim)
+    padding = F.lit(False) if pad is None else F.col("_own") == F.lit(pad)
     spread = spread.withColumn("_pad", F.coalesce(padding, F.lit(False)))
-    spread = spread.withColumn("id", F.when(F.col("_pad"), F.xxhash64(*key, "_at")).otherwise(F.col("id")))
-    found = spread.join(known, ["id", "_pad"], "left")
-    pair = F.when(F.col("_at").isNotNull(), F.struct("_at", F.coalesce("_v", zero).alias("v")))
+    spread = spread.withColumn("_spread", F.when(F.col("_pad"), F.xxhash64(*key, "_at")).otherwise(F.col("_own")))
+    found = spread.join(known, (F.col("_spread") == F.col("id")) & ~F.col("_pad"), "left")
+    own = [F.col("_own").alias("own")] if keep_ids else []
+    pair = F.when(F.col("_at").isNotNull(), F.struct("_at", F.coalesce("_v", zero).alias("v"), *own))
     return (
         found.groupBy(*key)
         .agg(F.sort_array(F.collect_list(pair)).alias("_p"))
-        .select(*key, F.col("_p.v").alias(out))
+        .select(*key, *([F.col("_p.own").alias(ids)] if keep_ids else []), F.col("_p.v").alias(out))
     )
 
 
@@ -143,15 +153,17 @@ def mean_vectors(
 ) -> DataFrame:
     """(key, features): mean of the vectors of a row's ids, ids without a vector count as zero.
 
-    One aggregate: what is sent for a row is its running mean, one vector per task.
+    One aggregate of plain sums, which are kept per key in place: vectors of tokens are neither sorted nor sent.
     """
     key = as_list(key)
     need(df, *key, ids)
-    zero = F.array_repeat(F.lit(0.0), dim)
     spread = df.select(*key, F.explode_outer(ids).alias("id"))
-    found = spread.join(vectors.select("id", F.col("vector").cast("array<double>").alias("_v")), "id", "left")
-    mean = Summarizer.mean(array_to_vector(F.coalesce("_v", zero)))
-    return found.groupBy(*key).agg(vector_to_array(mean).alias(out))
+    found = spread.join(_known_vectors(vectors, dim), "id", "left")
+    wrong = F.col("_v").isNotNull() & (F.size("_v") != dim)
+    sums = [F.coalesce(F.sum(F.get("_v", F.lit(i))), F.lit(0.0)) for i in range(dim)]
+    misfit = F.raise_error(F.lit(f"a vector does not have {dim} values")).cast("double")
+    means = F.array(*[x / F.count(F.lit(1)) for x in sums])
+    return found.groupBy(*key).agg(F.when(F.count_if(wrong) > 0, F.array(misfit)).otherwise(means).alias(out))
 
 
 def sentence_tokens(df: DataFrame, key: str | list[str], text: str) -> DataFrame:

@@ -116,4 +116,4 @@ def text_features(
     vocab = text.vocabulary(tokens, "tokens", max_words, skip_top, small_rows)
     coded = text.pad_ids(text.token_ids(tokens, key, vocab), "ids", length)
     by_id = vectors.join(vocab.select("token", "id"), "token").select("id", "vector")
-    return coded.join(text.token_vectors(coded, key, by_id, dim, pad=0), key)
+    return text.token_vectors(coded.where(F.col(key).isNotNull()), key, by_id, dim, pad=0, keep_ids=True)

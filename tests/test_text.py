@@ -103,3 +103,27 @@ def test_count_classes_keep_the_order(spark):
     assert all(a["c"] <= b["c"] for a, b in zip(numbers, numbers[1:])) and len({r["c"] for r in numbers if r["id"] < 128}) == 127
     top = spark.sql("SELECT 9223372036854775807L AS id").select(text._count_class(F.col("id")).alias("c")).first()[0]
     assert numbers[-1]["c"] < top < 4096
+
+
+def test_vectors_stay_where_tokens_are(spark):
+    """A small table of vectors goes to the tokens whatever the planner thinks of it: no vector is shuffled or sorted with a token."""
+    df = spark.sql("SELECT 1L AS doc, array(1L, 2L, 0L, 9L) AS ids UNION ALL SELECT 2L, array() UNION ALL SELECT 3L, NULL")
+    vectors = spark.sql("SELECT id, array(double(id), 2D) AS vector FROM range(3)")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for made in (text.token_vectors(df, "doc", vectors, 2, pad=0), text.mean_vectors(df, "doc", vectors, 2)):
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert "ObjectHashAggregate" not in plan  # which sorts the vectors of tokens from 128 keys on
+        assert tuples(made) == [(1, [0.75, 1.5]), (2, [0.0, 0.0]), (3, [0.0, 0.0])]
+        vocab = spark.sql("SELECT 'a' AS token, 1L AS id")
+        coded = text.token_ids(spark.sql("SELECT 1L AS doc, array('a', 'b') AS tokens"), "doc", vocab)
+        assert "SortMergeJoin" not in coded._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    both = text.token_vectors(df, "doc", vectors, 2, pad=0, keep_ids=True)
+    zero = [0.0, 0.0]
+    assert tuples(both) == [(1, [1, 2, 0, 9], [[1.0, 2.0], [2.0, 2.0], zero, zero]), (2, [], []), (3, [], [])]
+    with pytest.raises(Exception, match="does not have 3 values"):
+        text.mean_vectors(df, "doc", vectors, 3).collect()
