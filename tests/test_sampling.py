@@ -136,3 +136,14 @@ def test_preview(spark):
     got = [tuple(r) for r in sampling.preview(df, [F.desc("a"), F.asc("b")], 5).collect()]
     assert got == [(a, b, k + 1) for k, (a, b) in enumerate(sorted([(i % 7, i) for i in range(50)], key=lambda r: (-r[0], r[1]))[:5])]
     assert "TakeOrderedAndProject" in sampling.preview(df, ["b"], 5)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exact_negatives_take_no_row_per_user_and_range(spark):
+    """The rows that are made on the way grow with users and pairs, whatever the number of item ids."""
+    df = spark.createDataFrame([(1, 3), (1, 900_000), (1, 5), (3, 1_000_000), (3, 1)], "u long, i long")
+    known = df.withColumn("c", F.expr("(i - 1) div 4"))
+    cells = sampling._cells_with_starts(known, 3)
+    assert tuples(cells) == [(1, 0, 0, 0), (1, 1, 1, 3), (1, 224_999, 2, 5), (3, 0, 3, 0), (3, 249_999, 4, 1)]
+    got = sampling.exact_negatives(df, "u", "i", 7, ids=4)
+    assert tuples(got) == tuples(sampling.exact_negatives(df, "u", "i", 7))
+    assert got.distinct().count() == 35 and got.join(df, ["u", "i"]).count() == 0
