@@ -8,8 +8,8 @@ that `manifest` keeps for every shard and dimension let a reader skip most shard
 Nothing is sorted in one task. The curve has at most 2^(BITS * dimensions) cells, whatever is read; rows are counted by
 cell, a cell with many rows is dealt into parts of about GROUP_ROWS by a hash, running totals over the counted parts (at
 most cells + PARTS rows) say where each part begins, and rows are numbered inside their part. Borders come from the
-counts of values: of all values if there are at most VALUES, else of those with the smallest hashes, each with all its
-rows. They decide only how well the curve separates, never whether a row is placed. Only DataFrame functions are used.
+counts of all values, above VALUES of them by running sums over ranges of the order. They decide only how well the curve
+separates, never whether a row is placed. Only DataFrame functions are used.
 
 Defined cases: a null text counts as empty (16 bytes, CRC 0); null in a dimension is the cell before all values; ties
 on the curve go by part, CRC of the text and doc_id (null first), so equal texts of one cell and part are neighbours; rows
@@ -89,11 +89,17 @@ def curve_index(cells: list[Column], bits: int = BITS) -> Column:
 
 
 def borders(rows: DataFrame, column: str, cells: int, values: int = VALUES) -> list:
-    """Ascending first values of the cells of a dimension; null lies before the first one."""
-    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).count()
-    picked = sorted(counts.orderBy(F.xxhash64("value"), "value").limit(values).collect())
+    """Ascending first values of the cells of a dimension, from the counts of all its values; null lies before the first one.
+
+    Up to `values` different values are added up here. More are sorted by Spark over ranges of the order and added up there: the
+    ranges first, of which there are at most `values`, then the values of each; a row per border comes back.
+    """
+    counts = stored(rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("count")))
+    picked = sorted(counts.limit(values + 1).collect())
     if len(picked) < cells:
         return [r["value"] for r in picked]
+    if len(picked) > values:
+        return _far_borders(counts, cells, values)
     total, done, out, last = sum(r["count"] for r in picked), 0, [], -1
     for r in picked:
         cell = done * (cells - 1) // total  # cell 0 belongs to null
@@ -104,6 +110,21 @@ def borders(rows: DataFrame, column: str, cells: int, values: int = VALUES) -> l
     return out
 
 
+def _far_borders(counts: DataFrame, cells: int, values: int) -> list:
+    """The same borders, where the values are too many for one task."""
+    parts = min(values, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = stored(counts.repartitionByRange(parts, "value").withColumn("part", F.spark_partition_id()))
+    ranges = ranged.groupBy("part").agg(F.sum("count").alias("n"))
+    before = lambda w, n: F.coalesce(F.sum(n).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bases = ranges.select(F.col("part").alias("p"), before(W.orderBy("part"), "n").alias("base"))  # at most `values` rows
+    own = ranged.withColumn("own", before(W.partitionBy("part").orderBy("value"), "count"))
+    placed = own.join(F.broadcast(bases), F.col("part") == F.col("p"))
+    total = ranges.agg(F.sum("n")).first()[0]
+    cell = F.expr(f"(base + own) * {cells - 1} div {total}")
+    firsts = placed.groupBy(cell.alias("cell")).agg(F.min("value").alias("value"))  # a row a cell
+    return sorted(r["value"] for r in firsts.collect())
+
+
 def quantised(column: Column, edges: list, cells: int) -> Column:
     """Cell of a value: the number of borders that it reaches, spread over all cells."""
     if not edges:

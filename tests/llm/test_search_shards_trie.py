@@ -255,3 +255,14 @@ def test_registered_queries_on_small_tables(spark, tmp_path):
     assert sorted(map(tuple, found.collect()), key=str) == search_brute(rows, items, 10)
     laws(rows, queries.op12_hilbert_shards(spark, str(tmp_path)).collect(), 40, "rows")
     assert sorted(map(tuple, queries.op13_prefix_trie(spark, str(tmp_path)).collect()), key=str) == trie_brute(turns)
+
+
+def test_borders_come_from_all_values(spark):
+    """More values than one task takes give the same borders as all of them counted together."""
+    from pyspark.sql import functions as F
+
+    rows = spark.sql("SELECT IF(id % 50 = 0, NULL, IF(id < 9000, id % 7 * 1000, id)) AS v FROM range(20000)")
+    whole = hilbert.borders(rows, "v", 32, values=1 << 20)
+    assert len(whole) > 10 and hilbert.borders(rows, "v", 32, values=64) == whole
+    words = rows.select(F.concat(F.lit("w"), F.col("v").cast("string")).alias("v"))
+    assert hilbert.borders(words, "v", 32, values=64) == hilbert.borders(words, "v", 32, values=1 << 20)
