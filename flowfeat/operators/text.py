@@ -140,11 +140,12 @@ def token_vectors(
     spread = spread.withColumn("_spread", F.when(F.col("_pad"), F.xxhash64(*key, "_at")).otherwise(F.col("_own")))
     found = spread.join(known, (F.col("_spread") == F.col("id")) & ~F.col("_pad"), "left")
     own = [F.col("_own").alias("own")] if keep_ids else []
+    once = F.filter("_p", lambda p, i: (i == 0) | (p["_at"] != F.get("_p", i - 1)["_at"]))  # `vectors` may hold an id twice
     pair = F.when(F.col("_at").isNotNull(), F.struct("_at", F.coalesce("_v", zero).alias("v"), *own))
     return (
         found.groupBy(*key)
         .agg(F.sort_array(F.collect_list(pair)).alias("_p"))
-        .select(*key, *([F.col("_p.own").alias(ids)] if keep_ids else []), F.col("_p.v").alias(out))
+        .select(*key, *([F.transform(once, lambda p: p["own"]).alias(ids)] if keep_ids else []), F.col("_p.v").alias(out))
     )
 
 

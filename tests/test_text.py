@@ -125,5 +125,7 @@ def test_vectors_stay_where_tokens_are(spark):
     both = text.token_vectors(df, "doc", vectors, 2, pad=0, keep_ids=True)
     zero = [0.0, 0.0]
     assert tuples(both) == [(1, [1, 2, 0, 9], [[1.0, 2.0], [2.0, 2.0], zero, zero]), (2, [], []), (3, [], [])]
+    twice = text.token_vectors(df, "doc", vectors.unionByName(vectors), 2, pad=0, keep_ids=True).where("doc = 1").first()
+    assert twice["ids"] == [1, 2, 0, 9] and len(twice["vectors"]) == 6  # an id twice in `vectors` has both of them
     with pytest.raises(Exception, match="does not have 3 values"):
         text.mean_vectors(df, "doc", vectors, 3).collect()
