@@ -20,9 +20,12 @@ def dense_index(
     small_rows: int = SMALL_ROWS,
     buckets: int | None = None,
 ) -> DataFrame:
-    """Dictionary (col, <col>_index) of the distinct non-null values, numbered in value order."""
+    """Dictionary (col, <col>_index) of the distinct non-null values, numbered in value order.
+
+    The values are stored once: numbering reads them up to three times, and `df` behind them only once.
+    """
     need(df, col)
-    values = df.select(col).where(F.col(col).isNotNull()).distinct()
+    values = cut_lineage(df.select(col).where(F.col(col).isNotNull()).distinct())
     return global_positions(values, [col], out or f"{col}_index", start, small_rows, buckets)
 
 

@@ -96,3 +96,13 @@ def test_item_categories_takes_the_smallest(spark):
 def test_missing_columns_are_named(spark, events):
     with pytest.raises(ValueError, match="nope"):
         ids.dense_index(events, "nope")
+
+
+def test_dictionaries_read_their_input_once(spark):
+    """Numbering reads the values up to three times; the table behind them is not computed again."""
+    from flowfeat.operators import ids
+
+    made = ids.dense_index(spark.sql("SELECT IF(id % 3 = 0, NULL, id % 10) AS v FROM range(100)"), "v", small_rows=0, buckets=2)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range" not in plan and "LogicalRDD" in plan
+    assert sorted(map(tuple, made.collect())) == [(v, v) for v in range(10)]
