@@ -98,6 +98,37 @@ def test_negative_history_of_awkward_rows(spark):
                 assert r["noclk_cat_list"] == want
 
 
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_categories_of_ids_that_repeat_or_are_missing(spark, monkeypatch, most):
+    """The join by draws and the catalogue that meets the rows agree, whatever the ids."""
+    monkeypatch.setattr(sequence, "MEETING_ITEMS", most)
+    monkeypatch.setattr(sequence, "PACKED_ITEMS", 2)
+    items = [(i, i % 4) for i in range(9) if i != 5] + [(3, 8), (3, None), (4, 0), (None, 7)]
+    items = spark.createDataFrame(items, "item int, cat long")
+    rows = [(1, [3, 1]), (1, [3, 1]), (2, [4, None, 6]), (3, None), (4, []), (5, [8] * 7)]
+    rows = spark.createDataFrame(rows, "row long, h array<long>")
+    cats = {}
+    for i, c in items.collect():
+        cats.setdefault(i, []).append(c)
+    cats.pop(None)
+    for r in sequence.negative_history(rows, "h", items, 9, 2, key="row", lookup_items=0).collect():
+        if r["h"] is None:
+            assert r["noclk_cat_list"] is None
+            continue
+        flat = [c for x in r["noclk_item_list"] for d in x for c in sorted(cats.get(d, [None]), key=lambda c: (c is not None, c))]
+        assert r["noclk_cat_list"] == [flat[2 * k : 2 * k + 2] for k in range(len(r["h"]))]
+
+
+def test_draws_of_a_large_catalogue_are_not_shuffled(spark):
+    """The rows are dealt once, before their draws are made; the digest join dealt every draw."""
+    items = spark.range(50).select(F.col("id").alias("item"), (F.col("id") % 4).alias("cat"))
+    rows = spark.createDataFrame([(i, [i, i + 1]) for i in range(40)], "row long, h array<long>")
+    got = sequence.negative_history(rows, "h", items, 50, 2, key="row", lookup_items=0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "_digest" not in plan
+    assert all(c == d % 4 for r in got.collect() for x, y in zip(r["noclk_item_list"], r["noclk_cat_list"]) for d, c in zip(x, y))
+
+
 @pytest.fixture(scope="module")
 def reviews(spark):
     rows = [(f"a{e % 7}", float(e % 5), f"u{e % 4}", 100 + (e * 11) % 40) for e in range(60)] + [("zz", 1.0, "u9", 5)]
