@@ -52,6 +52,26 @@ def test_pruned_top_n_equals_brute_force(lists, block, n):
     assert tuples(got) == sorted(want)
 
 
+@pytest.mark.parametrize("n", [1, 3])
+def test_pairs_meet_in_cells(spark, lists, monkeypatch, n):
+    """Many cells; scores that are all equal but for a few; no row per user and block of items before the cells."""
+    monkeypatch.setattr(recommend, "GROUP_ITEMS", 7)
+    monkeypatch.setattr(recommend, "CELL_USERS", 2)
+    monkeypatch.setattr(recommend, "MOST_TOPS", 6)
+    users, items, seen = lists
+    known = set(tuples(seen))
+    want = [(u, i) for u in range(12) for i in range(40) if (u, i) not in known]
+    got = recommend.unseen_candidates(users, items, seen, block_items=3)
+    assert tuples(got) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "_cell" in plan and "explode(sequence(0, 13" not in plan  # 14 blocks
+    best = {u: sorted((-float((u + i) % 11 == 0), i) for v, i in want if v == u)[:n] for u in range(12)}
+    got = recommend.top_n_unseen(
+        users, items, seen, lambda i: F.when((F.col(U) + i[I]) % 11 == 0, 1.0).otherwise(0.0), n, block_items=1, as_array=False
+    )
+    assert tuples(got) == sorted((u, r + 1, i, -s) for u, rows in best.items() for r, (s, i) in enumerate(rows))
+
+
 @pytest.mark.parametrize("n", [1, 4, 60])
 def test_factor_top_n_equals_brute_force(spark, lists, n):
     users, items, seen = lists
