@@ -158,3 +158,40 @@ def test_products_of_empty_tables(spark, lists):
     right = spark.createDataFrame([(1, [1.0])], f"{I} long, features array<double>")
     assert products.top_n_products(left, right.where("false"), seen, 2).count() == 0
     assert products.top_n_products(left.where("false"), right, seen, 2).count() == 0
+
+
+def test_products_of_equal_lengths_score_few_pairs(spark):
+    """Where all lengths are alike the boxes around the blocks tell which pairs need no score; equal vectors are left by their ids."""
+    rng = np.random.default_rng(7)
+    fu, fi = rng.normal(size=(400, 3)), rng.normal(size=(12000, 3))
+    fu, fi = fu / np.linalg.norm(fu, axis=1)[:, None], fi / np.linalg.norm(fi, axis=1)[:, None]
+    fi[1500:2500] = fi[7]
+    left = spark.createDataFrame([(u, fu[u].tolist()) for u in range(400)], f"{U} long, features array<double>")
+    right = spark.createDataFrame([(i, fi[i].tolist()) for i in range(12000)], f"{I} long, features array<double>")
+    seen = spark.createDataFrame([(u, i) for u in range(400) for i in (7, 1500, u)], f"{U} long, {I} long")
+    report = []
+    got = products.top_n_products(left, right, seen, 5, block_users=4, block_items=32, as_array=False, report=report)
+    scores = sum(np.multiply.outer(fu[:, k], fi[:, k]) for k in range(3))
+    scores[:, [7, 1500]] = -np.inf
+    scores[range(400), range(400)] = -np.inf
+    want = np.argsort(-scores, axis=1, kind="stable")[:, :5]
+    assert tuples(got.select(U, "rank", I)) == [(u, k + 1, want[u, k]) for u in range(400) for k in range(5)]
+    assert sum(r["pairs"] for r in report) < 0.3 * 400 * 12000
+
+
+@pytest.mark.parametrize("group", [4, 1 << 16])
+def test_products_of_other_ids_equal_brute_force(spark, monkeypatch, group):
+    """String ids, a missing one, seen users of another type, vectors with holes and groups of a single block."""
+    monkeypatch.setattr(products, "GROUP_ITEMS", group)
+    rng = np.random.default_rng(9)
+    fu, fi = rng.integers(-1, 2, (20, 2)).astype(float), rng.integers(-1, 2, (30, 2)).astype(float)
+    names = [None, *[f"i{k}" for k in range(1, 30)]]
+    left = spark.createDataFrame([(u, fu[u].tolist()) for u in range(20)] + [(None, [1.0, 0.0])], f"{U} int, features array<double>")
+    right = spark.createDataFrame([(names[i], fi[i].tolist()) for i in range(30)] + [("hole", [None, 9.0]), ("nan", [float("nan"), 9.0])], f"{I} string, features array<double>")
+    pairs = [(u, names[i]) for u in range(20) for i in range(1, 30) if (u * i) % 4 == 1] + [(1 << 40, "i1"), (None, "i1")]
+    got = products.top_n_products(left, right, spark.createDataFrame(pairs, f"{U} long, {I} string"), 6, block_users=3, block_items=4, as_array=False)
+    want = []
+    for u, v in [*enumerate(fu), (None, np.array([1.0, 0.0]))]:
+        best = sorted((-float(v @ fi[i]), names[i] or "", names[i]) for i in range(30) if u is None or (u, names[i]) not in pairs)[:6]
+        want += [(-1 if u is None else u, r + 1, name or "", -s) for r, (s, _, name) in enumerate(best)]
+    assert tuples(got.fillna(-1, [U]).fillna("", [I])) == sorted(want)
