@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from conftest import tuples
 from pyspark.sql import functions as F
@@ -189,3 +191,21 @@ def test_user_with_nine_tenths_of_the_rows(spark, monkeypatch, options):
             want.append((user, mine[p][0], p, mine[p][2], [x[2] for x in back]))
     got = sequence.history(df, "user", "time", "event", "item", limit=20, **options)
     assert sorted(map(tuple, got.select("user", "time", "pos", "item", "item_history").collect())) == sorted(want)
+
+
+def test_hot_users_are_counted_once_and_single_blocks_are_not_sent_again(spark, events, monkeypatch):
+    """User 1 has 200 events (four blocks), the others at most 40 (one block, all above the limit); block rows are grouped in one shuffle."""
+    from flowfeat.operators import positions
+
+    monkeypatch.setattr(sequence, "BLOCK_ROWS", 50)
+    hot = positions.hot_keys(events, "user", 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in hot and "LogicalRDD" in hot
+    rows = sequence.history(events, "user", "time", "event", ["item"], limit=1)
+    want = []
+    listed = sorted(events.select("user", "time", "event", "item").collect())
+    for user in {r[0] for r in listed}:
+        mine = [r for r in listed if r[0] == user]
+        want += [(user, r[1], k, r[3], [x[3] for x in mine[:k]]) for k, r in enumerate(mine) if k]
+    assert tuples(rows) == sorted(want)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()  # users of one block and of many go two ways
+    assert re.search(r"_n#\d+L <= 50\)", plan) and re.search(r"_n#\d+L > 50\)", plan)
