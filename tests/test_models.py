@@ -1,3 +1,5 @@
+from threading import Barrier
+
 import pytest
 from conftest import tuples
 from pyspark.ml import Pipeline
@@ -6,6 +8,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from flowfeat.operators import features, metrics, models, series
+from flowfeat.plans import queries
 
 
 def test_index_and_threshold_pipeline(spark, tmp_path):
@@ -50,6 +53,40 @@ def test_grid(ratings):
     assert table.where("rmse is null").count() == 0
 
 
+def test_grid_fits_side_by_side(ratings):
+    both = Barrier(2, timeout=60)
+
+    def fit(rows, **chosen):
+        both.wait()  # breaks where a fit begins only when the one before has ended
+        return models.als(rows, max_iter=2, **chosen)
+
+    choices = {"rank": [2, 3]}
+    got = models.grid(ratings, ratings, fit, choices, label="rating")
+    one_by_one = models.grid(ratings, ratings, lambda rows, **s: models.als(rows, max_iter=2, **s), choices, label="rating", at_once=1)
+    want = {r["rank"]: r["rmse"] for r in one_by_one.collect()}
+    assert {r["rank"]: r["rmse"] for r in got.collect()} == pytest.approx(want, rel=1e-4) and set(want) == {2, 3}
+    assert not ratings.storageLevel.useMemory and models.grid(ratings, ratings, fit, {"rank": []}) is None
+
+
+def test_grid_query_cuts_one_stored_table(spark, tmp_path, monkeypatch):
+    orders = [(None if o == 7 else o, o % 9, "1995-01-01") for o in [*range(60), 5, 5]]  # a null key and a key that repeats
+    lines = [(None if n == 3 and o == 8 else o, (o * n) % 11, n, float(1 + (o + n) % 50), "R") for o in range(70) for n in range(4)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate string").write.parquet(f"{tmp_path}/orders.parquet")
+    made = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_returnflag string")
+    made.selectExpr("*", "1L AS l_suppkey", "2.0D AS l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts = []
+
+    def seen(train, test, *_, **__):
+        for part in (train, test):
+            parts.append(tuples(part))
+            assert "InMemoryTableScan" in part._jdf.queryExecution().executedPlan().toString()
+
+    monkeypatch.setattr(models, "grid", seen)
+    queries.QUERIES["grid"](spark, str(tmp_path))
+    want = [tuples(part.select("user", "item", "rating")) for part in queries._ratings_split(spark, str(tmp_path))]
+    assert parts == want and min(map(len, want)) > 20
+
+
 def test_classifiers(spark):
     df = spark.range(200).select(
         F.array((F.col("id") % 2).cast("float"), F.lit(1.0).cast("float")).alias("a"),
