@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 from conftest import tuples
 from pyspark.sql import functions as F
@@ -131,6 +132,32 @@ def test_draws_of_a_large_catalogue_are_not_shuffled(spark):
     assert all(c == d % 4 for r in got.collect() for x, y in zip(r["noclk_item_list"], r["noclk_cat_list"]) for d, c in zip(x, y))
 
 
+def test_rows_stay_where_they_are_for_a_large_catalogue(spark):
+    """Only the catalogue is sent; it reaches every task that has rows, with the first of them."""
+    items = spark.range(500).select(F.col("id").alias("item"), (F.col("id") % 7).alias("cat"))
+    rows = spark.range(60, numPartitions=9).where("id % 20 < 13").select(F.col("id").alias("row"), F.expr("transform(sequence(0, id % 4), x -> int(x + id))").alias("h"))
+    near = sequence.negative_history(rows, "h", items, 500, 2, key="row")
+    far = sequence.negative_history(rows, "h", items, 500, 2, key="row", lookup_items=0)
+    plan = far._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "hashpartitioning" not in plan and "Sort" not in plan and "_to" not in plan
+    assert tuples(near.select("row", "h", "noclk_item_list", "noclk_cat_list")) == tuples(far)
+
+
+@pytest.mark.parametrize("start", [0, 1])
+@pytest.mark.parametrize("n", [2, 50, 1 << 25])
+def test_draws_of_batches_equal_the_expression(spark, n, start):
+    import pyarrow as pa
+
+    from flowfeat.functions.hashing import hash_long, other_than
+
+    lists = [[start, n, None, 1], None, [], [n - 1] * 40, [-5, 7 * n]]
+    rows = spark.createDataFrame(list(enumerate(lists)), "row long, h array<long>").withColumn("_base", hash_long("row"))
+    draws = F.transform("h", lambda x, i: F.array(*[other_than(x, F.col("_base"), i * 3 + j, n, start) for j in range(3)]))
+    want = rows.select("h", "_base", draws.alias("d")).collect()
+    got = sequence._drawn(pa.array([r["h"] for r in want], pa.list_(pa.int64())), np.array([r["_base"] for r in want]), 3, n, start)
+    assert got.to_pylist() == [r["d"] for r in want]
+
+
 @pytest.fixture(scope="module")
 def reviews(spark):
     rows = [(f"a{e % 7}", float(e % 5), f"u{e % 4}", 100 + (e * 11) % 40) for e in range(60)] + [("zz", 1.0, "u9", 5)]
