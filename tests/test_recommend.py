@@ -72,6 +72,58 @@ def test_pairs_meet_in_cells(spark, lists, monkeypatch, n):
     assert tuples(got) == sorted((u, r + 1, i, -s) for u, rows in best.items() for r, (s, i) in enumerate(rows))
 
 
+@pytest.mark.parametrize("n, tops, group", [(1, 512, 1 << 16), (3, 2, 4), (60, 512, 1 << 16)])
+def test_classes_share_their_lists(spark, lists, monkeypatch, n, tops, group):
+    """Users who have seen everything or much, repeated rows, missing ids and values, equal scores in several classes: as without classes."""
+    monkeypatch.setattr(recommend, "CLASS_ITEMS", 1)
+    monkeypatch.setattr(recommend, "CLASS_TOPS", tops)
+    monkeypatch.setattr(recommend, "GROUP_ITEMS", group)
+    users, items, seen = lists
+    users = users.union(users.limit(3)).union(spark.createDataFrame([(None,), (77,)], f"{U} long"))
+    items = items.union(items.limit(9)).union(spark.createDataFrame([(None, 1), (55, None), (56, 2)], f"{I} long, boost long"))
+    seen = seen.union(spark.createDataFrame([(None, 3), (2, None), (500, 1), (3, 500)], f"{U} long, {I} long"))
+    known = {tuple(r) for r in seen.collect()}
+    ids = [(i, i % 3) for i in range(40)] + [(56, 2)]
+
+    def score(u, i, b):
+        return (u % 4 * 5 + (i * 3 + b) % 7) % 11 // 2 / 10.0
+
+    want = []
+    for u in [*range(12), 77]:
+        best = sorted((-score(u, i, b), i) for i, b in ids if (u, i) not in known)[:n]
+        want += [(u, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    part = (F.col(I) * 3 + F.col("boost")) % 7
+    scored = []
+    got = recommend.top_n_unseen(
+        users, items, seen, lambda i: scored.append(i) or F.floor((F.col(U) % 4 * 5 + (i[I] * 3 + i.boost) % 7) % 11 / 2) / F.lit(10.0), n,
+        item_cols=["boost"], as_array=False, alike=(F.col(U) % 4, part),
+    )
+    assert tuples(got) == sorted(want) and scored
+
+
+def test_classes_are_scored_once(spark):
+    """4,000 x 3,000 ids in 5 x 7 classes: the pairs are never looked at one by one."""
+    from flowfeat.plans import queries
+
+    users, items = spark.range(4000).select(F.col("id").alias(U)), spark.range(3000).select(F.col("id").alias(I))
+    seen = spark.range(9000).select((F.col("id") % 4000).alias(U), (F.col("id") * 7 % 3000).alias(I))
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def score(u, i):
+        import pandas as pd
+
+        calls.add(len(u))
+        return pd.Series((u % 5 * 2 + i % 7) % 11, dtype="float64")
+
+    got = recommend.top_n_unseen(users, items, seen, lambda i: score(F.col(U), i[I]), 2, as_array=False, alike=(F.col(U) % 5, F.col(I) % 7))
+    assert got.count() == 8000 and 0 < calls.value < 1000
+    # remainders decide a remainder of sums only where no part is below zero
+    assert queries._remainders(users, items, F.col(U) * 3, F.col(I), 7) is not None
+    assert queries._remainders(users, items, F.col(U) * 3, F.col(I) - 1, 7) is None
+    assert queries._remainders(users, items.where("false"), F.col(U) * 3, F.col(I), 7) is not None
+
+
 @pytest.mark.parametrize("n", [1, 4, 60])
 def test_factor_top_n_equals_brute_force(spark, lists, n):
     users, items, seen = lists
