@@ -137,3 +137,26 @@ def test_pair_rows(spark):
     assert row["label"] == 1.0 and list(row["features"]) == [1.0, 2.0]
     with pytest.raises(Exception, match="negative feature"):
         features.pair_features(df.withColumn("u", F.lit(-1.0)), "u", "i").collect()
+
+
+def test_blocks_of_a_fit_grow_with_its_ratings(spark, monkeypatch):
+    """Ten blocks as Spark has them, the same fit, up to the bound; above it none holds more ratings, and all pairs known are predicted."""
+    from pyspark.ml.recommendation import ALS
+
+    assert [models.als_blocks(n) for n in (0, 80_000_000, 80_000_001, 173_000_000)] == [10, 10, 11, 22]
+    rows = spark.range(600).select(
+        (F.col("id") % 40).cast("int").alias("user"), (F.col("id") * 7 % 30).cast("int").alias("item"), (F.col("id") % 5 + 1).cast("float").alias("rating")
+    )
+    plain = ALS(rank=3, maxIter=2, regParam=0.01, userCol="user", itemCol="item", ratingCol="rating", seed=42).fit(rows)
+    same = models.als(rows, "user", "item", rank=3, max_iter=2)
+    assert sorted(map(str, same.userFactors.collect())) == sorted(map(str, plain.userFactors.collect()))
+    more = models.als(rows, "user", "item", rank=3, max_iter=2, blocks=13)
+    assert more.itemFactors.rdd.getNumPartitions() == 13 and more.transform(rows).count() == 600
+    asked = []
+    monkeypatch.setattr(models, "BLOCK_RATINGS", 200)
+    monkeypatch.setattr(models, "grid", lambda train, test, fit, settings, **s: asked.append(fit(train, rank=2).itemFactors.rdd.getNumPartitions()))
+    spark_rows = spark.createDataFrame([(o, o % 9, k, 1.0 * k, "R", 1.0, 1, o % 20) for o in range(900) for k in range(4)], "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_extendedprice double, x int, l_partkey long")
+    monkeypatch.setattr(queries.src, "table", lambda s, f, name: spark_rows if name == "lineitem" else spark.range(900).select(
+        F.col("id").alias("o_orderkey"), (F.col("id") % 50).alias("o_custkey"), F.lit("1995-01-01").cast("timestamp").alias("o_orderdate")))
+    queries.QUERIES["grid"](spark, "")
+    assert 12 <= asked[0] <= 16  # about 2,880 ratings in blocks of 200
